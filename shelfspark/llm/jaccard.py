@@ -7,7 +7,8 @@ Two ideas keep the join from emitting all pairs of a long list:
 * block skipping: lists are cut into blocks of similar set sizes.  A
   set meets its own and the neighbouring block only, and pairs whose positions in
   both prefixes leave too few shingles to reach the threshold are skipped;
-* answers from similar sets: each block has a leader, its smallest set.  All sets
+* answers from similar sets: each block has a leader: the set with the fewest rarer
+  shingles, which in a group of edited copies is the one nearest to their origin.  All sets
   are verified against leaders first, which links most groups of copies.  A second
   pass looks only at lists that still hold several components; for a pair of
   sets verified against the same leader, their differences from it bound
@@ -36,7 +37,7 @@ from .components import connected_components
 SHINGLE, PERCENT = 5, 75
 #: Heavy hitters: local count from which a task reports a shingle, how many shingles a task counts at once,
 #: and how many of the most frequent ones are sent to the tasks (16 bytes each).
-REPORT, COUNT_AT_ONCE, HEAVY = 4, 4_000_000, 1 << 18
+REPORT, COUNT_AT_ONCE, HEAVY = 4, 2_000_000, 1 << 18
 #: Words hashed together; longer texts are hashed in pieces.
 PIECE = 1 << 16
 
@@ -245,14 +246,15 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     own components.  A null id belongs to the component of its text, which is null only if no member has an id.
     Repeated rows get equal results; rows that share an id but not the text are judged by their texts.
     """
-    docs = write_table(describe_sets(df, text_col, id_col), "sets")
-    full = docs.filter("n > 0")
-    sets = full.groupBy("digest").agg(
+    described = write_table(describe_sets(df, text_col, id_col), "described")
+    sets = described.filter("n > 0").groupBy("digest").agg(
         F.max("n").alias("n"), F.min("id").alias("id"), F.max("rare").alias("rare"),
         F.first("prefix", ignorenulls=True).alias("prefix"),
     )
     sets = write_table(sets.withColumn("sid", F.monotonically_increasing_id()), "distinct-sets")
-    names = sets.select("sid", "n", "id", "digest")
+    docs = write_table(described.select("id", "n", "digest"), "documents")
+    drop_table(described)
+    full = docs.filter("n > 0")
 
     # index lists of at least two sets
     index = sets.select("sid", "n", "rare", F.posexplode("prefix").alias("pos", "token"))
@@ -261,9 +263,12 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     lists = _lists_of_several(index.filter("not heavy").drop("heavy")).unionByName(index.filter("heavy").drop("heavy"))
     lists = lists.select("token", "sid", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
     lists = write_table(lists.withColumn("block", class_of(F.col("n"))), "index-lists")
+    names = write_table(sets.select("sid", "n", "id", "digest"), "set-names")
+    drop_table(sets)
+    shared = write_table(lists.groupBy("sid").agg(F.collect_list("token").alias("shared")), "shared-shingles")
 
     # first answers: every set against the leaders of its own and of the next smaller block
-    leaders = lists.groupBy("token", "block").agg(F.min(F.struct("n", "sid", "pos")).alias("leader"))
+    leaders = lists.groupBy("token", "block").agg(F.min(F.struct("pos", "n", "sid")).alias("leader"))
     leaders = write_table(leaders.select("token", "block", F.col("leader.sid").alias("a"), F.col("leader.n").alias("n_a"), F.col("leader.pos").alias("pos_a")), "leaders")
     reach = leaders.withColumn("block", F.explode(F.array("block", F.col("block") + 1)))
     first = (
@@ -272,7 +277,7 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
         .select("a", F.col("sid").alias("b"), "n_a", F.col("n").alias("n_b"))
         .distinct()
     )
-    first = write_table(first, "first-pairs")
+    first = write_table(_promising(first, shared), "first-pairs")
     known = write_table(_overlaps(first, names, df, text_col, id_col), "first-answers")
     links = known.filter(similar(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b")
     comps = connected_components(links)
@@ -317,12 +322,13 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
     pairs = pairs.join(known.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     pairs = write_table(pairs, "second-pairs")
-    more = _overlaps(pairs.filter("not sure").drop("sure"), names, df, text_col, id_col)
+    open_pairs = write_table(_promising(pairs.filter("not sure").drop("sure"), shared), "open-pairs")
+    more = _overlaps(open_pairs, names, df, text_col, id_col)
     more = more.filter(similar(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b")
     more = write_table(more.unionByName(pairs.filter("sure").select("a", "b")), "second-links")
     if not more.isEmpty():
         comps = connected_components(links.unionByName(more))
-    for done in (first, leaders, labelled, placed, lists):
+    for done in (first, leaders, labelled, placed, lists, shared):
         drop_table(done)
 
     # names of components
@@ -346,12 +352,27 @@ def _lists_of_several(index: DataFrame) -> DataFrame:
 def _possible(n_a: str, pos_a: str, n_b: str, pos_b: str):
     """Whether sizes and positions leave room for enough common shingles.
 
-    ``pos`` counts the shingles before the common one; with it and all behind it common, the overlap is at most
-    1 + the fewer of the rest plus the fewer before.
+    ``pos`` counts the shingles before the one in common.  For the first common shingle of two sets the overlap
+    is at most what stands from there on in either set, and every similar pair meets at its first one.
     """
     a, b, i, j = F.col(n_a), F.col(n_b), F.col(pos_a), F.col(pos_b)
-    bound = 1 + F.least(a - i - 1, b - j - 1) + F.least(i, j)
-    return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b)) & ((100 + PERCENT) * bound >= PERCENT * (a + b))
+    rest = F.least(a - i, b - j)
+    return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b)) & ((100 + PERCENT) * rest >= PERCENT * (a + b))
+
+
+def _promising(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    """Pairs whose prefixes have enough shingles in common.
+
+    The prefix that ends earlier in the global order holds all common shingles up to there, so the overlap is at
+    most the common prefix shingles plus the rest of that set.  ``shared`` lists the prefix shingles of a set
+    that other sets have, too.
+    """
+    both = pairs.join(shared.select(F.col("sid").alias("b"), F.col("shared").alias("_b")), "b").join(
+        shared.select(F.col("sid").alias("a"), F.col("shared").alias("_a")), "a"
+    )
+    rest = F.ceil(PERCENT * F.greatest("n_a", "n_b") / 100) - 1
+    bound = F.size(F.array_intersect("_a", "_b")) + rest
+    return both.filter((100 + PERCENT) * bound >= PERCENT * (F.col("n_a") + F.col("n_b"))).select(*pairs.columns)
 
 
 def _overlaps(pairs: DataFrame, names: DataFrame, df: DataFrame, text_col: str, id_col: str) -> DataFrame:

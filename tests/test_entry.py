@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -24,7 +25,7 @@ def test_against_sql(spark, name):
     got = entry.queries()[name](spark, SF).toPandas()
     want = con.execute(entry.oracle_sql()[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
-    text = lambda x: f"{x:.5f}" if isinstance(x, (int, float)) else str(x)
+    text = lambda x: "null" if pd.isna(x) else f"{x:.5f}" if isinstance(x, (int, float)) else str(x)
     key = lambda df: sorted(tuple(map(text, row)) for row in df[sorted(df.columns)].astype(object).itertuples(index=False))
     assert key(got) == key(want)
 

@@ -59,7 +59,8 @@ def mod97(code: Column) -> Column:
         letter = F.ascii(ch) - 55
         return F.when(F.ascii(ch) < 58, (acc * 10 + F.ascii(ch) - 48) % 97).otherwise((acc * 100 + letter) % 97)
 
-    return F.aggregate(F.split(moved, "(?!^)"), F.lit(0), step) == 1
+    letters = F.transform(F.sequence(F.lit(1), F.length(moved)), lambda i: F.substring(moved, i, F.lit(1)))
+    return F.aggregate(letters, F.lit(0), step) == 1
 
 
 def _valid(kind: str, match: Column) -> Column:

@@ -139,10 +139,10 @@ class ShardStore:
             return newest
         folder = f"shards/m{newest + 1}-{uuid.uuid4().hex[:12]}"
         rows = self.read(newest)
-        named = plan.withColumnRenamed("shard", "_shard")
+        named = plan.select(F.col("shard").alias("_shard"), F.col("run").alias("_run"))
         named = F.broadcast(named) if small_enough(named, MANY_SHARDS) else named
-        moved = rows.join(named, F.col("shard") == F.col("_shard"))
-        merged = moved.repartitionById(int(top) + 1, F.col("run").cast("int")).drop("_shard", "shard", "run")
+        moved = rows.join(named, rows["shard"] == named["_shard"])
+        merged = moved.repartitionById(int(top) + 1, F.col("_run").cast("int")).drop("_shard", "shard", "_run")
         merged.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
         kept = self.manifest(newest).join(plan.select("shard"), "shard", "left_anti")
         return self._commit(kept.unionByName(self._files(folder, newest + 1)), newest + 1)
@@ -173,5 +173,7 @@ def shard_documents(df: DataFrame, path: str, target_bytes: int = 256 << 20, tex
     clean = df.drop(*[c for c in df.columns if c.lower() == "shard"])
     store.append(clean)
     version = store.compact()
+    if store.manifest(version).isEmpty():
+        return clean.limit(0).withColumn("shard", F.lit(None).cast("string"))
     store.vacuum()
     return store.read(version)

@@ -26,10 +26,13 @@ from .common import as_bytes, map_batches, may_learn
 WORD = re.compile(r"\w+")
 #: Chains are cut into pieces of this many words, and so many pieces advance together.
 CHAIN, LANES = 48, 8192
-#: Bound of the training sample: this many labelled documents of each class.
-SAMPLE_PER_CLASS = 700
-#: A feature marks toxic tokens if it is in at least LEAST toxic documents, with this ratio of document rates.
-LEAST, RATIO = 12, 12.0
+#: Bound of the training sample: this many labelled documents of the toxic class and of the other.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 700, 1400
+#: A feature marks toxic tokens if its rate of toxic documents is RATIO times that of others and it is in so many
+#: toxic documents that one in CHANCE such features would occur in toxic ones alone by chance.
+RATIO, CHANCE = 12.0, 1e6
+#: Documents a feature must be in to get a weight.
+SEEN = 8
 ROUNDS, RATE, DECAY = 25, 0.5, 1e-3
 #: Lengths of beginnings and of the ending.
 PREFIXES, SUFFIX = (4, 5, 6), 4
@@ -179,10 +182,11 @@ class ToxicityModel:
         df1 = np.bincount(pairs[in_toxic] % len(seen), minlength=len(seen))
         df0 = np.bincount(pairs[~in_toxic] % len(seen), minlength=len(seen))
         ratio = ((df1 + 0.5) / (n1 + 1)) / ((df0 + 0.5) / (n0 + 1))
-        marks = (df1 >= LEAST) & (ratio >= RATIO)
+        least = math.ceil(math.log(CHANCE) / math.log(len(truth) / n1))
+        marks = (df1 >= least) & (ratio >= RATIO)
         toxic_word = np.bincount(owner, marks[flat], len(number)) > 0
         labels = (toxic_word[tokens] & (truth[docs] == 1)).astype(np.float64)
-        used = (df1 + df0) >= LEAST
+        used = (df1 + df0) >= SEEN
         self._train(tokens, lengths, labels, flat, owner, used, len(seen))
         self.weights = {f: float(self._theta[k]) for f, k in seen.items() if used[k] and abs(self._theta[k]) > 1e-3}
         del self._theta
@@ -239,14 +243,14 @@ def train_toxicity_model(
     text_col: str = "text",
     id_col: str = "doc_id",
     label_col: str = "toxic",
-    most: int = SAMPLE_PER_CLASS,
+    most: tuple[int, int] = (SAMPLE_CLEAN, SAMPLE_TOXIC),
 ) -> ToxicityModel:
-    """Fit a model on at most ``most`` labelled documents of each class, drawn by a hash of their ids.
+    """Fit a model on at most ``most`` documents labelled clean and toxic, drawn by a hash of their ids.
 
     Only ids outside the held-out fold are drawn.  Without labelled rows of both classes every text gets the same score.
     """
     known = labels.filter(may_learn(id_col) & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("label"))
-    drawn = [known.filter(F.col("label") == y).orderBy(F.xxhash64(id_col), id_col).limit(most) for y in (0, 1)]
+    drawn = [known.filter(F.col("label") == y).orderBy(F.xxhash64(id_col), id_col).limit(most[y]) for y in (0, 1)]
     sample = drawn[0].unionByName(drawn[1]).withColumnRenamed(id_col, "_id")
     joined = df.filter(F.col(text_col).isNotNull()).join(F.broadcast(sample), df[id_col] == sample["_id"])
     rows = joined.select("_id", "label", F.col(text_col).alias("text")).collect()

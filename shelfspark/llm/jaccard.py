@@ -293,11 +293,15 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
         .join(answers.withColumnRenamed("a", "lead"), ["lead", "sid"], "left")
         .withColumn("away", F.when(F.col("lead") == F.col("sid"), 0).otherwise(F.col("away")))
     )
+    # a pair is met once, at its first common shingle: rows know the shingles of mixed lists before them
+    before = labelled.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("_all"))
+    passed = F.transform(F.filter("_all", lambda e: e["pos"] < F.col("pos")), lambda e: e["token"])
+    placed = placed.join(before, "sid").withColumn("passed", passed).drop("_all")
     placed = write_table(placed, "placed-lists")
     main = placed.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
     odd = placed.join(main, "token").filter("comp <> main")
-    x = odd.select("token", F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1)).alias("block"), *[F.col(c).alias(f"{c}_x") for c in ("sid", "n", "pos", "comp", "lead", "away")])
-    y = placed.select("token", "block", *[F.col(c).alias(f"{c}_y") for c in ("sid", "n", "pos", "comp", "lead", "away")])
+    x = odd.select("token", F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1)).alias("block"), *[F.col(c).alias(f"{c}_x") for c in ("sid", "n", "pos", "comp", "lead", "away", "passed")])
+    y = placed.select("token", "block", *[F.col(c).alias(f"{c}_y") for c in ("sid", "n", "pos", "comp", "lead", "away", "passed")])
     gap, joint = F.abs(F.col("away_x") - F.col("away_y")), F.col("away_x") + F.col("away_y")
     most = (100 - PERCENT) * (F.col("n_x") + F.col("n_y"))  # similar if (100 + PERCENT) * difference is at most this
     same_lead = F.col("lead_x").eqNullSafe(F.col("lead_y")) & gap.isNotNull()
@@ -305,6 +309,7 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
         (F.col("comp_x") != F.col("comp_y"))
         & _possible("n_x", "pos_x", "n_y", "pos_y")
         & ~F.coalesce(same_lead & ((100 + PERCENT) * gap > most), F.lit(False))
+        & ~F.arrays_overlap("passed_x", "passed_y")
     )
     swap = F.col("sid_x") > F.col("sid_y")
     pick = lambda c: F.when(swap, F.col(f"{c}_y")).otherwise(F.col(f"{c}_x"))

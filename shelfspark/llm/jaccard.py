@@ -38,6 +38,8 @@ SHINGLE, PERCENT = 5, 75
 #: Heavy hitters: local count from which a task reports a shingle, how many shingles a task counts at once,
 #: and how many of the most frequent ones are sent to the tasks (16 bytes each).
 REPORT, COUNT_AT_ONCE, HEAVY = 4, 2_000_000, 1 << 18
+#: Earlier shingles of a set that an entry of the second pass carries, so that a pair is met once rather than at each shingle.
+EARLIER = 4
 #: Words hashed together; longer texts are hashed in pieces.
 PIECE = 1 << 16
 
@@ -293,11 +295,14 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
         .join(answers.withColumnRenamed("a", "lead"), ["lead", "sid"], "left")
         .withColumn("away", F.when(F.col("lead") == F.col("sid"), 0).otherwise(F.col("away")))
     )
-    placed = write_table(placed, "placed-lists")
+    # pairs that share one of their last shingles before this one have met there, where less stood in their way
+    last = Window.partitionBy("sid").orderBy("pos").rowsBetween(-EARLIER, -1)
+    placed = write_table(placed.withColumn("earlier", F.collect_list("token").over(last)), "placed-lists")
     main = placed.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
     odd = placed.join(main, "token").filter("comp <> main")
-    x = odd.select("token", F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1)).alias("block"), *[F.col(c).alias(f"{c}_x") for c in ("sid", "n", "pos", "comp", "lead", "away")])
-    y = placed.select("token", "block", *[F.col(c).alias(f"{c}_y") for c in ("sid", "n", "pos", "comp", "lead", "away")])
+    carried = ("sid", "n", "pos", "comp", "lead", "away", "earlier")
+    x = odd.select("token", F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1)).alias("block"), *[F.col(c).alias(f"{c}_x") for c in carried])
+    y = placed.select("token", "block", *[F.col(c).alias(f"{c}_y") for c in carried])
     gap, joint = F.abs(F.col("away_x") - F.col("away_y")), F.col("away_x") + F.col("away_y")
     most = (100 - PERCENT) * (F.col("n_x") + F.col("n_y"))  # similar if (100 + PERCENT) * difference is at most this
     same_lead = F.col("lead_x").eqNullSafe(F.col("lead_y")) & gap.isNotNull()
@@ -305,6 +310,7 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
         (F.col("comp_x") != F.col("comp_y"))
         & _possible("n_x", "pos_x", "n_y", "pos_y")
         & ~F.coalesce(same_lead & ((100 + PERCENT) * gap > most), F.lit(False))
+        & ~F.arrays_overlap("earlier_x", "earlier_y")
     )
     swap = F.col("sid_x") > F.col("sid_y")
     pick = lambda c: F.when(swap, F.col(f"{c}_y")).otherwise(F.col(f"{c}_x"))
@@ -341,12 +347,14 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
 
 
 def _lists_of_several(index: DataFrame) -> DataFrame:
-    """Entries of the index lists that hold at least two sets, by one shuffle on the shingle.
+    """Entries of the index lists with another set of similar size in their list, by one shuffle on the shingle.
 
-    Heavy shingles don't come here, so no long list gathers in one window.
+    A list is sorted by size, so the neighbours of an entry tell whether any set of it can be similar.  Heavy shingles don't come here, so no long list gathers in one window.
     """
-    counted = index.withColumn("_n", F.count("*").over(Window.partitionBy("token").orderBy("sid").rowsBetween(-1, 1)))
-    return counted.filter("_n > 1").drop("_n")
+    order = Window.partitionBy("token").orderBy("at")
+    size, before, after = (F.shiftright(c, 32) for c in (F.col("at"), F.lag("at").over(order), F.lead("at").over(order)))
+    near = (100 * before >= PERCENT * size) | (100 * size >= PERCENT * after)
+    return index.withColumn("_near", near).filter("_near").drop("_near")
 
 
 def _possible(n_a: str, pos_a: str, n_b: str, pos_b: str):

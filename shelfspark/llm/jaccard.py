@@ -262,12 +262,14 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     index = sets.select("sid", "n", "rare", F.posexplode("prefix").alias("pos", "token"))
     packed = F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long"))  # half the shuffle of two columns
     index = index.select("token", "sid", packed.alias("at"), (F.col("pos") >= F.col("rare")).alias("heavy"))
-    lists = _lists_of_several(index.filter("not heavy").drop("heavy")).unionByName(index.filter("heavy").drop("heavy"))
-    lists = lists.select("token", "sid", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
+    lists = _lists_of_several(index.filter("not heavy").drop("heavy")).unionByName(index.filter("heavy").withColumn("meets", F.lit(True)).drop("heavy"))
+    lists = lists.select("token", "sid", *_unpacked(F.col("at")), "meets")
     lists = write_table(lists.withColumn("block", class_of(F.col("n"))), "index-lists")
     names = write_table(sets.select("sid", "n", "id", "digest"), "set-names")
     drop_table(sets)
+    # the bound on common shingles needs every entry, candidates come from lists that leave room for one
     shared = write_table(lists.groupBy("sid").agg(F.collect_list("token").alias("shared")), "shared-shingles")
+    lists = lists.filter("meets").drop("meets")
 
     # first answers: every set against the leaders of its own and of the next smaller block
     leaders = lists.groupBy("token", "block").agg(F.min(F.struct("pos", "n", "sid")).alias("leader"))
@@ -349,12 +351,24 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
 def _lists_of_several(index: DataFrame) -> DataFrame:
     """Entries of the index lists with another set of similar size in their list, by one shuffle on the shingle.
 
-    A list is sorted by size, so the neighbours of an entry tell whether any set of it can be similar.  Heavy shingles don't come here, so no long list gathers in one window.
+    A list is sorted by size, so the neighbours of an entry tell whether any set of it can be similar.  ``meets`` is false
+    where a list of two leaves no room for enough common shingles.  Heavy shingles don't come here, so no long list
+    gathers in one window.
     """
-    order = Window.partitionBy("token").orderBy("at")
-    size, before, after = (F.shiftright(c, 32) for c in (F.col("at"), F.lag("at").over(order), F.lead("at").over(order)))
-    near = (100 * before >= PERCENT * size) | (100 * size >= PERCENT * after)
-    return index.withColumn("_near", near).filter("_near").drop("_near")
+    order = Window.partitionBy("token").orderBy("at", "sid")
+    beside = {f"_{k}": F.lag("at", k).over(order) for k in (2, 1, -1, -2)}
+    placed = index.withColumns(beside)
+    n, pos = _unpacked(F.col("at"))
+    # null, which does not pass, where there is no entry beside
+    placed = placed.filter((100 * _unpacked(F.col("_1"))[0] >= PERCENT * n) | (100 * n >= PERCENT * _unpacked(F.col("_-1"))[0]))
+    more = F.col("_2").isNotNull() | F.col("_-2").isNotNull() | (F.col("_1").isNotNull() & F.col("_-1").isNotNull())
+    alone = _room(n, pos, *_unpacked(F.coalesce("_1", "_-1")))
+    return placed.withColumn("meets", more | alone).drop(*beside)
+
+
+def _unpacked(at):
+    """Set size and position of an entry."""
+    return F.shiftright(at, 32).alias("n"), at.bitwiseAND(F.lit((1 << 32) - 1)).alias("pos")
 
 
 def _possible(n_a: str, pos_a: str, n_b: str, pos_b: str):
@@ -363,7 +377,10 @@ def _possible(n_a: str, pos_a: str, n_b: str, pos_b: str):
     ``pos`` counts the shingles before the one in common.  For the first common shingle of two sets the overlap
     is at most what stands from there on in either set, and every similar pair meets at its first one.
     """
-    a, b, i, j = F.col(n_a), F.col(n_b), F.col(pos_a), F.col(pos_b)
+    return _room(F.col(n_a), F.col(pos_a), F.col(n_b), F.col(pos_b))
+
+
+def _room(a, i, b, j):
     rest = F.least(a - i, b - j)
     return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b)) & ((100 + PERCENT) * rest >= PERCENT * (a + b))
 

@@ -80,7 +80,7 @@ soft AS (SELECT *, w / sum(w) OVER (PARTITION BY user_id) AS probability FROM we
 _SIGNALS = ", ".join(f"('{e}', {p}.0::DOUBLE, {t}.0::DOUBLE, {str(m).lower()})" for e, (p, t, m) in EVENT_SIGNALS.items())
 DRAWS = """d0 AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 3 AS k FROM events),
 draws AS (
-  SELECT user_id, k, first_value(event_id) OVER o % (SELECT count(*) FROM part) + 1 AS appid, first_value(ts) OVER o AS drawn_at, ts AS created_at,
+  SELECT user_id, k, first_value(event_id) OVER o % (SELECT count(*) FROM part) + 1 AS appid, first_value(ts) OVER o AS drawn_at, ts AS created_at, event_id,
          [NULL, 'brain-off', 'chill', 'intense'][CAST(k % 4 AS INT) + 1] AS mood,
          CASE event_type WHEN 'purchase' THEN 'opened_on_steam' WHEN 'click' THEN 'liked' WHEN 'signup' THEN 'pinned' WHEN 'view' THEN 'drew_again'
            ELSE CASE WHEN event_id % 2 = 0 THEN 'reroll_not_interested' ELSE 'reroll_wrong_mood' END END AS event
@@ -245,4 +245,25 @@ def oracle_sql() -> dict[str, str]:
             SELECT p_partkey, k AS words, k AS ascii, k AS folded, k AS title, n || ' (2019) - Deluxe Edition|' || n || ' (2019)' AS variants
             FROM (SELECT *, trim(regexp_replace(lower(n || ' (2019) - Deluxe Edition'), '[^a-z0-9]+', ' ', 'g')) AS k FROM t)""",
         "genre_labels": """SELECT p_partkey, p_type || '|' || p_brand AS genres, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g')) AS key FROM part""",
+        "library_orders": w(LIB, """SELECT user_id, appid, row_number() OVER (PARTITION BY user_id ORDER BY last_played_at DESC NULLS LAST, title, appid) AS by_recent,
+            row_number() OVER (PARTITION BY user_id ORDER BY title, appid) AS by_title, row_number() OVER (PARTITION BY user_id ORDER BY hours DESC, title, appid) AS by_hours,
+            row_number() OVER (PARTITION BY user_id ORDER BY percent DESC, title, appid) AS by_progress,
+            row_number() OVER (PARTITION BY user_id ORDER BY added_at DESC, title, appid) AS by_added,
+            row_number() OVER (PARTITION BY user_id ORDER BY estimate ASC NULLS LAST, title, appid) AS by_duration,
+            row_number() OVER (PARTITION BY user_id ORDER BY list_position(['Completed', 'In Progress', 'Not Started', 'Slept'], status), title, appid) AS by_status FROM lib"""),
+        "recent_activity": w(LIB, """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY last_played_at DESC, title, appid) AS rank, appid, title
+            FROM lib WHERE hours > 0 AND last_played_at IS NOT NULL QUALIFY rank <= 4"""),
+        "showcase": w(f"{OWN}, f AS (SELECT *, status = 'Completed' AND last_played_at IS NOT NULL AS finished FROM own), g AS (SELECT *, bool_or(finished) OVER (PARTITION BY user_id) AS has_done FROM f)",
+            """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN finished THEN last_played_at END DESC NULLS LAST, hours DESC, appid) AS rank, appid, finished
+            FROM g WHERE finished OR (NOT has_done AND hours >= 1) QUALIFY rank <= 4"""),
+        "playtime_totals": w(OWN, """SELECT user_id, CAST(sum(floor(hours * 60 + 0.5::DOUBLE)) AS BIGINT) AS total_minutes, count(*) FILTER (WHERE floor(hours * 60 + 0.5::DOUBLE) > 0) AS played_games FROM own GROUP BY 1"""),
+        "pin_progress": w(f"{OWN}, p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY added_at, appid) AS slot FROM own)",
+            """SELECT user_id, slot, appid, gained, gained > 0.1 AS started FROM (SELECT *, CASE WHEN appid % 4 <> 0 THEN round(greatest(0, hours - floor(hours / 2)), 6) END AS gained
+            FROM p WHERE slot <= 5 AND status NOT IN ('Completed', 'Slept'))"""),
+        "draw_history": w(f"{CAT}, {DRAWS}, g AS (SELECT user_id, k, min(appid) AS appid, min(drawn_at) AS drawn_at, count(event) AS n_events, arg_max(event, (created_at, event_id)) AS last_event FROM draws GROUP BY 1, 2)",
+            """SELECT user_id, rank, appid, title, CASE WHEN CAST(drawn_at AS DATE) = DATE '2024-01-31' THEN 'Today' ELSE strftime(drawn_at, '%A %-d %b') END AS label, n_events, last_event
+            FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY drawn_at DESC, k DESC) AS rank FROM g) LEFT JOIN cat USING (appid) WHERE rank <= 50"""),
+        "ownership_reconcile": w(OWN, "SELECT user_id, appid, CASE WHEN (user_id + appid) % 9 <> 0 THEN 'Owned' ELSE 'Wishlist' END AS ownership FROM own"),
+        "device_facts": """SELECT p_partkey + 1 AS appid, CASE WHEN p_size % 5 = 0 THEN 3 WHEN p_size % 3 = 0 THEN 2 END AS deck_compatibility, CASE WHEN p_size % 4 = 0 THEN true END AS platform_mac
+            FROM part WHERE p_size % 5 = 0 OR p_size % 3 = 0 OR p_size % 4 = 0""",
     }

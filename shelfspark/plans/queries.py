@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.rules import LEGACY_PRESETS, PRESETS
-from ..operators import catalogue, draw, playtime, preferences, scoring, stats
+from ..operators import catalogue, draw, playtime, preferences, scoring, shelf, stats
 from ..sources import adapters, parsers
 from ..streaming import events as live
 
@@ -293,13 +293,50 @@ def pin_state(s, d):
     return live.run_once(live.pin_state(rows), "pin_state", _checkpoint(), "update")
 
 
+def library_orders(s, d):
+    return shelf.positions(lib(s, d), ["recent", "title", "hours", "progress", "added", "duration", "status"])
+
+
+def recent_activity(s, d):
+    return shelf.recent_activity(lib(s, d))
+
+
+def showcase(s, d):
+    return shelf.showcase(lib(s, d))
+
+
+def playtime_totals(s, d):
+    return shelf.playtime_totals(adapters.user_games(s, d))
+
+
+def pin_progress(s, d):
+    return shelf.pin_progress(adapters.pins(s, d), lib(s, d))
+
+
+def draw_history(s, d):
+    return shelf.draw_history(adapters.draws(s, d), adapters.catalog(s, d), clock())
+
+
+def ownership_reconcile(s, d):
+    """The latest payload lacks one in nine of the owned games."""
+    owned = adapters.user_games(s, d).select("user_id", "appid")
+    return shelf.reconcile(owned, owned.filter("(user_id + appid) % 9 <> 0"))
+
+
+def device_facts(s, d):
+    games = adapters.read(s, d, "part").select((F.col("p_partkey") + 1).alias("appid"), "p_size")
+    index = lambda k: games.filter(F.col("p_size") % k == 0)
+    return shelf.device_facts(games, index(5), index(3), index(4))
+
+
 NAMES = (
     "draw_pool_topk draw_pool_finish eligibility_funnel mood_and_sessions appeal softmax_probabilities softmax_pick quick_pick "
     "preference_tally preference_globals genre_idf preference_points review_tally library_stats backlog_stats best_value_topk "
     "enrichment_progress tab_counts playtime_gains playtime_streaks playtime_rollup visit_recap smart_collections collection_counts "
     "completion_queue purge_queue purge_standing rrf_cohort cohort_full_outer_merge dedupe_first_wins dedupe_last_wins coverage_anti "
     "eligible_semi duration_cascade tag_rank exclusion_rules title_normalise genre_labels status_histogram quality_gate "
-    "page_link_scan rate_window dedupe_window pin_state"
+    "page_link_scan rate_window dedupe_window pin_state library_orders recent_activity showcase playtime_totals pin_progress draw_history "
+    "ownership_reconcile device_facts"
 ).split()
 
 

@@ -74,6 +74,13 @@ def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five pinned games per user, the first added; one in four has no hours at pinning."""
+    order = Window.partitionBy("user_id").orderBy("added_at", "appid")
+    first = user_games(spark, sf_dir).withColumn("slot", F.row_number().over(order)).filter("slot <= 5")
+    return first.select("user_id", "slot", "appid", F.when(F.col("appid") % 4 != 0, F.floor(F.col("hours") / 2)).alias("hours_at_pin"))
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running total of minutes per user and day."""
     day = read(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.floor(F.sum("value")).alias("minutes"))

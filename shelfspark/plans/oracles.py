@@ -241,6 +241,11 @@ def oracle_sql() -> dict[str, str]:
         "page_link_scan": """SELECT DISTINCT unnest(regexp_extract_all(html, '<html lang="([a-z]+)"', 1)) AS id FROM pages""",
         "rate_window": """SELECT user_id, window_start, n, n > 1 AS over FROM (SELECT user_id, date_trunc('hour', ts) AS window_start, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL)""",
         "dedupe_window": "SELECT DISTINCT user_id, event_type FROM events WHERE event_type IN ('error', 'signup')",
+        "dedupe_events": """WITH RECURSIVE e AS (SELECT event_id, ts, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
+            r AS (SELECT *, ts AS last, true AS ok FROM e WHERE k = 1 UNION ALL
+              SELECT e.*, CASE WHEN e.ts > r.last + INTERVAL 10 MINUTE THEN e.ts ELSE r.last END, e.ts > r.last + INTERVAL 10 MINUTE
+              FROM r JOIN e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.k = r.k + 1)
+            SELECT event_id, ts, user_id, event_type FROM r WHERE ok""",
         "title_normalise": """WITH t AS (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS n FROM part)
             SELECT p_partkey, k AS words, k AS ascii, k AS folded, k AS title, n || ' (2019) - Deluxe Edition|' || n || ' (2019)' AS variants
             FROM (SELECT *, trim(regexp_replace(lower(n || ' (2019) - Deluxe Edition'), '[^a-z0-9]+', ' ', 'g')) AS k FROM t)""",

@@ -287,6 +287,12 @@ def dedupe_window(s, d):
     return live.run_once(rows.select("user_id", "event_type"), "dedupe_window", _checkpoint())
 
 
+def dedupe_events(s, d):
+    """The events of all types without repeats within 10 minutes."""
+    rows = adapters.read(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return live.accepted(rows.select("event_id", "ts", "user_id", "event_type"), ["user_id", "event_type"])
+
+
 def pin_state(s, d):
     kind = F.when(F.col("event_type") == "signup", "pinned").otherwise("unpinned")
     rows = event_stream(s, d, ["signup", "error"]).select("user_id", "ts", "event_id", (F.col("event_id") % 50).alias("appid"), kind.alias("event"))
@@ -336,7 +342,7 @@ NAMES = (
     "completion_queue purge_queue purge_standing rrf_cohort cohort_full_outer_merge dedupe_first_wins dedupe_last_wins coverage_anti "
     "eligible_semi duration_cascade tag_rank exclusion_rules title_normalise genre_labels status_histogram quality_gate "
     "page_link_scan rate_window dedupe_window pin_state library_orders recent_activity showcase playtime_totals pin_progress draw_history "
-    "ownership_reconcile device_facts"
+    "ownership_reconcile device_facts dedupe_events"
 ).split()
 
 

@@ -24,6 +24,33 @@ def drop_repeats(events: DataFrame, keys: list[str], within: str = "10 minutes")
     return events.withWatermark("ts", within).dropDuplicatesWithinWatermark(keys)
 
 
+def accepted(events: DataFrame, keys: list[str], seconds: int = 600) -> DataFrame:
+    """Events that repeat no accepted event of their keys from the last ``seconds``; a batch operator.
+
+    The span counts from the last accepted event, and one of exactly ``seconds`` still rejects.  Events without a
+    time are accepted.  Tasks fold sorted rows one by one and hold no group in memory.
+    """
+    rows = events.repartition(*keys).sortWithinPartitions(*keys, "ts", "event_id")
+
+    def fold(batches):
+        import pyarrow as pa
+
+        key, last = None, None
+        for batch in batches:
+            stamps = batch.column(batch.schema.get_field_index("ts")).cast(pa.int64()).to_pylist()
+            owners = zip(*[batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys], strict=True)
+            keep = []
+            for owner, at in zip(owners, stamps, strict=True):
+                if owner != key:
+                    key, last = owner, None
+                keep.append(at is None or last is None or at - last > seconds * 1_000_000)
+                if keep[-1] and at is not None:
+                    last = at
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(fold, rows.schema)
+
+
 def pin_state(events: DataFrame) -> DataFrame:
     """Pinned games per user after each batch: at most MAX_PINS, pinning again changes nothing."""
 

@@ -4,7 +4,9 @@ A dataset is a folder of immutable shard files and of versioned manifests:
 
 * ``append`` writes an arrival as small shards, as its scan deals the rows (no
   shuffle), and commits a manifest that lists them besides the older shards;
-* ``compact`` groups shards of one size tier into runs of about the target size,
+* ``split`` cuts arrivals of twice the target size or more by their row positions, so
+  that a large scan task or row group does not become one shard;
+* ``compact`` splits, then groups shards of one size tier into runs of about the target size,
   writes each run as one file and commits a manifest in which the new shard
   takes the place of its sources;
 * a commit renames a complete manifest folder to ``manifest/v=<version>``.
@@ -84,6 +86,10 @@ class ShardStore:
         tier = F.greatest(F.lit(0), F.floor(F.log(F.greatest(F.col("bytes"), F.lit(1)) / BASE) / F.log(F.lit(float(FANOUT)))))
         return found.select(name.alias("shard"), "rows", "bytes", tier.cast("int").alias("tier"), F.lit(version).alias("created"))
 
+    def _shard_name(self):
+        """The manifest's name of the file that a row is read from."""
+        return F.concat_ws("/", *[F.element_at(F.split(F.input_file_name(), "/"), -k) for k in (3, 2, 1)])
+
     def append(self, df: DataFrame) -> int:
         """Write an arrival as small shards and commit them; returns the version."""
         version = (self.versions() or [0])[-1] + 1
@@ -101,7 +107,7 @@ class ShardStore:
         if not folders:
             raise ValueError("no version has been committed")
         rows = self.spark.read.parquet(*[f"{self.path}/{f}" for f in folders])
-        named = rows.withColumn("shard", F.concat_ws("/", *[F.element_at(F.split(F.input_file_name(), "/"), -k) for k in (3, 2, 1)]))
+        named = rows.withColumn("shard", self._shard_name())
         live = known.select(F.col("shard").alias("_live"))
         live = F.broadcast(live) if small_enough(live, MANY_SHARDS) else live
         return named.join(live, named["shard"] == live["_live"], "left_semi")
@@ -130,9 +136,37 @@ class ShardStore:
         runs = many.select("tier", "_cut", (F.row_number().over(Window.orderBy("tier", "_cut")) - 1).alias("run"))
         return cut.join(runs, ["tier", "_cut"]).select("shard", "run")
 
+    def split(self) -> int:
+        """Cut shards of twice the target size or more into pieces of about that size; returns the newest version.
+
+        A shard is cut into even numbers of rows.  Pieces that are still too large, where long texts gather, are
+        cut again, so at the end only a single row is ever that large.
+        """
+        while True:
+            newest = (self.versions() or [0])[-1]
+            large = self.manifest(newest or None).filter((F.col("bytes") >= 2 * self.target_bytes) & (F.col("rows") > 1))
+            pieces = F.least(F.floor(F.col("bytes") / self.target_bytes), "rows")
+            before = F.coalesce(F.sum("_pieces").over(Window.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            named = large.select(F.col("shard").alias("_shard"), F.col("rows").alias("_rows"), pieces.alias("_pieces"))
+            named = write_table(named.withColumn("_first", before), "shard-pieces")
+            top = named.agg(F.sum("_pieces")).first()[0]
+            if top is None:
+                return newest
+            folder = f"shards/s{newest + 1}-{uuid.uuid4().hex[:12]}"
+            sources = [r[0] for r in named.select(F.substring_index("_shard", "/", 2)).distinct().collect()]
+            rows = self.spark.read.parquet(*[f"{self.path}/{f}" for f in sources])
+            rows = rows.select("*", F.col("_metadata.row_index").alias("_row"), self._shard_name().alias("_name"))
+            pieced = F.broadcast(named) if small_enough(named, MANY_SHARDS) else named
+            cut = rows.join(pieced, rows["_name"] == pieced["_shard"])
+            piece = F.col("_first") + F.floor(F.col("_row") * F.col("_pieces") / F.col("_rows"))
+            moved = cut.repartitionById(int(top), piece.cast("int")).drop("_row", "_name", "_shard", "_rows", "_pieces", "_first")
+            moved.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
+            kept = self.manifest(newest).join(named.select(F.col("_shard").alias("shard")), "shard", "left_anti")
+            self._commit(kept.unionByName(self._files(folder, newest + 1)), newest + 1)
+
     def compact(self) -> int:
-        """Merge the planned runs and commit; returns the newest version."""
-        newest = (self.versions() or [0])[-1]
+        """Split what is too large, merge the planned runs and commit; returns the newest version."""
+        newest = self.split()
         plan = write_table(self.plan(newest or None), "shard-plan")
         top = plan.agg(F.max("run")).first()[0]
         if top is None:

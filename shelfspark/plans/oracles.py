@@ -131,6 +131,14 @@ rrf AS (SELECT *, row_number() OVER (ORDER BY score DESC, best_rank, appid) AS r
 COHORTS = f"""{RRF},
 a AS (SELECT appid, p_name AS name, rank FROM rrf JOIN part ON appid = p_partkey + 1),
 b AS (SELECT appid, CASE WHEN appid % 5 = 0 THEN upper(p_name) ELSE p_name END AS name, rank FROM ranks JOIN part ON appid = p_partkey + 1 WHERE metric = 'revenue' AND rank <= 100)"""
+#: Every rank of the metrics, for the queries over whole rankings.
+WHOLE = {
+    "ranks": """per AS (SELECT l_partkey + 1 AS appid, count(*)::DOUBLE AS count, round(sum(l_extendedprice), 2) AS revenue, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1),
+long AS (SELECT appid, 'count' AS metric, count AS value FROM per UNION ALL SELECT appid, 'revenue', revenue FROM per UNION ALL SELECT appid, 'quantity', quantity FROM per),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, appid) AS rank FROM long)""",
+}
+WHOLE["rrf"] = RRF.replace(RANKS, WHOLE["ranks"])
+WHOLE["cohorts"] = COHORTS.replace(RANKS, WHOLE["ranks"])
 _REVIEWS = ", ".join(f"('{a}', {p}.0::DOUBLE, {t}.0::DOUBLE)" for a, (p, t) in REVIEW_SIGNALS.items())
 EPS = "greatest(0.000001::DOUBLE, least(0.999999::DOUBLE, {0}))"
 
@@ -241,6 +249,12 @@ def oracle_sql() -> dict[str, str]:
         "page_link_scan": """SELECT DISTINCT unnest(regexp_extract_all(html, '<html lang="([a-z]+)"', 1)) AS id FROM pages""",
         "rate_window": """SELECT user_id, window_start, n, n > 1 AS over FROM (SELECT user_id, date_trunc('hour', ts) AS window_start, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL)""",
         "dedupe_window": "SELECT DISTINCT user_id, event_type FROM events WHERE event_type IN ('error', 'signup')",
+        "whole_rrf_cohort": w(WHOLE["rrf"], "SELECT * FROM rrf"),
+        "whole_cohort_merge": w(WHOLE["cohorts"], "SELECT appid, coalesce(a.name, b.name) AS name, a.rank AS rank_a, b.rank AS rank_b, coalesce(a.name <> b.name, false) AS conflict FROM a FULL JOIN b USING (appid)"),
+        "whole_coverage_anti": w(WHOLE["cohorts"], "SELECT appid, rank FROM b WHERE appid NOT IN (SELECT appid FROM a)"),
+        "whole_eligible_semi": w(WHOLE["cohorts"], "SELECT appid, rank FROM b WHERE appid IN (SELECT appid FROM a)"),
+        "whole_dedupe_first_wins": w(WHOLE["ranks"], "SELECT appid, metric, rank FROM (SELECT *, row_number() OVER (PARTITION BY appid ORDER BY rank, metric) AS k FROM ranks) WHERE k = 1"),
+        "whole_quality_gate": w(WHOLE["ranks"], "SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS keys, count(*) FILTER (WHERE n > 1) AS repeated, 0::BIGINT AS blank_names FROM (SELECT appid, count(*) AS n FROM ranks GROUP BY 1)"),
         "dedupe_events": """WITH RECURSIVE e AS (SELECT event_id, ts, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
             r AS (SELECT *, ts AS last, true AS ok FROM e WHERE k = 1 UNION ALL
               SELECT e.*, CASE WHEN e.ts > r.last + INTERVAL 10 MINUTE THEN e.ts ELSE r.last END, e.ts > r.last + INTERVAL 10 MINUTE

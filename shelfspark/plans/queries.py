@@ -184,10 +184,10 @@ def rrf_cohort(s, d):
     return catalogue.fuse_ranks(adapters.rankings(s, d), 100)
 
 
-def cohorts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    names = adapters.catalog(s, d).select("appid", "title")
-    a = catalogue.fuse_ranks(adapters.rankings(s, d), 100).join(names, "appid").select("appid", F.col("title").alias("name"), "rank")
-    ranks = adapters.rankings(s, d).filter("metric = 'revenue' and rank <= 100").join(names, "appid")
+def cohorts(s: SparkSession, d: str, rankings: Callable[[SparkSession, str], DataFrame] = adapters.rankings) -> tuple[DataFrame, DataFrame]:
+    names, ranked = adapters.catalog(s, d).select("appid", "title"), rankings(s, d)
+    a = catalogue.fuse_ranks(ranked, 100).join(names, "appid").select("appid", F.col("title").alias("name"), "rank")
+    ranks = ranked.filter("metric = 'revenue' and rank <= 100").join(names, "appid")
     b = ranks.select("appid", F.when(F.col("appid") % 5 == 0, F.upper("title")).otherwise(F.col("title")).alias("name"), "rank")
     return a, b
 
@@ -217,6 +217,32 @@ def eligible_semi(s, d):
     return b.join(a, "appid", "left_semi").select("appid", "rank")
 
 
+def whole_rrf_cohort(s, d):
+    return catalogue.fuse_ranks(adapters.whole_rankings(s, d), 100)
+
+
+def whole_cohort_merge(s, d):
+    return catalogue.merge_cohorts(*cohorts(s, d, adapters.whole_rankings))
+
+
+def whole_coverage_anti(s, d):
+    a, b = cohorts(s, d, adapters.whole_rankings)
+    return b.join(a, "appid", "left_anti").select("appid", "rank")
+
+
+def whole_eligible_semi(s, d):
+    a, b = cohorts(s, d, adapters.whole_rankings)
+    return b.join(a, "appid", "left_semi").select("appid", "rank")
+
+
+def whole_dedupe_first_wins(s, d):
+    return catalogue.first_wins(adapters.whole_rankings(s, d), "appid", F.col("rank"), F.col("metric")).select("appid", "metric", "rank")
+
+
+def whole_quality_gate(s, d):
+    return catalogue.quality(adapters.whole_rankings(s, d), "appid", "metric")
+
+
 def duration_cascade(s, d):
     wanted = adapters.catalog(s, d).select("appid")
     part = adapters.read(s, d, "part").select(F.col("p_partkey").alias("k"), "p_size")
@@ -342,7 +368,8 @@ NAMES = (
     "completion_queue purge_queue purge_standing rrf_cohort cohort_full_outer_merge dedupe_first_wins dedupe_last_wins coverage_anti "
     "eligible_semi duration_cascade tag_rank exclusion_rules title_normalise genre_labels status_histogram quality_gate "
     "page_link_scan rate_window dedupe_window pin_state library_orders recent_activity showcase playtime_totals pin_progress draw_history "
-    "ownership_reconcile device_facts dedupe_events"
+    "ownership_reconcile device_facts dedupe_events "
+    "whole_rrf_cohort whole_cohort_merge whole_coverage_anti whole_eligible_semi whole_dedupe_first_wins whole_quality_gate"
 ).split()
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 NOW_ORDERS, NOW_EVENTS = "2001-12-01 00:00:00", "2024-01-31 00:00:00"
 USERS = 50
 GENRES = {"ECONOMY": "Casual", "STANDARD": "Action", "MEDIUM": "Adventure", "LARGE": "Strategy", "PROMO": "RPG"}
@@ -87,11 +89,28 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return day.select("user_id", "day", F.sum("minutes").over(Window.partitionBy("user_id").orderBy("day")).alias("total_minutes"))
 
 
-def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three popularity rankings of the games: rows per metric with rank and value."""
+def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per game and metric with its value."""
     per = read(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") + 1).alias("appid")).agg(
         F.count("*").cast("double").alias("count"), F.round(F.sum(F.col("l_extendedprice")), 2).alias("revenue"), F.sum("l_quantity").alias("quantity")
     )
-    long = per.unpivot("appid", ["count", "revenue", "quantity"], "metric", "value")
+    return per.unpivot("appid", ["count", "revenue", "quantity"], "metric", "value")
+
+
+def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three popularity rankings of the games, the first 1000 of each: rows per metric with rank and value."""
     best = Window.partitionBy("metric").orderBy(F.col("value").desc(), "appid")
-    return long.withColumn("rank", F.row_number().over(best)).filter("rank <= 1000")
+    return metrics(spark, sf_dir).withColumn("rank", F.row_number().over(best)).filter("rank <= 1000")
+
+
+def whole_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`rankings`, of all games.
+
+    Ranks come from a range-partitioned sort with offsets per partition, so that no task holds a whole metric.
+    """
+    order = [F.col("value").desc(), F.col("appid")]
+    parted = written(metrics(spark, sf_dir).orderBy("metric", *order).withColumn("_part", F.spark_partition_id()), "rankings")
+    before = Window.partitionBy("metric").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parted.groupBy("metric", "_part").agg(F.count("*").alias("_n")).select("metric", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    rank = F.row_number().over(Window.partitionBy("metric", "_part").orderBy(*order)) + F.col("_offset")
+    return parted.join(F.broadcast(offsets), ["metric", "_part"]).select("appid", "metric", "value", rank.alias("rank"))

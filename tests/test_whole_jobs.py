@@ -11,12 +11,16 @@ from shelfspark.streaming import events as live
 from tests.test_entry import SF, TABLES
 
 
-@pytest.mark.parametrize("name", ["dedupe_events"])
+#: sf0.01 has 2000 games, more than the 1000 ranks that the cut queries take.
+WHOLE = {n: SF.replace("sf0.001", "sf0.01") for n in entry.queries() if n.startswith("whole_")} | {"dedupe_events": SF}
+
+
+@pytest.mark.parametrize("name", WHOLE)
 def test_whole_against_sql(spark, name):
-    con = duckdb.connect()
+    con, folder = duckdb.connect(), WHOLE[name]
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    got = entry.queries()[name](spark, SF).toPandas()
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    got = entry.queries()[name](spark, folder).toPandas()
     want = con.execute(entry.oracle_sql()[name]).fetchdf()
     assert len(got) and sorted(got.columns) == sorted(want.columns)
     text = lambda x: "null" if pd.isna(x) else f"{x:.5f}" if isinstance(x, (int, float)) else str(x)
@@ -24,6 +28,14 @@ def test_whole_against_sql(spark, name):
     assert key(got) == key(want)
 
 
+def test_rankings_hold_every_game(spark):
+    folder = WHOLE["whole_quality_gate"]
+    games = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_partkey").distinct().count()
+    gate = entry.queries()["whole_quality_gate"](spark, folder).first()
+    assert games > 1000 and (gate.rows, gate.keys) == (3 * games, games)
+    assert entry.queries()["whole_dedupe_first_wins"](spark, folder).count() == games
+
+
 def test_repeats_count_from_the_last_accepted(spark):
     begin = datetime(2024, 1, 1)
     rows = [(k, 1, "click", begin + timedelta(minutes=m)) for k, m in enumerate((0, 9, 11, 21, 22, 9000))] + [(9, 2, "click", begin), (10, 1, "view", begin)]

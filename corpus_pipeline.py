@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm import decontaminate, jaccard, language_id, mixing, sharding
-from shelfspark.llm.common import semi, shared_dir
+from shelfspark.llm.common import semi, shared_dir, write_table
 from shelfspark.llm.queries import SHARD_BYTES
 
 
@@ -24,20 +24,25 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one whose id names the component.
+    """One row of each group of near-duplicates stays: the one with the smallest (id, set digest), null ids last.
 
-    Rows without an id are kept.  Of rows that share the surviving id one stays.
+    A row only goes if its own text's group keeps another row, also where ids repeat or are null.  Rows without
+    words are in no group and stay.
     """
-    found = jaccard.jaccard_components(docs.select("doc_id", "text"))
-    gone = found.filter("doc_id <> component_id").select("doc_id")
-    # an id goes only if no row of that id stands for its component
-    standing = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = semi(docs, gone.join(standing, "doc_id", "left_anti"), "doc_id", "left_anti")
-    twice = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    once = semi(kept, twice, "doc_id", "left_anti")
-    return once.unionByName(semi(kept, twice, "doc_id").dropDuplicates(["doc_id"]))
+    found = write_table(jaccard.jaccard_components(docs.select("doc_id", "text"), with_sets=True), "groups")
+    # the id of a single row tells whether that row goes; only the others' rows need their digests
+    per = found.groupBy("doc_id").agg(F.count("*").alias("n"))
+    unclear = write_table(per.filter("n > 1 or doc_id is null").select("doc_id"), "unclear-ids")
+    if unclear.isEmpty():
+        return semi(docs, found.filter("not stands").select("doc_id"), "doc_id", "left_anti")
+    gone = found.filter("not stands").select("doc_id")
+    clear = semi(semi(docs, unclear, "doc_id", "left_anti"), gone, "doc_id", "left_anti")
+    rest = jaccard.add_digests(semi(docs, unclear, "doc_id"))
+    best = found.filter("stands and set_digest is not null").select(F.col("doc_id").alias("_id"), F.col("set_digest").alias("_digest")).distinct()
+    won = rest.join(best, rest["doc_id"].eqNullSafe(best["_id"]) & (rest["set_digest"] == best["_digest"]))
+    # rows of one id and one set: partial minima, so that many copies gather nowhere
+    once = won.groupBy("_id", "_digest").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return clear.unionByName(rest.filter("set_digest is null").select(*docs.columns)).unionByName(once)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

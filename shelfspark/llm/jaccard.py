@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, drop_table, semi, small_enough, write_table
+from .common import as_bytes, drop_table, map_batches, semi, small_enough, write_table
 from .components import connected_components
 
 #: Words of a shingle, and the least similarity in percent.
@@ -240,13 +240,17 @@ def class_of(n):
     return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / math.log(100 / PERCENT) + 1e-9).cast("int")
 
 
-def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", with_sets: bool = False) -> DataFrame:
     """``doc_id`` (the id column), ``n_shingles`` and ``component_id`` of every row.
 
     Two documents are linked if their shingle sets have a Jaccard similarity of at least PERCENT / 100; the
     component is named by its smallest id.  Documents without words (null or empty text) have 0 shingles and are their
     own components.  A null id belongs to the component of its text, which is null only if no member has an id.
     Repeated rows get equal results; rows that share an id but not the text are judged by their texts.
+
+    ``with_sets`` adds ``set_digest`` of the row's shingle set (see :func:`add_digests`) and ``stands``: whether the
+    row has the smallest (id, digest) of its component, null ids last.  Unlike the component's id, this tells apart
+    rows that share an id or have none.
     """
     described = write_table(describe_sets(df, text_col, id_col), "described")
     sets = described.filter("n > 0").groupBy("digest").agg(
@@ -341,11 +345,27 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
 
     # names of components
     grouped = names.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    lowest = grouped.groupBy("comp").agg(F.min("id").alias("component_id"))
-    named = grouped.join(lowest, "comp").select("digest", "component_id")
-    joined = full.select("id", "n", "digest").join(named, "digest").select("id", "n", "component_id")
-    empty = docs.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return joined.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    lowest = grouped.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("lowest"))
+    named = grouped.join(lowest, "comp").select("digest", F.col("lowest.id").alias("component_id"), (F.col("digest") == F.col("lowest.digest")).alias("_best"))
+    stands = F.col("_best") & F.col("id").eqNullSafe(F.col("component_id"))
+    added = lambda stands: [F.col("digest").alias("set_digest"), stands.alias("stands")] if with_sets else []
+    joined = full.join(named, "digest").select("id", "n", "component_id", *added(stands))
+    empty = docs.filter("n = 0").withColumn("digest", F.lit(None).cast("binary"))
+    empty = empty.select("id", "n", F.col("id").alias("component_id"), *added(F.lit(True)))
+    return joined.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), *joined.columns[2:])
+
+
+def add_digests(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Add ``set_digest``, the digest of the row's shingle set: null if it is empty."""
+
+    def describe(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [shingle_set(t) for t in as_bytes(batch, text_col)]
+            yield batch, [pa.array([digest(own) if len(own) else None for own in sets], pa.binary())]
+
+    return map_batches(df, describe, [T.StructField("set_digest", T.BinaryType())])
 
 
 def _lists_of_several(index: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.rules import LEGACY_PRESETS, PRESETS
 from ..operators import catalogue, draw, playtime, preferences, scoring, shelf, stats
+from ..session import shared_path
 from ..sources import adapters, parsers
 from ..streaming import events as live
 
@@ -305,12 +306,12 @@ def _checkpoint() -> str:
 
 def rate_window(s, d):
     windows = live.rate_windows(event_stream(s, d, ["click", "view"]), 1, 3600, "1 day")
-    return live.run_once(windows, "rate_window", _checkpoint(), "complete")
+    return live.run_once(windows, shared_path(s, "rate_window"), _checkpoint(), "complete")
 
 
 def dedupe_window(s, d):
     rows = live.drop_repeats(event_stream(s, d, ["error", "signup"]), ["user_id", "event_type"], "40 days")
-    return live.run_once(rows.select("user_id", "event_type"), "dedupe_window", _checkpoint())
+    return live.run_once(rows.select("user_id", "event_type"), shared_path(s, "dedupe_window"), _checkpoint())
 
 
 def dedupe_events(s, d):
@@ -322,7 +323,7 @@ def dedupe_events(s, d):
 def pin_state(s, d):
     kind = F.when(F.col("event_type") == "signup", "pinned").otherwise("unpinned")
     rows = event_stream(s, d, ["signup", "error"]).select("user_id", "ts", "event_id", (F.col("event_id") % 50).alias("appid"), kind.alias("event"))
-    return live.run_once(live.pin_state(rows), "pin_state", _checkpoint(), "update")
+    return live.run_pins(rows, shared_path(s, "pin_state"), _checkpoint())
 
 
 def library_orders(s, d):

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 MAX_PINS = 3
 
@@ -51,25 +47,75 @@ def accepted(events: DataFrame, keys: list[str], seconds: int = 600) -> DataFram
     return rows.mapInArrow(fold, rows.schema)
 
 
-def pin_state(events: DataFrame) -> DataFrame:
-    """Pinned games per user after each batch: at most MAX_PINS, pinning again changes nothing."""
+def fold_pins(events: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Pinned games (``user_id``, ``pins``) after a batch: at most MAX_PINS, pinning again changes nothing.
+
+    ``before`` are the pins that earlier batches left.  Tasks fold sorted rows one by one and hold no group in memory.
+    """
+    rows = events.select("user_id", "ts", "event_id", "appid", "event", F.lit(None).cast("array<long>").alias("pins"))
+    if before is not None:
+        held = before.select("user_id", F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("appid"), F.lit("held").alias("event"), "pins")
+        rows = rows.unionByName(held)
+    rows = rows.repartition("user_id").sortWithinPartitions("user_id", F.col("event") != "held", F.col("ts").asc_nulls_last(), "event_id")
+
+    def fold(batches):
+        import pyarrow as pa
+
+        user, pins, begun = None, [], False
+        for batch in batches:
+            done = []
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("user_id", "appid", "event", "pins")]
+            for who, game, event, held in zip(*columns, strict=True):
+                if not begun or who != user:
+                    if begun:
+                        done.append((user, pins))
+                    user, pins, begun = who, [], True
+                if event == "held":
+                    pins = list(held)
+                elif event == "pinned" and game not in pins and len(pins) < MAX_PINS:
+                    pins.append(game)
+                elif event in ("unpinned", "drew_again") and game in pins:
+                    pins.remove(game)
+            yield _pin_rows(pa, done)
+        if begun:
+            yield _pin_rows(pa, [(user, pins)])
+
+    return rows.select("user_id", "appid", "event", "pins").mapInArrow(fold, "user_id long, pins array<long>")
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pins = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for game, event in zip(rows["appid"], rows["event"], strict=True):
-            if event == "pinned" and game not in pins and len(pins) < MAX_PINS:
-                pins.append(int(game))
-            elif event in ("unpinned", "drew_again") and game in pins:
-                pins.remove(game)
-        state.update((pins,))
-        yield pd.DataFrame({"user_id": [key[0]], "pins": [",".join(map(str, pins))]})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, pins string", "pins array<long>", "update", GroupStateTimeout.NoTimeout)
+def _pin_rows(pa, rows: list):
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["user_id", "pins"])
+
+
+def run_pins(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Fold a stream of pin events; the pins after each batch are written below ``path`` and carried into the next."""
+    done = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fold_pins(batch, spark.read.parquet(done[-1]) if done else None).write.mode("overwrite").parquet(f"{path}/{number}")
+        done.append(f"{path}/{number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    pins = spark.read.parquet(done[-1]) if done else spark.createDataFrame([], "user_id long, pins array<long>")
+    return pins.select("user_id", F.array_join("pins", ",").alias("pins"))
+
+
+def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is available, write its rows as Parquet below ``path`` and read them back.
+
+    Of the batches of a complete result the last one counts.
+    """
+    done = []
 
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        done.append(f"{path}/{number}")
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is available and return its rows."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*(done[-1:] if mode == "complete" else done))

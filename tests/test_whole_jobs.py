@@ -41,3 +41,18 @@ def test_repeats_count_from_the_last_accepted(spark):
     rows = [(k, 1, "click", begin + timedelta(minutes=m)) for k, m in enumerate((0, 9, 11, 21, 22, 9000))] + [(9, 2, "click", begin), (10, 1, "view", begin)]
     df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp").repartition(3)
     assert sorted(r.event_id for r in live.accepted(df, ["user_id", "event_type"]).collect()) == [0, 2, 4, 5, 9, 10]
+
+
+def test_streams_write_parquet_not_driver_memory(spark):
+    for name in ("rate_window", "dedupe_window", "pin_state"):
+        out = entry.queries()[name](spark, SF)
+        assert out.count() and all(f.endswith(".parquet") for f in out.inputFiles()), name
+
+
+def test_pins_carry_over_batches(spark):
+    begin = datetime(2024, 1, 1)
+    rows = [(k, 1, g, e, begin + timedelta(minutes=k)) for k, (g, e) in enumerate([(5, "pinned"), (6, "pinned"), (5, "pinned"), (7, "pinned"), (8, "pinned"), (6, "unpinned"), (9, "pinned")])]
+    df = spark.createDataFrame([*rows, (9, 2, 4, "unpinned", begin)], "event_id long, user_id long, appid long, event string, ts timestamp").repartition(3)
+    assert {r.user_id: r.pins for r in live.fold_pins(df).collect()} == {1: [5, 7, 9], 2: []}
+    halves = live.fold_pins(df.filter("event_id >= 4"), live.fold_pins(df.filter("event_id < 4")))
+    assert {r.user_id: r.pins for r in halves.collect()} == {1: [5, 7, 9], 2: []}

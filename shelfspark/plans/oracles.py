@@ -255,6 +255,7 @@ def oracle_sql() -> dict[str, str]:
         "whole_eligible_semi": w(WHOLE["cohorts"], "SELECT appid, rank FROM b WHERE appid IN (SELECT appid FROM a)"),
         "whole_dedupe_first_wins": w(WHOLE["ranks"], "SELECT appid, metric, rank FROM (SELECT *, row_number() OVER (PARTITION BY appid ORDER BY rank, metric) AS k FROM ranks) WHERE k = 1"),
         "whole_quality_gate": w(WHOLE["ranks"], "SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS keys, count(*) FILTER (WHERE n > 1) AS repeated, 0::BIGINT AS blank_names FROM (SELECT appid, count(*) AS n FROM ranks GROUP BY 1)"),
+        "page_hrefs": r"""SELECT DISTINCT page_id, q[2:-2] AS href FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*'')', 1)) AS q FROM pages)""",
         "dedupe_events": """WITH RECURSIVE e AS (SELECT event_id, ts, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
             r AS (SELECT *, ts AS last, true AS ok FROM e WHERE k = 1 UNION ALL
               SELECT e.*, CASE WHEN e.ts > r.last + INTERVAL 10 MINUTE THEN e.ts ELSE r.last END, e.ts > r.last + INTERVAL 10 MINUTE

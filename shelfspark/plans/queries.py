@@ -291,6 +291,10 @@ def page_link_scan(s, d):
     return parsers.page_links(adapters.read(s, d, "pages"), "html", r'<html lang="([a-z]+)"')
 
 
+def page_hrefs(s, d):
+    return parsers.page_hrefs(adapters.read(s, d, "pages"), "page_id", "html")
+
+
 def event_stream(s: SparkSession, d: str, types: list[str]) -> DataFrame:
     """The events as a file stream."""
     one = adapters.read(s, d, "events")
@@ -370,7 +374,7 @@ NAMES = (
     "eligible_semi duration_cascade tag_rank exclusion_rules title_normalise genre_labels status_histogram quality_gate "
     "page_link_scan rate_window dedupe_window pin_state library_orders recent_activity showcase playtime_totals pin_progress draw_history "
     "ownership_reconcile device_facts dedupe_events "
-    "whole_rrf_cohort whole_cohort_merge whole_coverage_anti whole_eligible_semi whole_dedupe_first_wins whole_quality_gate"
+    "whole_rrf_cohort whole_cohort_merge whole_coverage_anti whole_eligible_semi whole_dedupe_first_wins whole_quality_gate page_hrefs"
 ).split()
 
 

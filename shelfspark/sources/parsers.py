@@ -36,6 +36,12 @@ def page_links(df: DataFrame, html_col: str, pattern: str) -> DataFrame:
     return df.select(F.explode(F.regexp_extract_all(html_col, F.lit(pattern), F.lit(1))).alias("id")).distinct()
 
 
+def page_hrefs(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """Distinct (page, href) of all anchors with a quoted address."""
+    found = F.regexp_extract_all(html_col, F.lit(r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*')"""), F.lit(1))
+    return df.select(id_col, F.explode(found).alias("_q")).select(id_col, F.expr("substring(_q, 2, length(_q) - 2)").alias("href")).distinct()
+
+
 def paths(spark, folder: str, schema: str, multiline: bool = False) -> DataFrame:
     """JSON files of a folder with an explicit schema and their names."""
     reader = spark.read.schema(schema).option("multiLine", multiline)

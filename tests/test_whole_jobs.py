@@ -7,12 +7,13 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from shelfspark.sources import parsers
 from shelfspark.streaming import events as live
 from tests.test_entry import SF, TABLES
 
 
 #: sf0.01 has 2000 games, more than the 1000 ranks that the cut queries take.
-WHOLE = {n: SF.replace("sf0.001", "sf0.01") for n in entry.queries() if n.startswith("whole_")} | {"dedupe_events": SF}
+WHOLE = {n: SF.replace("sf0.001", "sf0.01") for n in entry.queries() if n.startswith("whole_")} | {"dedupe_events": SF, "page_hrefs": SF}
 
 
 @pytest.mark.parametrize("name", WHOLE)
@@ -56,3 +57,17 @@ def test_pins_carry_over_batches(spark):
     assert {r.user_id: r.pins for r in live.fold_pins(df).collect()} == {1: [5, 7, 9], 2: []}
     halves = live.fold_pins(df.filter("event_id >= 4"), live.fold_pins(df.filter("event_id < 4")))
     assert {r.user_id: r.pins for r in halves.collect()} == {1: [5, 7, 9], 2: []}
+
+
+def test_hrefs_of_awkward_anchors(spark):
+    html = """<html lang="en"><a href="/x">x</a><A class='k' HREF = '/y?a="1"'>y</A><a href="/x">x</a><a name="z"><abbr href="/no">"""
+    df = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
+    assert sorted(map(tuple, parsers.page_hrefs(df, "page_id", "html").collect())) == [(1, "/x"), (1, '/y?a="1"')]
+
+
+def test_vendor_payloads(spark):
+    games = '{"response":{"game_count":3,"games":[{"appid":1,"name":" A ","playtime_forever":90},{"appid":2,"name":"","playtime_forever":5},{"name":"C"}]}}'
+    out = parsers.owned_games(spark.createDataFrame([(7, games)], "user_id long, raw string"), "raw").collect()
+    assert [(r.user_id, r.appid, r.title, r.hours, r.status) for r in out] == [(7, 1, "A", 1.5, "In Progress")]
+    page = spark.createDataFrame([('{"30":{"appid":30,"name":"B"},"9":{"appid":9,"name":""},"4":{"appid":4,"name":"D"}}', 1)], "raw string, page long")
+    assert sorted((r["rank"], r.appid) for r in parsers.owner_page(page, "raw", "page", 1000).collect()) == [(1001, 30), (1003, 4)]

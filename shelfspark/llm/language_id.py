@@ -15,7 +15,7 @@ import math
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,8 @@ SEGMENT, PAD = 64, 256
 UNITS, LANES = 6, 2048
 #: Bound of the training sample: this many documents, and segments of each.
 SAMPLE_DOCS, SAMPLE_SEGMENTS = 3000, 4
+#: Rows drawn of every label at least, as far as there are so many; each task passes on no more.
+LABEL_DOCS = 20
 STEPS, BATCH, RATE = 240, 256, 0.03
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -211,11 +213,15 @@ def train_language_model(
 ) -> ByteGRU | None:
     """Fit a network on at most ``most`` labelled documents, drawn by a hash of their ids.
 
-    Only rows outside the held-out fold with a text and a label are drawn; None if there are none.  Of a very long
+    Of a label that this draw meets less often, the first LABEL_DOCS rows by the same hash are taken as well,
+    so every trainable label is known.  Only rows outside the held-out fold with a text and a label are drawn; None if there are none.  Of a very long
     text SAMPLE_SEGMENTS evenly spread segments are used.
     """
     able = df.filter(may_learn(id_col) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     drawn = able.select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(most)
+    first = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id")
+    each = able.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).withColumn("_k", F.row_number().over(first))
+    drawn = drawn.union(each.filter(F.col("_k") <= LABEL_DOCS).select("_id")).distinct()
     every = F.greatest(F.lit(1), F.floor(F.octet_length(F.encode(text_col, "utf-8")) / SAMPLE_SEGMENTS))
     piece = lambda k: F.substring(F.encode(text_col, "utf-8"), (k * every + 1).cast("int"), F.lit(SEGMENT))
     rows = (

@@ -24,8 +24,9 @@ from pyspark.sql import types as T
 from .common import as_bytes, map_batches, may_learn
 
 WORD = re.compile(r"\w+")
-#: Chains are cut into pieces of this many words, and so many pieces advance together.
-CHAIN, LANES = 48, 8192
+#: Pieces of a chain that advance together have so many words, and so many pieces are one block.  The pieces hand the
+#: messages of the random field over, so results are those of unbroken chains.
+PIECE, LANES = 48, 8192
 #: Bound of the training sample: this many labelled documents of the toxic class and of the other.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 700, 1400
 #: A feature marks toxic tokens if its rate of toxic documents is RATIO times that of others and it is in so many
@@ -85,47 +86,113 @@ def unlike(words: list[list[str]], draws: int = 4) -> list[int]:
     return kept
 
 
-def marginals(emissions: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward-backward over chains in columns, (steps, lanes).
+class Chains:
+    """Chains (documents) laid out as pieces in columns: (PIECE, pieces)."""
+
+    def __init__(self, lengths: np.ndarray):
+        pieces = -(-lengths // PIECE)
+        self.n = int(pieces.sum())
+        firsts = np.concatenate(([0], np.cumsum(pieces)[:-1])).astype(np.int64)
+        inside = np.arange(int(lengths.sum())) - np.repeat(np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
+        # token -> place in a (PIECE, n) grid
+        self.places = (inside % PIECE) * self.n + np.repeat(firsts, lengths) + inside // PIECE
+        #: pieces of a chain in turn: the first ones, the second ones of chains that have two, ...
+        self.turns = []
+        live, k = firsts[pieces > 0], 0
+        counts = pieces[pieces > 0]
+        while len(live):
+            self.turns.append(live)
+            k += 1
+            live, counts = live[counts > k] + 1, counts[counts > k]
+        self.first = np.zeros(self.n, bool)
+        self.first[firsts[pieces > 0]] = True
+        self.filled = np.zeros((PIECE, self.n), bool)
+        self.filled.ravel()[self.places] = True
+
+    def grid(self, values: np.ndarray, pad: float) -> np.ndarray:
+        out = np.full((PIECE, self.n), pad, values.dtype)
+        out.ravel()[self.places] = values
+        return out
+
+
+def _products(odds: np.ndarray, move: np.ndarray, chains: Chains) -> np.ndarray:
+    """Product of the transfer matrices of each piece, (2, 2, pieces), scaled; a chain's first word has no transition."""
+    out = np.empty((2, 2, odds.shape[1]))
+    out[0, 0], out[0, 1] = np.where(chains.first, 1, move[0, 0]), np.where(chains.first, 0, move[0, 1]) * odds[0]
+    out[1, 0], out[1, 1] = np.where(chains.first, 0, move[1, 0]), np.where(chains.first, 1, move[1, 1]) * odds[0]
+    for t in range(1, PIECE):
+        on = chains.filled[t]
+        zero = out[:, 0] * move[0, 0] + out[:, 1] * move[1, 0]
+        one = (out[:, 0] * move[0, 1] + out[:, 1] * move[1, 1]) * odds[t]
+        scale = 1 / (zero + one).sum(axis=0)
+        out[:, 0], out[:, 1] = np.where(on, zero * scale, out[:, 0]), np.where(on, one * scale, out[:, 1])
+    return out
+
+
+def marginals(emissions: np.ndarray, transitions: np.ndarray, chains: Chains) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward over whole chains: the marginals of state 1, (PIECE, pieces), and the summed pairwise ones (2, 2).
 
-    Returns the marginals of state 1 and the summed pairwise marginals (2, 2, lanes).  The score of state 1 is the
-    emission, that of state 0 is 0; ``transitions`` holds log weights.
+    The score of state 1 is the emission, that of state 0 is 0; ``transitions`` holds log weights.  The product
+    of a piece's transfer matrices takes a message across it, so each piece starts from the message of all words before
+    it and ends with that of all words after it.
     """
-    steps, lanes = emissions.shape
-    odds, move = np.exp(np.clip(emissions, -30, 30)), np.exp(transitions)
+    n = chains.n
+    move = np.exp(transitions)
+    enter, leave = np.ones((2, n)), np.ones((2, n))
+    if len(chains.turns) > 1:
+        product = np.empty((2, 2, n))
+        for at in range(0, n, LANES):
+            part = slice(at, at + LANES)
+            product[:, :, part] = _products(np.exp(np.clip(emissions[:, part], -30, 30)), move, _part(chains, part))
+        for turn in chains.turns[1:]:
+            moved = (enter[:, None, turn - 1] * product[:, :, turn - 1]).sum(axis=0)
+            enter[:, turn] = moved / moved.sum(axis=0)
+        for turn in reversed(chains.turns[1:]):
+            moved = (product[:, :, turn] * leave[None, :, turn]).sum(axis=1)
+            leave[:, turn - 1] = moved / moved.sum(axis=0)
+    out, pairs = np.empty(emissions.shape), np.zeros((2, 2))
+    for at in range(0, n, LANES):
+        part = slice(at, at + LANES)
+        odds = np.exp(np.clip(emissions[:, part], -30, 30))
+        out[:, part], more = _forward_backward(odds, move, _part(chains, part), enter[:, part], leave[:, part])
+        pairs += more
+    return out, pairs
+
+
+def _part(chains: Chains, part: slice) -> Chains:
+    out = object.__new__(Chains)
+    out.first, out.filled = chains.first[part], chains.filled[:, part]
+    return out
+
+
+def _forward_backward(odds, move, chains, enter, leave) -> tuple[np.ndarray, np.ndarray]:
+    steps, lanes = odds.shape
     forward, backward = np.empty((steps, 2, lanes)), np.empty((steps, 2, lanes))
+    before = enter
     for t in range(steps):
-        if t:
-            a, b = forward[t - 1]
-            forward[t, 0] = a * move[0, 0] + b * move[1, 0]
-            forward[t, 1] = (a * move[0, 1] + b * move[1, 1]) * odds[t]
-        else:
-            forward[t, 0], forward[t, 1] = 1.0, odds[t]
+        zero, one = before[0] * move[0, 0] + before[1] * move[1, 0], before[0] * move[0, 1] + before[1] * move[1, 1]
+        if t == 0:
+            zero, one = np.where(chains.first, before[0], zero), np.where(chains.first, before[1], one)
+        forward[t, 0], forward[t, 1] = zero, one * odds[t]
         forward[t] /= forward[t].sum(axis=0)
-    backward[-1] = 1.0
-    pairs = np.zeros((2, 2, lanes))
-    for t in range(steps - 2, -1, -1):
-        a, b = backward[t + 1, 0], backward[t + 1, 1] * odds[t + 1]
-        backward[t, 0] = move[0, 0] * a + move[0, 1] * b
-        backward[t, 1] = move[1, 0] * a + move[1, 1] * b
-        joint = forward[t][:, None] * move[:, :, None] * np.stack((a, b))[None]
-        pairs += joint / joint.sum(axis=(0, 1))
-        backward[t] /= backward[t].sum(axis=0)
+        before = forward[t]
+    pairs = np.zeros((2, 2))
+    after = leave
+    for t in range(steps - 1, -1, -1):
+        # the last word of a piece takes the message that comes back into it
+        on = chains.filled[t]
+        backward[t] = after
+        source = forward[t - 1] if t else enter
+        a, b = after[0], after[1] * odds[t]
+        joint = source[:, None] * move[:, :, None] * np.stack((a, b))[None]
+        joint /= joint.sum(axis=(0, 1))
+        pairs += (joint * (on & ~chains.first if t == 0 else on)).sum(axis=2)
+        moved = np.stack((move[0, 0] * a + move[0, 1] * b, move[1, 0] * a + move[1, 1] * b))
+        after = np.where(on, moved / moved.sum(axis=0), leave)
     one = forward[:, 1] * backward[:, 1]
     return one / (one + forward[:, 0] * backward[:, 0]), pairs
 
 
-def _columns(values: np.ndarray, lengths: np.ndarray, pad: float) -> tuple[np.ndarray, np.ndarray]:
-    """Concatenated documents as chains in columns, and where each value went."""
-    chains = -(-lengths // CHAIN)
-    starts = np.concatenate(([0], np.cumsum(chains)[:-1]))
-    inside = np.arange(len(values)) - np.repeat(np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
-    places = (np.repeat(starts, lengths) + inside // CHAIN) * CHAIN + inside % CHAIN
-    grid = np.full((int(chains.sum()), CHAIN), pad, values.dtype)
-    grid.ravel()[places] = values
-    return grid, places
-
-
 class ToxicityModel:
     """Weights of the random field and of the document score."""
 
@@ -136,11 +203,8 @@ class ToxicityModel:
 
     def token_marginals(self, emissions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Marginal of each token of concatenated documents."""
-        grid, places = _columns(emissions, lengths, -30.0)
-        out = np.empty(grid.shape)
-        for at in range(0, len(grid), LANES):
-            out[at : at + LANES] = marginals(grid[at : at + LANES].T, self.transitions)[0].T
-        return out.ravel()[places]
+        chains = Chains(lengths)
+        return marginals(chains.grid(emissions, 0.0), self.transitions, chains)[0].ravel()[chains.places]
 
     def document_features(self, probabilities: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """(1, greatest marginal, log of 1 + expected toxic tokens) of each document."""
@@ -199,20 +263,17 @@ class ToxicityModel:
         n_words = int(owner[-1]) + 1
         theta, bias, move = np.zeros(n_features), -4.0, np.zeros((2, 2))
         seen_theta, seen_bias, seen_move = np.full(n_features, 1e-8), 1e-8, np.full((2, 2), 1e-8)
-        truth, places = _columns(labels, lengths, 0.0)
+        chains = Chains(lengths)
         count = max(1.0, labels.sum())
-        before, after = truth[:, :-1].astype(int), truth[:, 1:].astype(int)
-        observed = np.bincount((before * 2 + after).ravel(), minlength=4).reshape(2, 2)
+        inner = np.ones(len(labels), bool)
+        inner[np.concatenate(([0], np.cumsum(lengths)[:-1]))[lengths > 0]] = False  # tokens with one before them
+        states = labels.astype(int)
+        observed = np.bincount((states[:-1] * 2 + states[1:])[inner[1:]], minlength=4).reshape(2, 2)
         usable = used[flat]
         for _ in range(ROUNDS):
             word_scores = bias + np.bincount(owner, theta[flat] * usable, n_words)
-            grid, _ = _columns(word_scores[tokens], lengths, -30.0)
-            probabilities, expected = np.empty(grid.shape), np.zeros((2, 2))
-            for at in range(0, len(grid), LANES):
-                p, pairs = marginals(grid[at : at + LANES].T, move)
-                probabilities[at : at + LANES] = p.T
-                expected += pairs.sum(axis=2)
-            error = (probabilities - truth).ravel()[places] / count
+            probabilities, expected = marginals(chains.grid(word_scores[tokens], 0.0), move, chains)
+            error = (probabilities.ravel()[chains.places] - labels) / count
             by_word = np.bincount(tokens, error, n_words)
             slope = np.bincount(flat, by_word[owner] * usable, n_features) + DECAY * theta / count
             slope_bias, slope_move = by_word.sum(), (expected - observed) / count
@@ -245,16 +306,21 @@ def train_toxicity_model(
     label_col: str = "toxic",
     most: tuple[int, int] = (SAMPLE_CLEAN, SAMPLE_TOXIC),
 ) -> ToxicityModel:
-    """Fit a model on at most ``most`` documents labelled clean and toxic, drawn by a hash of their ids.
+    """Fit a model on at most ``most`` rows labelled clean and toxic, drawn by a hash of id and text.
 
-    Only ids outside the held-out fold are drawn.  Without labelled rows of both classes every text gets the same score.
+    Only rows outside the held-out fold with an id, a text and a label of 0 or 1 are drawn; an id with both labels counts
+    as toxic.  Of rows with the same id and text one is drawn; ties in the hash are decided by the id.  Whole texts
+    are learned from, of any length, empty ones included.  Without labelled rows of both classes, as in empty tables,
+    every text gets the same score.  Other columns are not read, whatever their names.
     """
-    known = labels.filter(may_learn(id_col) & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("label"))
-    drawn = [known.filter(F.col("label") == y).orderBy(F.xxhash64(id_col), id_col).limit(most[y]) for y in (0, 1)]
-    sample = drawn[0].unionByName(drawn[1]).withColumnRenamed(id_col, "_id")
-    joined = df.filter(F.col(text_col).isNotNull()).join(F.broadcast(sample), df[id_col] == sample["_id"])
-    rows = joined.select("_id", "label", F.col(text_col).alias("text")).collect()
-    rows.sort(key=lambda r: (r._id, r.text))
+    known = labels.filter(may_learn(id_col) & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
+    texts = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = texts.withColumn("h", F.xxhash64("id", "text"))
+    keys = texts.select("id", "h").join(known, "id")
+    drawn = [keys.filter(F.col("label") == y).distinct().orderBy("h", "id").limit(most[y]) for y in (0, 1)]
+    sample = F.broadcast(drawn[0].unionByName(drawn[1]))
+    rows = texts.join(sample, ["id", "h"]).dropDuplicates(["id", "h"]).select("id", "label", "text").collect()
+    rows.sort(key=lambda r: (r.id, r.text))
     return ToxicityModel().fit([r.text for r in rows], [int(r.label) for r in rows])
 
 
@@ -267,7 +333,8 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text")
     """Add ``score`` (0 to 1) and ``toxic_spans`` (code points, end exclusive, greatest marginal) to every row.
 
     Adjacent tokens with a marginal of at least one half form a span.  Null and empty texts have the score of a
-    text without toxic tokens and no spans.
+    text without toxic tokens and no spans.  Repeated rows are scored alike, texts of any length are read whole
+    as one chain, an empty table stays empty.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 

@@ -83,16 +83,24 @@ def test_digest_collisions_are_confirmed(tmp_path):
 # --- 2: toxicity, 4: language ID ------------------------------------------------------------------
 
 
-def test_marginals_equal_enumeration():
+def test_marginals_equal_enumeration(monkeypatch):
+    monkeypatch.setattr(toxicity, "PIECE", 3)
+    monkeypatch.setattr(toxicity, "LANES", 2)
     rng = np.random.default_rng(1)
-    emissions, move = rng.normal(size=(4, 3)), rng.normal(size=(2, 2))
-    got, _ = toxicity.marginals(emissions, move)
-    for lane in range(3):
-        weights = {}
-        for path in np.ndindex(2, 2, 2, 2):
-            weights[path] = np.exp(sum(emissions[t, lane] * s for t, s in enumerate(path)) + sum(move[a, b] for a, b in zip(path, path[1:], strict=False)))
-        for t in range(4):
-            assert got[t, lane] == pytest.approx(sum(w for p, w in weights.items() if p[t]) / sum(weights.values()))
+    lengths, move = np.array([7, 0, 1, 3, 4, 12]), rng.normal(size=(2, 2))
+    emissions, chains = rng.normal(size=lengths.sum()) * 2, toxicity.Chains(lengths)
+    got, pairs = toxicity.marginals(chains.grid(emissions, 0.0), move, chains)
+    got, at, want_pairs = got.ravel()[chains.places], 0, np.zeros((2, 2))
+    for n in lengths:
+        weights = {p: np.exp(sum(emissions[at + t] * s for t, s in enumerate(p)) + sum(move[x, y] for x, y in zip(p, p[1:], strict=False))) for p in np.ndindex(*(2,) * n)}
+        total = sum(weights.values())
+        for t in range(n):
+            assert got[at + t] == pytest.approx(sum(w for p, w in weights.items() if p[t]) / total)
+        for p, w in weights.items():
+            for x, y in zip(p, p[1:], strict=False):
+                want_pairs[x, y] += w / total
+        at += n
+    assert np.allclose(pairs, want_pairs)
 
 
 def test_toxicity_on_held_out(spark):

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Most bytes of keys and values (with 16 for each row) that are broadcast; beyond it both sides are shuffled.
+BROADCAST_BYTES = 32 << 20
 #: Folds of the learned operators: a row is held out if crc32(doc_id) mod 5 is 0.
 FOLDS = 5
 
@@ -16,13 +18,15 @@ FOLDS = 5
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests, a laptop) a temporary one is set.
+    Only where the session names none and runs on one machine (tests, a laptop) a temporary one is set.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -91,18 +95,19 @@ def as_bytes(batch, name: str) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
-def small_enough(df: DataFrame, most: int) -> bool:
-    """Whether ``df`` has at most ``most`` rows (checked before a broadcast)."""
-    return df.limit(most + 1).count() <= most
+def small_enough(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of ``df`` take at most ``most`` bytes (measured before a broadcast)."""
+    measured = (T.StringType, T.BinaryType)
+    width = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) if isinstance(f.dataType, measured) else F.lit(8) for f in df.schema.fields), F.lit(16))
+    return (df.agg(F.sum(width.cast("long"))).first()[0] or 0) <= most
 
 
-def semi(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi", most: int = 2_000_000) -> DataFrame:
+def semi(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
     """Semi or anti join on one null-safe key.
 
-    ``ids`` is broadcast only if a count shows at most ``most`` rows; beyond
-    that both sides are shuffled on the key.
+    ``ids`` is broadcast only if its measured bytes are few; beyond that both sides are shuffled on the key.
     """
     keys = ids.select(F.col(on).alias("_semi_key")).distinct()
-    if small_enough(keys, most):
+    if small_enough(keys):
         keys = F.broadcast(keys)
     return df.join(keys, df[on].eqNullSafe(keys["_semi_key"]), how)

@@ -40,6 +40,8 @@ SHINGLE, PERCENT = 5, 75
 REPORT, COUNT_AT_ONCE, HEAVY = 4, 2_000_000, 1 << 18
 #: Earlier shingles of a set that an entry of the second pass carries, so that a pair is met once rather than at each shingle.
 EARLIER = 4
+#: Pairs of one set that go to a task together; the pairs of a set with more are dealt over several tasks.
+PAIRS = 128
 #: Words hashed together; longer texts are hashed in pieces.
 PIECE = 1 << 16
 
@@ -217,17 +219,36 @@ def read_sets(df: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -> D
 
     found = rows.mapInArrow(read, "digest binary, own array<long>")
     names = wanted.select("sid", "digest")
-    names = F.broadcast(names) if small_enough(names, 2_000_000) else names
+    names = F.broadcast(names) if small_enough(names) else names
     return found.join(names, "digest").select("sid", "own")
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Add the exact ``overlap`` of the sets ``a`` and ``b`` of each pair."""
-    left = sets.select(F.col("sid").alias("b"), F.col("own").alias("_b"))
-    right = sets.select(F.col("sid").alias("a"), F.col("own").alias("_a"))
-    both = pairs.join(left, "b").join(right, "a")
+def with_both(pairs: DataFrame, sets: DataFrame, value: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Add ``_a`` and ``_b``, the ``value`` of the sets (``sid``) of each pair; also gives tables to drop later.
+
+    A set with very many pairs, as the leader of a large group has, is copied once for every PAIRS of them, so its
+    pairs don't gather in one task.  ``pairs`` is a written table.
+    """
+    out, sides, used = pairs, [], []
+    for key, other in (("b", "a"), ("a", "b")):
+        many = pairs.groupBy(key).count().filter(F.col("count") > PAIRS).select(F.col(key).alias("sid"), F.ceil(F.col("count") / PAIRS).alias("parts"))
+        used.append(write_table(many, "sets-of-many-pairs"))
+        many = F.broadcast(used[-1]) if small_enough(used[-1]) else used[-1]
+        copies = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts") - 1, F.lit(0).cast("long")))
+        copied = sets.join(many, "sid", "left").select(F.col("sid").alias(key), F.col(value).alias(f"_{key}"), F.explode(copies).alias(f"part_{key}"))
+        part = F.coalesce(F.pmod(F.xxhash64(other), F.col("parts")), F.lit(0).cast("long"))
+        out = out.join(many.withColumnRenamed("sid", key), key, "left").withColumn(f"part_{key}", part).drop("parts")
+        sides.append((copied, [key, f"part_{key}"]))
+    for copied, on in sides:
+        out = out.join(copied, on)
+    return out, used
+
+
+def verify(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Add the exact ``overlap`` of the sets ``a`` and ``b`` of each pair; also gives tables to drop later."""
+    both, used = with_both(pairs, sets, "own")
     # equal rows may appear where a document is repeated
-    return both.select(*pairs.columns, F.size(F.array_intersect("_a", "_b")).cast("long").alias("overlap")).distinct()
+    return both.select(*pairs.columns, F.size(F.array_intersect("_a", "_b")).cast("long").alias("overlap")).distinct(), used
 
 
 def similar(overlap, n_a, n_b):
@@ -273,7 +294,7 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     drop_table(sets)
     # the bound on common shingles needs every entry, candidates come from lists that leave room for one
     shared = write_table(lists.groupBy("sid").agg(F.collect_list("token").alias("shared")), "shared-shingles")
-    lists = lists.filter("meets").drop("meets")
+    written_lists, lists = lists, lists.filter("meets").drop("meets")
 
     # first answers: every set against the leaders of its own and of the next smaller block
     leaders = lists.groupBy("token", "block").agg(F.min(F.struct("pos", "n", "sid")).alias("leader"))
@@ -285,8 +306,8 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
         .select("a", F.col("sid").alias("b"), "n_a", F.col("n").alias("n_b"))
         .distinct()
     )
-    first = write_table(_promising(first, shared), "first-pairs")
-    known = write_table(_overlaps(first, names, df, text_col, id_col), "first-answers")
+    first = _promising(write_table(first, "first-candidates"), shared, "first-pairs")
+    known = _overlaps(first, names, df, text_col, id_col, "first-answers")
     links = known.filter(similar(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b")
     comps = connected_components(links)
 
@@ -334,13 +355,15 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
     pairs = pairs.join(known.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     pairs = write_table(pairs, "second-pairs")
-    open_pairs = write_table(_promising(pairs.filter("not sure").drop("sure"), shared), "open-pairs")
-    more = _overlaps(open_pairs, names, df, text_col, id_col)
-    more = more.filter(similar(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b")
-    more = write_table(more.unionByName(pairs.filter("sure").select("a", "b")), "second-links")
+    sure = write_table(pairs.filter("sure").select("a", "b"), "sure-links")
+    unsure = write_table(pairs.filter("not sure").drop("sure"), "second-candidates")
+    drop_table(pairs)
+    open_pairs = _promising(unsure, shared, "open-pairs")
+    answered = _overlaps(open_pairs, names, df, text_col, id_col, "second-answers")
+    more = answered.filter(similar(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b").unionByName(sure)
     if not more.isEmpty():
         comps = connected_components(links.unionByName(more))
-    for done in (first, leaders, labelled, placed, lists, shared):
+    for done in (first, leaders, labelled, placed, written_lists, shared, known, sure, open_pairs, answered):
         drop_table(done)
 
     # names of components
@@ -405,23 +428,28 @@ def _room(a, i, b, j):
     return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b)) & ((100 + PERCENT) * rest >= PERCENT * (a + b))
 
 
-def _promising(pairs: DataFrame, shared: DataFrame) -> DataFrame:
-    """Pairs whose prefixes have enough shingles in common.
+def _promising(pairs: DataFrame, shared: DataFrame, name: str) -> DataFrame:
+    """Pairs of a written table whose prefixes have enough shingles in common, as the table ``name``; ``pairs`` goes.
 
     The prefix that ends earlier in the global order holds all common shingles up to there, so the overlap is at
     most the common prefix shingles plus the rest of that set.  ``shared`` lists the prefix shingles of a set
     that other sets have, too.
     """
-    both = pairs.join(shared.select(F.col("sid").alias("b"), F.col("shared").alias("_b")), "b").join(
-        shared.select(F.col("sid").alias("a"), F.col("shared").alias("_a")), "a"
-    )
+    both, used = with_both(pairs, shared, "shared")
     rest = F.ceil(PERCENT * F.greatest("n_a", "n_b") / 100) - 1
     bound = F.size(F.array_intersect("_a", "_b")) + rest
-    return both.filter((100 + PERCENT) * bound >= PERCENT * (F.col("n_a") + F.col("n_b"))).select(*pairs.columns)
+    out = write_table(both.filter((100 + PERCENT) * bound >= PERCENT * (F.col("n_a") + F.col("n_b"))).select(*pairs.columns), name)
+    for done in (pairs, *used):
+        drop_table(done)
+    return out
 
 
-def _overlaps(pairs: DataFrame, names: DataFrame, df: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """Verify pairs: reads only the sets that occur in them."""
+def _overlaps(pairs: DataFrame, names: DataFrame, df: DataFrame, text_col: str, id_col: str, name: str) -> DataFrame:
+    """Verify pairs, as the table ``name``: reads only the sets that occur in them."""
     wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     wanted = write_table(names.join(wanted, "sid"), "wanted")
-    return verify(pairs, read_sets(df, wanted, text_col, id_col))
+    verified, used = verify(pairs, read_sets(df, wanted, text_col, id_col))
+    out = write_table(verified, name)
+    for done in (wanted, *used):
+        drop_table(done)
+    return out

@@ -19,9 +19,17 @@ LG_K = 8
 NEAR = 2.0
 
 
+#: White space around a line that does not count.
+BLANKS = " \t\r\x0b\x0c"
+
+
+def trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANKS))
+
+
 def line_hashes(text: Column) -> Column:
     """64-bit hashes of the distinct lines of a text that hold more than white space."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), trimmed), lambda x: x != "")
     return F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))
 
 
@@ -49,26 +57,31 @@ def remove_boilerplate(
 ) -> DataFrame:
     """Add ``clean_text`` (the text without boilerplate lines), ``n_lines`` and ``n_removed``.
 
-    Lines are compared after trimming blanks; blank lines stay and are never boilerplate.  A null text gives a null
-    ``clean_text`` and no lines; a null site counts as one site.  Rows with equal ids share one set of lines to drop,
-    which is right for repeated rows too, as whether a line is boilerplate does not depend on the row.
+    Lines are compared without ASCII white space at their ends; lines of nothing else stay and are never boilerplate.
+    A null text gives a null ``clean_text`` and no lines; a null site counts as one site.  Rows are matched with the
+    lines to drop by id and a hash of the text, so rows that share an id, or have none, are judged by their
+    own texts; where two texts share the hash, both drop what is boilerplate in either.  Repeated rows are cleaned alike, texts of any
+    length are whole, an empty table stays empty, other columns pass through whatever their names.
     """
     base = df.drop(*[c for c in df.columns if c.lower() in ("clean_text", "n_lines", "n_removed")])
+    own = base.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     lines = base.select(
-        F.col(id_col).alias("_id"),
+        F.col(id_col).alias("id"),
+        F.xxhash64(text_col).alias("h"),
         F.coalesce(F.concat(F.lit("s"), F.col(site_col).cast("string")), F.lit("n")).alias("_site"),
         F.explode(line_hashes(F.col(text_col))).alias("_line"),
     )
     common = write_table(boilerplate_lines(lines.select("_line", "_site"), min_sites), "boilerplate")
-    hits = lines.join(common, "_line", "left_semi").groupBy("_id").agg(F.collect_set("_line").alias("_drop"))
-    joined = base.join(hits, base[id_col].eqNullSafe(hits["_id"]), "left").drop("_id")
-    every = F.split(F.col(text_col), "\n")
-    dropped = lambda x: F.array_contains(F.col("_drop"), F.xxhash64(F.trim(x))) & (F.trim(x) != "")
-    kept = F.when(F.col("_drop").isNull(), every).otherwise(F.filter(every, lambda x: ~dropped(x)))
-    return (
-        joined.withColumn("_kept", kept)
-        .withColumn("n_lines", F.coalesce(F.size(every), F.lit(0)).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.size(every) - F.size("_kept"), F.lit(0)).cast("long"))
-        .withColumn("clean_text", F.when(F.col(text_col).isNotNull(), F.array_join("_kept", "\n")))
-        .drop("_kept", "_drop")
+    # the lines of one text, so a group is never longer than that
+    hits = lines.join(common, "_line", "left_semi").groupBy("id", "h").agg(F.collect_set("_line").alias("drop"))
+    joined = own.join(hits, own["id"].eqNullSafe(hits["id"]) & (own["h"] == hits["h"]), "left")
+    every = F.split("text", "\n")
+    dropped = lambda x: F.array_contains("drop", F.xxhash64(trimmed(x))) & (trimmed(x) != "")
+    kept = F.when(F.col("drop").isNull(), every).otherwise(F.filter(every, lambda x: ~dropped(x)))
+    cleaned = joined.select("row", "text", kept.alias("kept"), F.coalesce(F.size(every), F.lit(0)).cast("long").alias("n"))
+    return cleaned.select(
+        "row.*",
+        F.col("n").alias("n_lines"),
+        F.coalesce(F.col("n") - F.size("kept"), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("text").isNotNull(), F.array_join("kept", "\n")).alias("clean_text"),
     )

@@ -101,18 +101,29 @@ def decode(data: bytes) -> np.ndarray:
     raise ValueError("neither Netpbm nor BMP")
 
 
+#: Samples of an image that are summed at once.
+STRIP = 1 << 18
+
+
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Area-averaged resize of a (height, width) array by its integral image, as float64.
 
-    Box edges may lie between samples; the integral image is interpolated there, which is exact for area means.
+    Box edges may lie between samples; the integral image is interpolated there, which is exact for area means.  The
+    integral image is built strip by strip, and only the rows at box edges are kept, so the memory beyond the image
+    itself does not grow with it.
     """
     rows, cols = image.shape
-    table = np.zeros((rows + 1, cols + 1))
-    np.cumsum(np.cumsum(image, axis=0, dtype=np.float64), axis=1, out=table[1:, 1:])
     y, x = np.linspace(0, rows, height + 1), np.linspace(0, cols, width + 1)
     y0, x0 = np.minimum(y.astype(int), rows - 1), np.minimum(x.astype(int), cols - 1)
     fy, fx = (y - y0)[:, None], x - x0
-    strips = table[y0] * (1 - fy) + table[y0 + 1] * fy
+    wanted = np.unique(np.concatenate((y0, y0 + 1)))
+    kept, above, step = np.zeros((len(wanted), cols + 1)), np.zeros(cols), max(1, STRIP // cols)
+    for at in range(0, rows, step):
+        sums = np.cumsum(image[at : at + step], axis=0, dtype=np.float64) + above
+        inside = np.nonzero((wanted > at) & (wanted <= at + len(sums)))[0]
+        kept[inside, 1:] = np.cumsum(sums[wanted[inside] - at - 1], axis=1)
+        above = sums[-1]
+    strips = kept[np.searchsorted(wanted, y0)] * (1 - fy) + kept[np.searchsorted(wanted, y0 + 1)] * fy
     corners = strips[:, x0] * (1 - fx) + strips[:, x0 + 1] * fx
     return np.diff(np.diff(corners, axis=0), axis=1) / (rows / height * cols / width)
 
@@ -144,7 +155,8 @@ def text_payload(text: bytes | None) -> bytes:
 def images_of_texts(df: DataFrame, text_col: str = "text", kind: str = "pgm") -> DataFrame:
     """Add ``media``: each text's payload as an 8-bit grey image, PAYLOAD_WIDTH samples wide.
 
-    ``kind`` is ``pgm`` or ``bmp``; both keep every byte.  A null text is an empty one.
+    ``kind`` is ``pgm`` or ``bmp``; both keep every byte of texts of any length.  A null text is an empty one, equal
+    texts give equal images, an empty table stays empty.
     """
     encode = {"pgm": encode_pgm, "bmp": encode_bmp}[kind]
 
@@ -176,7 +188,8 @@ def media_features(df: DataFrame, media_col: str = "media") -> DataFrame:
     """Decode stored images; add size, checksums, difference hash (``feature``) and NPY tile.
 
     ``payload_*`` describe the decoded samples, ``tail_crc32`` the last PAYLOAD_WIDTH of them.  Null or
-    undecodable media give nulls; equal media give equal values.
+    undecodable media give nulls; equal media give equal values.  Images are whole whatever their size, an empty
+    table stays empty.
     """
 
     def one(data: bytes | None) -> tuple:
@@ -186,7 +199,8 @@ def media_features(df: DataFrame, media_col: str = "media") -> DataFrame:
             image = decode(data)
         except (ValueError, IndexError, struct.error):
             return (None,) * 5 + (len(data), hashlib.sha256(data).hexdigest(), None, None)
-        payload, luma = image.tobytes(), grey(image)
+        image = np.ascontiguousarray(image)
+        payload, luma = memoryview(image).cast("B") if image.size else b"", grey(image)
         return (
             image.shape[0], image.shape[1], len(payload), hashlib.sha256(payload).hexdigest(),
             zlib.crc32(payload[-PAYLOAD_WIDTH:]), len(data), hashlib.sha256(data).hexdigest(),

@@ -12,12 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_enough, write_table
+from .common import drop_table, semi, small_enough, write_table
 
 #: Words are separated by ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Up to so many sources the rate table is broadcast, beyond it is joined by shuffle.
-BROADCAST_SOURCES = 50_000
 
 
 def word_count(text: str | Column) -> Column:
@@ -64,12 +62,34 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), most:
     return ranked.select("source", "source_size", F.least(cap, F.lit(level) * F.col("_weight")).alias("target"))
 
 
-def uniform_hash(id_col: str | Column, seed: str) -> Column:
-    """A number in [0, 1) from 52 bits of an MD5 of the seed and the id."""
-    key = F.concat_ws(":", F.lit(seed), (F.col(id_col) if isinstance(id_col, str) else id_col).cast("string"))
+def uniform_hash(seed: str, *keys: Column) -> Column:
+    """A number in [0, 1) from 52 bits of an MD5 of the seed and the keys that are not null."""
+    key = F.concat_ws(":", F.lit(seed), *[k.cast("string") for k in keys])
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def numbered_repeats(rows: DataFrame, key: str, number: str) -> DataFrame:
+    """Add ``number``: 1, 2, ... for the rows that share a ``key``, in no particular order.
+
+    Only rows whose key occurs more than once are written and numbered: per task of that table, plus the
+    counts of the tasks before it, so a key with any share of the rows loads no single task.
+    """
+    repeated = write_table(rows.groupBy(key).count().filter("count > 1").select(key), "repeated-keys")
+    if repeated.isEmpty():
+        drop_table(repeated)
+        return rows.withColumn(number, F.lit(1).cast("long"))
+    alone = semi(rows, repeated, key, "left_anti").withColumn(number, F.lit(1).cast("long"))
+    several = semi(rows, repeated, key)
+    several = write_table(several.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.monotonically_increasing_id().alias("at")), "repeated-rows")
+    task = F.shiftright("at", 33)  # the task that wrote the row
+    counts = several.groupBy("key", task.alias("task")).count()
+    before = Window.partitionBy("key").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("key", "task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy("key", "task").orderBy("at"))
+    placed = several.withColumn("task", task).withColumn("inside", inside).join(offsets, ["key", "task"])
+    return alone.unionByName(placed.select("row.*", (F.col("inside") + F.col("offset")).alias(number)))
+
+
 def mix_sources(
     df: DataFrame,
     text_col: str = "text",
@@ -81,25 +101,34 @@ def mix_sources(
 ) -> DataFrame:
     """Add ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` to every row.
 
-    ``copies`` is how often the mix takes the document and ``taken`` its words in the mix.  Equal ids draw
-    equally, so reruns and repeated rows agree.  Null or empty texts have size 0; a null source is a source
-    of its own; a null id draws like one fixed id.
+    ``copies`` is how often the mix takes the document and ``taken`` its words in the mix.  The draw of a row depends on
+    its id, its text and, where several rows have the same id, text and source, on a number among
+    them, so rows with repeated or null ids draw one by one and sources of such rows come near their targets, too.
+    Reruns give the same rows; which of several equal rows gets which draw may differ.  Null or empty texts have
+    size 0; a null source is a source of its own.  An empty table stays empty; texts of any length are counted whole; other columns
+    pass through whatever their names, but those of the five added ones.
     """
     names = ["size", "source_size", "target", "copies", "taken"]
-    sized = df.drop(*[c for c in df.columns if c.lower() in names])
-    sized = sized.withColumn("size", word_count(sized[text_col]))
-    totals = sized.groupBy(sized[source_col].alias("source")).agg(F.sum("size").alias("source_size"))
-    rates = source_targets(totals, weights, most).select(
-        F.col("source").alias("_mix_source"), "source_size", "target"
-    )
-    if small_enough(rates, BROADCAST_SOURCES):
+    base = df.drop(*[c for c in df.columns if c.lower() in names])
+    text, source, doc = F.col(text_col), F.col(source_col), F.col(id_col)
+    sized = base.select(
+        F.struct("*").alias("row"), doc.alias("id"), source.alias("source"), F.md5(text).alias("digest"), word_count(text).alias("size"),
+        F.xxhash64(doc, text, source, doc.isNull(), text.isNull(), source.isNull()).alias("key"),
+    )
+    totals = base.select(source.alias("source"), word_count(text).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    rates = source_targets(totals, weights, most).select(F.col("source").alias("rate_source"), "source_size", "target")
+    if small_enough(rates):
         rates = F.broadcast(rates)
-    joined = sized.join(rates, sized[source_col].eqNullSafe(rates["_mix_source"])).drop("_mix_source")
+    numbered = numbered_repeats(sized, "key", "number")
+    joined = numbered.join(rates, numbered["source"].eqNullSafe(rates["rate_source"]))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + F.when(uniform_hash(id_col, seed) < rate - F.floor(rate), 1).otherwise(0)
-    return joined.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("size") * F.col("copies"))
+    draw = uniform_hash(seed, F.col("id"), F.col("digest"), F.col("number"))
+    copies = (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+    drawn = joined.select("row", "size", "source_size", "target", copies.alias("copies"))
+    return drawn.select("row.*", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def emit_copies(mixed: DataFrame) -> DataFrame:
     """Each row of :func:`mix_sources` as often as its ``copies`` say."""
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("_copy")
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return mixed.filter("copies > 0").select(F.struct("*").alias("row"), times.alias("time")).select("row.*")

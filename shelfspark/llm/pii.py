@@ -1,7 +1,7 @@
 """Personal-data spans with DataFrame functions only.
 
 Regular expressions propose spans, checksum validators (range of octets, Luhn,
-mod-97) confirm them, and context words near a span adjust its score.
+mod-97) confirm them, and context words shortly before or after a span adjust its score.
 
 Positions come from pairing the gaps ``split`` leaves with the matches
 ``regexp_extract_all`` returns.  The patterns are possessive and start only
@@ -77,20 +77,24 @@ def _valid(kind: str, match: Column) -> Column:
 
 
 def _located(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, match, before>> of the matches of a pattern.
+    """array<struct<start, end, match, around>> of the matches of a pattern; ``around``: what stands beside the match.
 
     Running positions are summed inside blocks of BLOCK pieces and then over the blocks, so a text with very
     many matches costs little more than one pass.
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.zip_with(F.split(text, pattern, -1), matches, lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
-    size = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0))
-    span = "struct<start:int,end:int,match:string,before:string>"
+    gaps = F.split(text, pattern, -1)
+    beside = F.transform(gaps, lambda gap: F.struct(F.right(gap, F.lit(WINDOW)).alias("end"), F.left(gap, F.lit(WINDOW)).alias("start")))
+    around = F.zip_with(beside, F.slice(beside, 2, F.greatest(F.size(beside) - 1, F.lit(0))), lambda x, y: F.concat(x["end"], F.lit("\n"), F.coalesce(y["start"], F.lit(""))))
+    pieces = F.zip_with(gaps, matches, lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match")))
+    pieces = F.zip_with(pieces, around, lambda x, y: F.struct(x["gap"].alias("gap"), x["match"].alias("match"), y.alias("around")))
+    size = lambda x: x["gap"] + F.coalesce(F.length(x["match"]), F.lit(0))
+    span = "struct<start:int,end:int,match:string,around:string>"
 
     def add(acc, x):
-        start = acc["at"] + F.length(x["gap"])
+        start = acc["at"] + x["gap"]
         end = start + F.length(x["match"])
-        found = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"), F.right(x["gap"], F.lit(WINDOW)).alias("before"))
+        found = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"), x["around"].alias("around"))
         return F.struct(
             (acc["at"] + size(x)).alias("at"),
             F.when(x["match"].isNotNull(), F.concat(acc["spans"], F.array(found))).otherwise(acc["spans"]).alias("spans"),
@@ -107,7 +111,7 @@ def _located(text: Column, pattern: str) -> Column:
         begins,
         lambda x, begin: F.transform(
             x["spans"],
-            lambda s: F.struct((s["start"] + begin).alias("start"), (s["end"] + begin).alias("end"), s["match"].alias("match"), s["before"].alias("before")),
+            lambda s: F.struct((s["start"] + begin).alias("start"), (s["end"] + begin).alias("end"), s["match"].alias("match"), s["around"].alias("around")),
         ),
     )
     return F.flatten(F.filter(moved, lambda x: x.isNotNull()))
@@ -116,7 +120,7 @@ def _located(text: Column, pattern: str) -> Column:
 def _spans(kind: str, text: Column) -> Column:
     """array<struct<kind, start, end, score>> of the confirmed spans of one kind."""
     needs, pattern = PATTERNS[kind]
-    near = lambda x: F.lower(x["before"]).rlike(rf"\b(?:{CONTEXT[kind]})")
+    near = lambda x: F.lower(x["around"]).rlike(rf"\b(?:{CONTEXT[kind]})")
     confirmed = F.transform(
         F.filter(_located(text, pattern), lambda x: _valid(kind, x["match"])),
         lambda x: F.struct(
@@ -134,7 +138,9 @@ def find_personal_data(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Add ``pii``: array<struct<kind, start, end, score>> by kind, then start.
 
     Offsets count code points, the end is exclusive.  A null or empty text has an empty array.
-    ``iban`` spans (mod-97) come on top of the four base kinds.
+    ``iban`` spans (mod-97) come on top of the four base kinds.  Spans of different kinds may overlap; within a
+    kind the leftmost match counts.  Repeated rows are treated alike, texts of any length are whole, an empty table
+    stays empty, an input column ``pii`` is replaced.
     """
     text = F.coalesce(df[text_col], F.lit(""))
     digits = text.rlike("[0-9]")

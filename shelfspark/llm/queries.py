@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard, language_id, line_dedup, media, mixing, pii, sharding, toxicity, url_filter
-from .common import is_held_out, shared_dir
+from .common import is_held_out, shared_dir, small_enough
 
-#: Text bytes of a finished shard.
+#: File bytes of a finished shard.
 SHARD_BYTES = 64 << 20
 
 
@@ -60,12 +60,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    store = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    rows = sharding.shard_documents(docs, store, SHARD_BYTES)
-    return rows.select(
-        "doc_id", "shard", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256")
-    )
+    """Rows as read from the committed version; ``fits``: their shard is below twice the target size or holds one row."""
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    rows = sharding.shard_documents(table(spark, sf_dir, "documents"), path, SHARD_BYTES)
+    shards = sharding.ShardStore(spark, path).manifest().select(F.col("shard").alias("name"), ((F.col("bytes") < 2 * SHARD_BYTES) | (F.col("rows") == 1)).alias("fits"))
+    shards = F.broadcast(shards) if small_enough(shards) else shards
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    return rows.join(shards, rows["shard"] == shards["name"]).select("doc_id", n_bytes, F.sha2("text", 256).alias("text_sha256"), "fits")
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +111,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontaminate": DECONTAMINATION_SQL,
         "op5_line_dedup": LINE_SQL,
         "op6_mixing": MIXING_SQL,
+        "op7_sharding": SHARDING_SQL,
         "op9_ngram_jaccard": JACCARD_SQL,
     }
 
@@ -156,19 +158,21 @@ FROM lowered l LEFT JOIN per_doc USING (doc_id) LEFT JOIN per_item USING (doc_id
 """
 
 LINE_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents),
-pieces AS (SELECT DISTINCT coalesce('s' || source, 'n') AS site, trim(unnest(parts)) AS line FROM lines),
+WITH blanks AS (SELECT ' ' || chr(9) || chr(11) || chr(12) || chr(13) AS b),
+lines AS (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents),
+pieces AS (SELECT DISTINCT coalesce('s' || source, 'n') AS site, trim(line, b) AS line FROM (SELECT source, unnest(parts) AS line FROM lines), blanks),
 common AS (SELECT line FROM pieces WHERE line <> '' GROUP BY line HAVING count(*) >= 8),
 listed AS (SELECT coalesce(list(line), []) AS common FROM common)
 SELECT doc_id, coalesce(len(parts), 0) AS n_lines,
-       coalesce(len(list_filter(parts, lambda x: list_contains(common, trim(x)))), 0) AS n_removed,
-       CASE WHEN parts IS NOT NULL THEN sha256(coalesce(array_to_string(list_filter(parts, lambda x: NOT list_contains(common, trim(x))), chr(10)), '')) END AS clean_sha256
-FROM lines, listed
+       coalesce(len(list_filter(parts, lambda x: list_contains(common, trim(x, b)))), 0) AS n_removed,
+       CASE WHEN parts IS NOT NULL THEN sha256(coalesce(array_to_string(list_filter(parts, lambda x: NOT list_contains(common, trim(x, b))), chr(10)), '')) END AS clean_sha256
+FROM lines, listed, blanks
 """
 
 MIXING_SQL = r"""
-WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH sized AS (
+  SELECT doc_id, source, md5(text) AS digest, row_number() OVER (PARTITION BY doc_id, text, source) AS number,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight FROM per),
 ordered AS (
@@ -182,11 +186,15 @@ water AS (
 rates AS (SELECT source, source_size, least(3.0::DOUBLE * source_size, (SELECT level FROM water) * weight) AS target FROM ranked),
 drawn AS (
   SELECT s.*, r.source_size, r.target, CASE WHEN r.source_size > 0 THEN r.target / r.source_size ELSE 0 END AS rate,
-         CAST(('0x' || substr(md5(concat_ws(':', 'mix-1', CAST(doc_id AS VARCHAR))), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+         CAST(('0x' || substr(md5(concat_ws(':', 'mix-1', CAST(doc_id AS VARCHAR), digest, CAST(number AS VARCHAR))), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
   FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, size * CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken FROM drawn
 """
 
+SHARDING_SQL = r"""
+SELECT doc_id, coalesce(octet_length(encode(text)), 0) AS n_bytes, sha256(text) AS text_sha256, TRUE AS fits FROM documents
+"""
+
 JACCARD_SQL = r"""
 WITH RECURSIVE worded AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w

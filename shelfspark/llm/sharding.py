@@ -11,34 +11,38 @@ A dataset is a folder of immutable shard files and of versioned manifests:
   takes the place of its sources;
 * a commit renames a complete manifest folder to ``manifest/v=<version>``.
   The rename fails if that version exists, so of two writers one wins and no
-  reader ever sees half a version.  Old files stay until ``vacuum``.
+  reader ever sees half a version.  The other one applies its change to the newer
+  version and tries the next number; a compaction whose sources are gone by
+  then gives up, and its files are never listed.  Old files stay until ``vacuum``.
 
+The file system must rename folders atomically.  Sizes are those of the files, known without reading a row.
 Manifests are DataFrames: the shards of a 100 TB corpus never pass the driver.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_enough, write_table
+from .common import drop_table, small_enough, write_table
 
 MANIFEST = "shard string, rows long, bytes long, tier int, created int"
 #: Size tiers: a shard of tier t holds BASE * FANOUT^t to BASE * FANOUT^(t+1) bytes.
 BASE, FANOUT = 1 << 20, 4
 #: Running sums are taken over blocks of this many shards, then over the blocks.
 BLOCK = 4096
-#: Up to so many shard names are broadcast, more are joined by shuffle.
-MANY_SHARDS = 500_000
+#: Age from which folders that no version ever listed are taken as left over from failed writers.
+ORPHAN_SECONDS = 7 * 86_400
 
 
 class ShardStore:
     """A folder of shards and manifests, on any file system Spark reaches."""
 
-    def __init__(self, spark: SparkSession, path: str, target_bytes: int = 256 << 20, text_col: str = "text"):
-        self.spark, self.path, self.target_bytes, self.text_col = spark, path.rstrip("/"), target_bytes, text_col
+    def __init__(self, spark: SparkSession, path: str, target_bytes: int = 256 << 20):
+        self.spark, self.path, self.target_bytes = spark, path.rstrip("/"), target_bytes
 
     # -- manifests ---------------------------------------------------------
 
@@ -75,16 +79,32 @@ class ShardStore:
         context.rename(fs.makeQualified(source), fs.makeQualified(target), none)
         return version
 
+    def publish(self, added: DataFrame, gone: DataFrame | None = None) -> int:
+        """Commit the newest version with the shards ``added`` and without those ``gone``; returns the new version.
+
+        If another writer commits first, the change is applied to that version; raises if ``gone`` is no longer in it.
+        """
+        while True:
+            newest = (self.versions() or [0])[-1]
+            shards = self.manifest(newest or None)
+            if gone is not None:
+                if not gone.join(shards, "shard", "left_anti").isEmpty():
+                    raise RuntimeError("another writer has replaced these shards")
+                shards = shards.join(gone, "shard", "left_anti")
+            try:
+                return self._commit(shards.unionByName(added.withColumn("created", F.lit(newest + 1))), newest + 1)
+            except Exception:
+                if newest + 1 not in self.versions():
+                    raise
+
     # -- rows --------------------------------------------------------------
 
-    def _files(self, folder: str, version: int) -> DataFrame:
-        """One manifest row per file below ``folder``."""
-        size = F.coalesce(F.octet_length(F.col(self.text_col)), F.lit(0))
-        files = self.spark.read.parquet(f"{self.path}/{folder}").groupBy(F.input_file_name().alias("file"))
-        found = files.agg(F.count("*").alias("rows"), F.sum(size).cast("long").alias("bytes"))
-        name = F.concat(F.lit(f"{folder}/"), F.element_at(F.split("file", "/"), -1))
+    def _files(self, folder: str) -> DataFrame:
+        """One manifest row per file below ``folder``, from file facts and row counts of the footers."""
+        per = self.spark.read.parquet(f"{self.path}/{folder}").groupBy(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes"))
         tier = F.greatest(F.lit(0), F.floor(F.log(F.greatest(F.col("bytes"), F.lit(1)) / BASE) / F.log(F.lit(float(FANOUT)))))
-        return found.select(name.alias("shard"), "rows", "bytes", tier.cast("int").alias("tier"), F.lit(version).alias("created"))
+        found = per.agg(F.count("*").alias("rows"))
+        return found.select(F.concat(F.lit(f"{folder}/"), "file").alias("shard"), "rows", "bytes", tier.cast("int").alias("tier"))
 
     def _shard_name(self):
         """The manifest's name of the file that a row is read from."""
@@ -92,10 +112,9 @@ class ShardStore:
 
     def append(self, df: DataFrame) -> int:
         """Write an arrival as small shards and commit them; returns the version."""
-        version = (self.versions() or [0])[-1] + 1
-        folder = f"shards/a{version}-{uuid.uuid4().hex[:12]}"
+        folder = f"shards/a-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
-        return self._commit(self.manifest().unionByName(self._files(folder, version)), version)
+        return self.publish(self._files(folder))
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, with ``shard``: the file that holds the row.
@@ -109,7 +128,7 @@ class ShardStore:
         rows = self.spark.read.parquet(*[f"{self.path}/{f}" for f in folders])
         named = rows.withColumn("shard", self._shard_name())
         live = known.select(F.col("shard").alias("_live"))
-        live = F.broadcast(live) if small_enough(live, MANY_SHARDS) else live
+        live = F.broadcast(live) if small_enough(live) else live
         return named.join(live, named["shard"] == live["_live"], "left_semi")
 
     # -- compaction --------------------------------------------------------
@@ -133,6 +152,7 @@ class ShardStore:
         begin = F.coalesce(F.sum(size).over(inside), F.lit(0)) + F.col("_before")
         cut = blocks.join(offsets, key).withColumn("_cut", F.floor(begin / self.target_bytes))
         many = cut.groupBy("tier", "_cut").count().filter("count > 1")
+        # one row per target-sized run: few next to the rows of the corpus
         runs = many.select("tier", "_cut", (F.row_number().over(Window.orderBy("tier", "_cut")) - 1).alias("run"))
         return cut.join(runs, ["tier", "_cut"]).select("shard", "run")
 
@@ -146,64 +166,75 @@ class ShardStore:
             newest = (self.versions() or [0])[-1]
             large = self.manifest(newest or None).filter((F.col("bytes") >= 2 * self.target_bytes) & (F.col("rows") > 1))
             pieces = F.least(F.floor(F.col("bytes") / self.target_bytes), "rows")
-            before = F.coalesce(F.sum("_pieces").over(Window.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            named = large.select(F.col("shard").alias("_shard"), F.col("rows").alias("_rows"), pieces.alias("_pieces"))
-            named = write_table(named.withColumn("_first", before), "shard-pieces")
-            top = named.agg(F.sum("_pieces")).first()[0]
+            before = F.coalesce(F.sum("pieces").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            named = large.select("shard", F.col("rows").alias("of"), pieces.alias("pieces"))
+            named = write_table(named.withColumn("first", before), "shard-pieces")
+            top = named.agg(F.sum("pieces")).first()[0]
             if top is None:
+                drop_table(named)
                 return newest
-            folder = f"shards/s{newest + 1}-{uuid.uuid4().hex[:12]}"
-            sources = [r[0] for r in named.select(F.substring_index("_shard", "/", 2)).distinct().collect()]
-            rows = self.spark.read.parquet(*[f"{self.path}/{f}" for f in sources])
-            rows = rows.select("*", F.col("_metadata.row_index").alias("_row"), self._shard_name().alias("_name"))
-            pieced = F.broadcast(named) if small_enough(named, MANY_SHARDS) else named
-            cut = rows.join(pieced, rows["_name"] == pieced["_shard"])
-            piece = F.col("_first") + F.floor(F.col("_row") * F.col("_pieces") / F.col("_rows"))
-            moved = cut.repartitionById(int(top), piece.cast("int")).drop("_row", "_name", "_shard", "_rows", "_pieces", "_first")
-            moved.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
-            kept = self.manifest(newest).join(named.select(F.col("_shard").alias("shard")), "shard", "left_anti")
-            self._commit(kept.unionByName(self._files(folder, newest + 1)), newest + 1)
+            row, at = F.struct("*").alias("row"), F.col("_metadata.row_index").alias("at")
+            sources = [r[0] for r in named.select(F.substring_index("shard", "/", 2)).distinct().collect()]
+            rows = self.spark.read.parquet(*[f"{self.path}/{f}" for f in sources]).select(row, at, self._shard_name().alias("shard"))
+            cut = rows.join(F.broadcast(named) if small_enough(named) else named, "shard")
+            piece = F.col("first") + F.floor(F.col("at") * F.col("pieces") / F.col("of"))
+            self._replace(cut.select("row", piece.alias("to")), int(top), "s", named.select("shard"))
+            drop_table(named)
+
+    def _replace(self, rows: DataFrame, count: int, kind: str, gone: DataFrame) -> int:
+        """Write ``rows`` (``row``, ``to``) as ``count`` files that take the place of the shards ``gone``."""
+        folder = f"shards/{kind}-{uuid.uuid4().hex}"
+        moved = rows.repartitionById(count, F.col("to").cast("int")).select("row.*")
+        moved.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
+        return self.publish(self._files(folder), gone)
 
     def compact(self) -> int:
         """Split what is too large, merge the planned runs and commit; returns the newest version."""
         newest = self.split()
         plan = write_table(self.plan(newest or None), "shard-plan")
         top = plan.agg(F.max("run")).first()[0]
-        if top is None:
-            return newest
-        folder = f"shards/m{newest + 1}-{uuid.uuid4().hex[:12]}"
-        rows = self.read(newest)
-        named = plan.select(F.col("shard").alias("_shard"), F.col("run").alias("_run"))
-        named = F.broadcast(named) if small_enough(named, MANY_SHARDS) else named
-        moved = rows.join(named, rows["shard"] == named["_shard"])
-        merged = moved.repartitionById(int(top) + 1, F.col("_run").cast("int")).drop("_shard", "shard", "_run")
-        merged.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
-        kept = self.manifest(newest).join(plan.select("shard"), "shard", "left_anti")
-        return self._commit(kept.unionByName(self._files(folder, newest + 1)), newest + 1)
-
-    def vacuum(self, keep_versions: int = 1) -> int:
-        """Delete folders of shards that only older versions list; returns how many."""
+        if top is not None:
+            runs = plan.select(F.col("shard").alias("_merged"), F.col("run").alias("to"))
+            rows = self.read(newest)
+            own = [c for c in rows.columns if c != "shard"]
+            rows = rows.select(F.struct(*own).alias("row"), "shard")
+            moved = rows.join(F.broadcast(runs) if small_enough(runs) else runs, F.col("shard") == F.col("_merged")).select("row", "to")
+            newest = self._replace(moved, int(top) + 1, "m", plan.select("shard"))
+        drop_table(plan)
+        return newest
+
+    def vacuum(self, keep_versions: int = 1, orphan_seconds: int = ORPHAN_SECONDS) -> int:
+        """Drop all but the newest versions and delete the folders that only dropped ones list; returns how many.
+
+        A folder that no version has listed may belong to a writer that has yet to commit: it goes only when it is older
+        than ``orphan_seconds``.
+        """
         versions = self.versions()
-        live = set()
-        for v in versions[-keep_versions:]:
-            live |= {r[0] for r in self.manifest(v).select(F.substring_index("shard", "/", 2)).distinct().collect()}
+        folders = lambda v: {r[0] for r in self.manifest(v).select(F.substring_index("shard", "/", 2)).distinct().collect()}
+        live = set().union(*map(folders, versions[-keep_versions:]))
+        dropped = set().union(*map(folders, versions[:-keep_versions]))
         where, fs = self._fs(f"{self.path}/shards")
-        gone = [s.getPath() for s in fs.listStatus(where) if f"shards/{s.getPath().getName()}" not in live]
-        for p in gone:
-            fs.delete(p, True)
+        gone = 0
+        for status in fs.listStatus(where) if fs.exists(where) else []:
+            name = f"shards/{status.getPath().getName()}"
+            old = time.time() - status.getModificationTime() / 1000 > orphan_seconds
+            if name not in live and (name in dropped or old):
+                fs.delete(status.getPath(), True)
+                gone += 1
         for v in versions[:-keep_versions]:
             old, fs = self._fs(f"{self.path}/manifest/v={v}")
             fs.delete(old, True)
-        return len(gone)
+        return gone
 
 
-def shard_documents(df: DataFrame, path: str, target_bytes: int = 256 << 20, text_col: str = "text") -> DataFrame:
+def shard_documents(df: DataFrame, path: str, target_bytes: int = 256 << 20) -> DataFrame:
     """Append ``df`` to the store at ``path``, compact it and read the newest version back.
 
-    Adds ``shard``, the file of each row.  Every row is written once per version, nulls and repeated rows
-    included; an empty table commits a version without rows.
+    Adds ``shard``, the file of each row.  Every row is written once per version, nulls and repeated rows included; texts
+    of any length stay whole; an empty table commits a version without rows.  Other columns pass through
+    whatever their names, but ``shard``, which is replaced.
     """
-    store = ShardStore(df.sparkSession, path, target_bytes, text_col)
+    store = ShardStore(df.sparkSession, path, target_bytes)
     clean = df.drop(*[c for c in df.columns if c.lower() == "shard"])
     store.append(clean)
     version = store.compact()

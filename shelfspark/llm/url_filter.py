@@ -1,9 +1,10 @@
 """URL filters over a memory-mapped sorted digest array.
 
-The rule list becomes one immutable file: the sorted 64-bit xxhash keys of the
-rule strings, their offsets, their verdicts and the strings themselves.  The
-file reaches the executors through ``SparkContext.addFile`` and is mapped, not
-loaded, so all Python workers of a machine share its pages.  A batch of URLs is
+The rule list becomes an immutable file: the sorted 64-bit xxhash keys of the
+rule strings, their offsets, their verdicts and the strings themselves; a long
+list is cut into several files by ranges of the keys.  The files reach the
+executors through ``SparkContext.addFile`` and are mapped, not loaded, so all Python
+workers of a machine share their pages.  A batch of URLs is
 probed by one vectorised binary search over every (host suffix, path prefix)
 candidate; a hit counts only if the stored string equals the candidate, so
 digest collisions cannot change a verdict.
@@ -33,8 +34,8 @@ DEFAULT_RULES = (
     ("block", "com/de/"),
 )
 
-#: A rule list above this many bytes is refused: it is shipped to each executor.
-MAX_LIST_BYTES = 2 << 30
+#: Bytes of rule strings in one file; a longer list takes more files.
+FILE_BYTES = 1 << 30
 
 
 def url_host(url: str | Column) -> Column:
@@ -47,8 +48,11 @@ def url_path(url: str | Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def write_digest_array(rules: Iterable[tuple[str, str]], path: str, digest=None) -> None:
-    """Write the sorted digest array of ``rules``; of equal rules the last one counts."""
+def write_digest_array(rules: Iterable[tuple[str, str]], path: str, digest=None, file_bytes: int = FILE_BYTES) -> list[str]:
+    """Write the sorted digest array of ``rules`` to ``path`` and, beyond ``file_bytes``, to files beside it; returns their paths.
+
+    Of equal rules the last one counts.
+    """
     import numpy as np
     import xxhash
 
@@ -60,26 +64,34 @@ def write_digest_array(rules: Iterable[tuple[str, str]], path: str, digest=None)
         host, slash, rest = rule.partition("/")
         table[(host.translate(str.maketrans(UPPER, LOWER)) + slash + rest).encode()] = verdict == "block"
     keys = sorted(table, key=lambda k: (digest(k), k))
-    if sum(map(len, keys)) > MAX_LIST_BYTES:
-        raise ValueError(f"the rule list exceeds {MAX_LIST_BYTES} bytes")
-    lengths = sorted({len(k) - (k.find(b"/") if b"/" in k else len(k)) for k in keys})
-    with open(path, "wb") as out:
-        out.write(np.array([len(keys), len(lengths)], "<u8").tobytes())
-        out.write(np.array(lengths, "<u8").tobytes())
-        out.write(np.array([digest(k) for k in keys], "<u8").tobytes())
-        out.write(np.cumsum([0, *map(len, keys)]).astype("<u8").tobytes())
-        out.write(np.array([table[k] for k in keys], "u1").tobytes())
-        out.write(b"".join(keys))
-
-
-class DigestArray:
-    """A mapped file of :func:`write_digest_array`."""
-
-    def __init__(self, path: str, digest=None):
+    digests = [digest(k) for k in keys]
+    cuts, size = [0], 0
+    for k, key in enumerate(keys):
+        if size >= file_bytes and digests[k] != digests[k - 1]:  # equal digests stay together
+            cuts.append(k)
+            size = 0
+        size += len(key)
+    paths = []
+    for n, (begin, end) in enumerate(zip(cuts, [*cuts[1:], len(keys)], strict=True)):
+        part = keys[begin:end]
+        lengths = sorted({len(k) - (k.find(b"/") if b"/" in k else len(k)) for k in part})
+        paths.append(f"{path}.{n}" if n else path)
+        with open(paths[-1], "wb") as out:
+            out.write(np.array([len(part), len(lengths)], "<u8").tobytes())
+            out.write(np.array(lengths, "<u8").tobytes())
+            out.write(np.array(digests[begin:end], "<u8").tobytes())
+            out.write(np.cumsum([0, *map(len, part)]).astype("<u8").tobytes())
+            out.write(np.array([table[k] for k in part], "u1").tobytes())
+            out.writelines(part)
+    return paths
+
+
+class _Mapped:
+    """One mapped file of :func:`write_digest_array`."""
+
+    def __init__(self, path: str):
         import numpy as np
-        import xxhash
 
-        self.digest = digest or xxhash.xxh64_intdigest
         raw = np.memmap(path, "u1", "r")
         self.size, n_lengths = (int(x) for x in raw[:16].view("<u8"))
         at = 16 + 8 * n_lengths
@@ -88,20 +100,38 @@ class DigestArray:
         self.offsets, at = raw[at : at + 8 * (self.size + 1)].view("<u8"), at + 8 * (self.size + 1)
         self.blocked, self.blob = raw[at : at + self.size], raw[at + self.size :]
 
-    def find(self, candidates: list[bytes]) -> list[int]:
-        """Position of each candidate in the array, or -1."""
+    def rule(self, k: int) -> bytes:
+        return self.blob[int(self.offsets[k]) : int(self.offsets[k + 1])].tobytes()
+
+
+class DigestArray:
+    """The mapped files of :func:`write_digest_array`, in order."""
+
+    def __init__(self, *paths: str, digest=None):
+        import numpy as np
+        import xxhash
+
+        self.digest = digest or xxhash.xxh64_intdigest
+        self.parts = [_Mapped(p) for p in paths]
+        self.lengths = sorted({n for part in self.parts for n in part.lengths})
+        self.firsts = np.array([part.keys[0] for part in self.parts[1:]], np.uint64)
+
+    def find(self, candidates: list[bytes]) -> list[tuple[int, int] | None]:
+        """File and position of each candidate."""
         import numpy as np
 
-        if not candidates or not self.size:
-            return [-1] * len(candidates)
+        found: list[tuple[int, int] | None] = [None] * len(candidates)
         digests = np.fromiter(map(self.digest, candidates), np.uint64, len(candidates))
-        left = np.searchsorted(self.keys, digests, "left")
-        right = np.searchsorted(self.keys, digests, "right")
-        found = [-1] * len(candidates)
-        for i in np.nonzero(right > left)[0]:
-            for k in range(int(left[i]), int(right[i])):
-                if self.blob[int(self.offsets[k]) : int(self.offsets[k + 1])].tobytes() == candidates[i]:
-                    found[i] = k
+        which = np.searchsorted(self.firsts, digests, "right")
+        for n, part in enumerate(self.parts):
+            own = np.nonzero(which == n)[0]
+            if not len(own) or not part.size:
+                continue
+            left, right = (np.searchsorted(part.keys, digests[own], side) for side in ("left", "right"))
+            for i in np.nonzero(right > left)[0]:
+                for k in range(int(left[i]), int(right[i])):
+                    if part.rule(k) == candidates[own[i]]:
+                        found[own[i]] = n, k
         return found
 
     def judge(self, hosts: list[str], paths: list[str]) -> tuple[list[str | None], list[str]]:
@@ -117,10 +147,10 @@ class DigestArray:
                 suffix = suffix.partition(b".")[2]
         rules: list[str | None] = [None] * len(hosts)
         verdicts, best = ["allow"] * len(hosts), [(-1, -1)] * len(hosts)
-        for i, key, k in zip(owners, candidates, self.find(candidates), strict=True):
-            if k >= 0 and (rank := (len(key), (key + b"/").index(b"/"))) > best[i]:
+        for i, key, at in zip(owners, candidates, self.find(candidates), strict=True):
+            if at and (rank := (len(key), (key + b"/").index(b"/"))) > best[i]:
                 best[i], rules[i] = rank, key.decode()
-                verdicts[i] = "block" if self.blocked[k] else "allow"
+                verdicts[i] = "block" if self.parts[at[0]].blocked[at[1]] else "allow"
         return rules, verdicts
 
 
@@ -132,20 +162,18 @@ def filter_urls(df: DataFrame, url_col: str = "url", rules: Iterable[tuple[str,
     A null URL or one without ``://`` has an empty host and path, no rule and the
     verdict ``allow``.  Repeated rows are judged alike; an empty table stays empty.
     """
-    handle, path = tempfile.mkstemp(prefix="url-rules-", suffix=".bin")
-    os.close(handle)
-    write_digest_array(rules, path)
-    with open(path, "rb") as f:
-        name = f"url-rules-{hashlib.sha256(f.read()).hexdigest()[:24]}.bin"
-    path, old = os.path.join(os.path.dirname(path), name), path
-    os.replace(old, path)
-    df.sparkSession.sparkContext.addFile(path)
+    names = []
+    for path in write_digest_array(rules, os.path.join(tempfile.mkdtemp(prefix="url-rules-"), "rules")):
+        with open(path, "rb") as f:
+            names.append(f"url-rules-{hashlib.file_digest(f, 'sha256').hexdigest()[:24]}.bin")
+        os.replace(path, os.path.join(os.path.dirname(path), names[-1]))
+        df.sparkSession.sparkContext.addFile(os.path.join(os.path.dirname(path), names[-1]))
 
     def probe(batches):
         import pyarrow as pa
         from pyspark import SparkFiles
 
-        array = DigestArray(SparkFiles.get(name))
+        array = DigestArray(*map(SparkFiles.get, names))
         for batch in batches:
             hosts = batch.column(batch.schema.get_field_index("host")).to_pylist()
             paths = batch.column(batch.schema.get_field_index("path")).to_pylist()

@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 LONG = "lorem ipsum dolor sit amet consectetur " * 20_000
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # names that operators use, as extra input columns
-CLASHES = ["size", "score", "n_words", "Shard", "items", "media", "host", "rule", "copies", "pii", "clean_text", "n", "sid", "comp", "token", "run"]
+CLASHES = ["_id", "_drop", "_kept", "_line", "_copy", "_run", "_shard", "_live", "row", "id", "h", "key", "number", "text_", "drop", "kept", "time", "size", "score", "n_words", "Shard", "items", "media", "host", "rule", "copies", "pii", "clean_text", "n", "sid", "comp", "token", "run"]
 
 
 def awkward(spark):
@@ -80,6 +80,16 @@ def test_digest_collisions_are_confirmed(tmp_path):
     assert array.judge(["example.org", "z.net"], ["/es/", "/es/"]) == (["example.org/es/", None], ["block", "allow"])
 
 
+def test_a_long_list_takes_several_files(tmp_path):
+    rules = [("block" if k % 3 else "allow", f"h{k}.net/p{k % 7}") for k in range(500)]
+    paths = url_filter.write_digest_array(rules, str(tmp_path / "rules"), file_bytes=600)
+    assert len(paths) > 5
+    hosts, places = [f"x.h{k}.net" for k in range(520)], [f"/p{k % 7}q" for k in range(520)]
+    one = url_filter.DigestArray(*url_filter.write_digest_array(rules, str(tmp_path / "one"))).judge(hosts, places)
+    assert url_filter.DigestArray(*paths).judge(hosts, places) == one
+    assert one[0] == [f"h{k}.net/p{k % 7}" if k < 500 else None for k in range(520)]
+
+
 # --- 2: toxicity, 4: language ID ------------------------------------------------------------------
 
 
@@ -194,6 +204,22 @@ def test_boilerplate_is_exact_near_the_threshold(spark):
     assert all(("shared by 8" not in t) and (n == ("shared by 7" not in t)) for n, t in got.values())
 
 
+def test_blank_lines_of_any_kind_stay(spark):
+    rows = [(s, f"own {s}\r\n\r\n\t\nshared line\r\n\x0b", f"site{s}") for s in range(10)] + [(None, f"own {s}\nshared line", f"site{s}") for s in range(5)]
+    out = line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    for r in out.collect():
+        assert r.n_removed == 1 and r.clean_text == r.text.replace("shared line\r\n", "").replace("\nshared line", "")
+
+
+def test_rows_of_one_id_draw_by_themselves(spark):
+    rows = [(None, f"w{k} " * 10, "a") for k in range(900)] + [(None, "same words here", "b")] * 900 + [(7, f"t{k} x", "c") for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")).collect()
+    assert [r.n for r in got] == [900] * 3 and all(abs(r.taken - r.target) < 0.12 * r.target for r in got)
+    again = lambda d: sorted(str(r) for r in mixing.mix_sources(d).collect())
+    assert again(df) == again(df.repartition(9))
+
+
 def test_targets_against_water_filling(spark):
     sizes = {"a": 10, "b": 1000, "c": 5, None: 400, "é": 100}
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
@@ -260,6 +286,33 @@ def test_decoders_and_resize():
     assert media.area_resize(image, 5, 3).mean() == pytest.approx(image.mean())
 
 
+def brute_means(image, height, width):
+    """Area means by splitting every sample among the boxes it touches."""
+    rows, cols = image.shape
+    out = np.zeros((height, width))
+    for i in range(height):
+        for j in range(width):
+            y, x = (i * rows / height, (i + 1) * rows / height), (j * cols / width, (j + 1) * cols / width)
+            wy = [max(0.0, min(y[1], r + 1) - max(y[0], r)) for r in range(rows)]
+            wx = [max(0.0, min(x[1], c + 1) - max(x[0], c)) for c in range(cols)]
+            out[i, j] = np.array(wy) @ image @ np.array(wx) / (sum(wy) * sum(wx))
+    return out
+
+
+@pytest.mark.parametrize("strip", [1, 100, 1 << 18])
+def test_features_against_brute_force(spark, monkeypatch, strip):
+    monkeypatch.setattr(media, "STRIP", strip)
+    rng = np.random.default_rng(2)
+    for rows in (1, 2, 7, 33, 150):
+        image = rng.integers(0, 256, (rows, 64)).astype(np.uint8)
+        assert np.allclose(media.area_resize(image, 8, 9), brute_means(image.astype(float), 8, 9))
+        means = brute_means(image.astype(float), 8, 9)
+        bits = "".join("01"[int(a > b + 1e-7)] for row in means for a, b in zip(row, row[1:], strict=False))
+        assert media.difference_hash(image) == f"{int(bits, 2):016x}"
+        tile = np.load(__import__("io").BytesIO(media.npy_tile(image)))
+        assert (tile == np.clip(np.rint(brute_means(image.astype(float), 32, 32)), 0, 255)).mean() > 0.99
+
+
 # --- 9: similarity join ---------------------------------------------------------------------------
 
 
@@ -356,6 +409,8 @@ def test_iban_scores_and_long_runs(spark):
     rows = pii.find_personal_data(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [(s.kind, s.start, s.end, round(s.score, 2)) for s in rows[0].pii] == [("iban", 5, 32, 1.0)]
     assert [len(r.pii) for r in rows[1:]] == [0, 0, 0, 3000]
+    after = pii.find_personal_data(spark.createDataFrame([("1.2.3.4 is our server",), ("1.2.3.4 " + "x" * 50 + " server",)], "text string")).collect()
+    assert [round(r.pii[0].score, 2) for r in after] == [0.7, 0.6]
     assert rows[4].pii[-1].start == 8 * 2999
 
 

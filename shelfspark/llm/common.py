@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,6 +60,20 @@ def may_learn(id_col: str) -> Column:
     return F.col(id_col).isNotNull() & ~is_held_out(id_col)
 
 
+def smallest_hashes(keys: DataFrame, label: str, h: str, most: DataFrame) -> DataFrame:
+    """The rows of each ``label`` with the smallest 64-bit hashes ``h``: as many as ``most`` (``label``, ``most``) says, ties by id.
+
+    Labels are counted first, and only hashes below a bound that about four times as many rows reach go on, so no
+    task sees all rows of a frequent label.
+    """
+    counts = keys.groupBy(label).agg(F.count("*").alias("n")).join(most, label)
+    counts = F.broadcast(counts) if small_enough(counts) else counts
+    place = F.col(h).cast("double") / float(1 << 64) + 0.5  # uniform in [0, 1]
+    near = keys.join(counts, label).filter(place * F.col("n") <= 4 * F.col("most") + 64)
+    order = Window.partitionBy(label).orderBy(h, "id")
+    return near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= F.col("most")).select(*keys.columns)
+
+
 def kept_fields(df: DataFrame, added: list[T.StructField]) -> list[T.StructField]:
     """Input fields that stay next to ``added`` ones (Spark names ignore case)."""
     names = {f.name.lower() for f in added}

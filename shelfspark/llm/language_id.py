@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, map_batches, may_learn
+from .common import as_bytes, map_batches, may_learn, smallest_hashes
 
 #: Bytes of a segment in scoring and in training, and the symbol that fills the last one.
 SEGMENT, SPAN, PAD = 512, 256, 256
@@ -329,7 +329,8 @@ def train_language_model(
         return None
     order = Window.partitionBy("label").orderBy("h", "id")
     slim = able.select("id", "label", "h", F.octet_length("text").cast("long").alias("size"))
-    drawn = slim.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= max(LABEL_DOCS, most // n_labels))
+    share = able.select("label").distinct().withColumn("most", F.lit(max(LABEL_DOCS, most // n_labels)))
+    drawn = smallest_hashes(slim, "label", "h", share)
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     drawn = drawn.withColumn("before", before).filter(F.col("before") < max(1, most_bytes // n_labels)).select("id", "label", "h").distinct()
     rows = able.join(F.broadcast(drawn), ["id", "label", "h"]).dropDuplicates(["id", "label", "h"]).select("id", "label", "text").collect()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, map_batches, may_learn
+from .common import as_bytes, map_batches, may_learn, smallest_hashes
 
 WORD = re.compile(r"\w+")
 #: Pieces of a chain that advance together have so many words, and so many pieces are one block.  The pieces hand the
@@ -317,9 +317,9 @@ def train_toxicity_model(
     texts = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = texts.withColumn("h", F.xxhash64("id", "text"))
     keys = texts.select("id", "h").join(known, "id")
-    drawn = [keys.filter(F.col("label") == y).distinct().orderBy("h", "id").limit(most[y]) for y in (0, 1)]
-    sample = F.broadcast(drawn[0].unionByName(drawn[1]))
-    rows = texts.join(sample, ["id", "h"]).dropDuplicates(["id", "h"]).select("id", "label", "text").collect()
+    bounds = df.sparkSession.createDataFrame([(0, most[0]), (1, most[1])], "label int, most int")
+    sample = smallest_hashes(keys.withColumn("label", F.col("label").cast("int")), "label", "h", bounds).distinct()
+    rows = texts.join(F.broadcast(sample), ["id", "h"]).dropDuplicates(["id", "h"]).select("id", "label", "text").collect()
     rows.sort(key=lambda r: (r.id, r.text))
     return ToxicityModel().fit([r.text for r in rows], [int(r.label) for r in rows])
 

@@ -182,8 +182,19 @@ def brute_contamination(text, items):
     return len(words), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 40])
-def test_contamination_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("piece", [1, 50, 1 << 20])
+def test_pieces_of_a_text_overlap_by_a_window(monkeypatch, piece):
+    monkeypatch.setattr(decontaminate, "PIECE_BYTES", piece)
+    text = " ".join(f"w{k}" for k in range(200)).encode()
+    seen = set()
+    for before, words in decontaminate.pieces_of(text):
+        assert words == decontaminate.words_of(text)[before : before + len(words)]
+        seen |= {before + k for k in range(len(words) - 12)}
+    assert seen == set(range(188)) and before + len(words) == 200
+
+
+@pytest.mark.parametrize("block, shard, piece", [(decontaminate.BLOCK_BYTES, 1 << 19, 1 << 20), (40, 1 << 19, 1 << 20), (1 << 20, 50, 20)])
+def test_contamination_against_brute_force(spark, monkeypatch, tmp_path, block, shard, piece):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
     rng = random.Random(5)
     words = ["Alpha", "beta", "été", "x1", "Z"]
@@ -191,7 +202,23 @@ def test_contamination_against_brute_force(spark, monkeypatch, block):
     docs = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) + rng.choice(["", "; " + rng.choice(items)[1].upper()])) for k in range(60)]
     got = decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     found = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got.collect()}
-    assert found == {k: brute_contamination(t, items) for k, t in docs}
+    want = {k: brute_contamination(t, items) for k, t in docs}
+    assert found == want
+    # the tasks above are other processes; here with small shards and pieces
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", shard)
+    monkeypatch.setattr(decontaminate, "PIECE_BYTES", piece)
+    decontaminate.write_phrases([(str(k), t.encode()) for k, t in items], str(tmp_path / "phrases"))
+    for (k, _), (n, spans, names) in zip(docs, decontaminate.Phrases(str(tmp_path / "phrases")).find([t.encode() for _, t in docs]), strict=True):
+        assert (n, sum(e - b for b, e in decontaminate.merge_spans(spans)), len(names)) == want[k][:3]
+
+
+def test_hash_collisions_are_confirmed(monkeypatch, tmp_path):
+    import xxhash
+
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda w: len(w))  # all words of a length collide
+    decontaminate.write_phrases([("x", b"aa bbb c")], str(tmp_path / "phrases"))
+    found = decontaminate.Phrases(str(tmp_path / "phrases")).find([b"zz aa bbb c", b"aa bbb d", b"dd bbb c"])
+    assert [spans for _, spans, _ in found] == [[(1, 4)], [], []]
 
 
 # --- 5: lines, 6: mixing, 7: sharding -------------------------------------------------------------

@@ -1,6 +1,8 @@
 """The corpus pipeline, stage by stage, against brute force."""
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from shelfspark.llm import mixing
 from tests.llm.test_operators import SF, brute_components, brute_contamination
 
@@ -36,3 +38,17 @@ def test_repeated_rows_keep_one(spark):
     once = corpus_pipeline.keep_one_of_each_group(spark, docs, SF)
     twice = corpus_pipeline.keep_one_of_each_group(spark, docs.unionByName(docs), SF)
     assert sorted(r.doc_id for r in once.collect()) == sorted(r.doc_id for r in twice.collect())
+
+
+def test_stages_on_awkward_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    odd = [(None, None, None, None, None), (5000, "", "en", "s", 0), (5001, "word " * 40_000, "en", None, 1), (None, "no id but some words", "en", "s", 1)]
+    docs = docs.unionByName(spark.createDataFrame(odd + [odd[2]], docs.schema))
+    docs = docs.withColumns({c: F.lit(c) for c in ("row", "key", "number", "h", "items", "n_words", "copies", "size", "set_digest", "_id", "Score")})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        own = [c for c in out.columns if c != "shard"]
+        assert set(own) == set(docs.columns), name
+        rows, every = [str(r) for r in out.select(docs.columns).collect()], {str(r) for r in docs.collect()}
+        assert rows and set(rows) <= every, name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name

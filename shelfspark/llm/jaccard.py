@@ -287,41 +287,39 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     index = sets.select("sid", "n", "rare", F.posexplode("prefix").alias("pos", "token"))
     packed = F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long"))  # half the shuffle of two columns
     index = index.select("token", "sid", packed.alias("at"), (F.col("pos") >= F.col("rare")).alias("heavy"))
-    lists = _lists_of_several(index.filter("not heavy").drop("heavy")).unionByName(index.filter("heavy").withColumn("meets", F.lit(True)).drop("heavy"))
-    lists = lists.select("token", "sid", *_unpacked(F.col("at")), "meets")
-    lists = write_table(lists.withColumn("block", class_of(F.col("n"))), "index-lists")
+    # leaders come with the light lists; heavy lists, which may be long, get theirs by aggregation
+    light = write_table(_lists_of_several(index.filter("not heavy").drop("heavy")), "light-lists")
+    heavy = index.filter("heavy").select("token", "sid", *_unpacked(F.col("at")))
+    heavy = write_table(heavy.withColumn("block", class_of(F.col("n"))), "heavy-lists")
     names = write_table(sets.select("sid", "n", "id", "digest"), "set-names")
     drop_table(sets)
     # the bound on common shingles needs every entry, candidates come from lists that leave room for one
-    shared = write_table(lists.groupBy("sid").agg(F.collect_list("token").alias("shared")), "shared-shingles")
-    written_lists, lists = lists, lists.filter("meets").drop("meets")
+    every = light.select("sid", "token").unionByName(heavy.select("sid", "token"))
+    shared = write_table(every.groupBy("sid").agg(F.collect_list("token").alias("shared")), "shared-shingles")
+    plain = ("token", "sid", "n", "pos", "block")
 
     # first answers: every set against the leaders of its own and of the next smaller block
-    leaders = lists.groupBy("token", "block").agg(F.min(F.struct("pos", "n", "sid")).alias("leader"))
-    leaders = write_table(leaders.select("token", "block", F.col("leader.sid").alias("a"), F.col("leader.n").alias("n_a"), F.col("leader.pos").alias("pos_a")), "leaders")
+    leaders = heavy.groupBy("token", "block").agg(F.min(F.struct("pos", "n", "sid")).alias("leader"))
+    leaders = write_table(leaders, "leaders")
     reach = leaders.withColumn("block", F.explode(F.array("block", F.col("block") + 1)))
-    first = (
-        lists.join(reach, ["token", "block"])
-        .filter((F.col("a") != F.col("sid")) & _possible("n_a", "pos_a", "n", "pos"))
-        .select("a", F.col("sid").alias("b"), "n_a", F.col("n").alias("n_b"))
-        .distinct()
-    )
+    met = heavy.join(reach, ["token", "block"]).select(*plain, "leader")
+    for leader in ("own_leader", "low_leader"):
+        met = met.unionByName(light.filter("meets").select(*plain, F.col(leader).alias("leader")))
+    met = met.select("n", "pos", F.col("sid").alias("b"), F.col("leader.sid").alias("a"), F.col("leader.n").alias("n_a"), F.col("leader.pos").alias("pos_a"))
+    first = met.filter((F.col("a") != F.col("b")) & _possible("n_a", "pos_a", "n", "pos")).select("a", "b", "n_a", F.col("n").alias("n_b")).distinct()
     first = _promising(write_table(first, "first-candidates"), shared, "first-pairs")
     known = _overlaps(first, names, df, text_col, id_col, "first-answers")
     links = known.filter(similar(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b")
     comps = connected_components(links)
 
     # what is left: pairs in different components of one list
-    labelled = lists.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    lead = F.col("leader.sid").alias("lead")
+    led = heavy.join(leaders, ["token", "block"]).select(*plain, lead).unionByName(light.filter("meets").select(*plain, F.col("own_leader.sid").alias("lead")))
+    labelled = led.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low <> _high").select("token")
     labelled = write_table(labelled.join(mixed, "token", "left_semi"), "mixed-lists")
-    answers = known.select("a", F.col("b").alias("sid"), (F.col("n_a") + F.col("n_b") - 2 * F.col("overlap")).alias("away"))
-    own = leaders.select("token", F.col("block"), F.col("a").alias("lead"))
-    placed = (
-        labelled.join(own, ["token", "block"])
-        .join(answers.withColumnRenamed("a", "lead"), ["lead", "sid"], "left")
-        .withColumn("away", F.when(F.col("lead") == F.col("sid"), 0).otherwise(F.col("away")))
-    )
+    answers = known.select(F.col("a").alias("lead"), F.col("b").alias("sid"), (F.col("n_a") + F.col("n_b") - 2 * F.col("overlap")).alias("away"))
+    placed = labelled.join(answers, ["lead", "sid"], "left").withColumn("away", F.when(F.col("lead") == F.col("sid"), 0).otherwise(F.col("away")))
     # pairs that share one of their last shingles before this one have met there, where less stood in their way
     last = Window.partitionBy("sid").orderBy("pos").rowsBetween(-EARLIER, -1)
     placed = write_table(placed.withColumn("earlier", F.collect_list("token").over(last)), "placed-lists")
@@ -363,7 +361,7 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     more = answered.filter(similar(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b").unionByName(sure)
     if not more.isEmpty():
         comps = connected_components(links.unionByName(more))
-    for done in (first, leaders, labelled, placed, written_lists, shared, known, sure, open_pairs, answered):
+    for done in (first, leaders, labelled, placed, light, heavy, shared, known, sure, open_pairs, answered):
         drop_table(done)
 
     # names of components
@@ -395,8 +393,8 @@ def _lists_of_several(index: DataFrame) -> DataFrame:
     """Entries of the index lists with another set of similar size in their list, by one shuffle on the shingle.
 
     A list is sorted by size, so the neighbours of an entry tell whether any set of it can be similar.  ``meets`` is false
-    where a list of two leaves no room for enough common shingles.  Heavy shingles don't come here, so no long list
-    gathers in one window.
+    where a list of two leaves no room for enough common shingles.  ``own_leader`` and ``low_leader`` (pos, n, sid) lead
+    the entry's own block and the next smaller one.  Heavy shingles don't come here, so no long list gathers in one window.
     """
     order = Window.partitionBy("token").orderBy("at", "sid")
     beside = {f"_{k}": F.lag("at", k).over(order) for k in (2, 1, -1, -2)}
@@ -406,7 +404,10 @@ def _lists_of_several(index: DataFrame) -> DataFrame:
     placed = placed.filter((100 * _unpacked(F.col("_1"))[0] >= PERCENT * n) | (100 * n >= PERCENT * _unpacked(F.col("_-1"))[0]))
     more = F.col("_2").isNotNull() | F.col("_-2").isNotNull() | (F.col("_1").isNotNull() & F.col("_-1").isNotNull())
     alone = _room(n, pos, *_unpacked(F.coalesce("_1", "_-1")))
-    return placed.withColumn("meets", more | alone).drop(*beside)
+    placed = placed.select("token", "sid", n, pos, (more | alone).alias("meets")).withColumn("block", class_of(F.col("n")))
+    entry = F.min(F.struct("pos", "n", "sid"))
+    low = Window.partitionBy("token").orderBy("block").rangeBetween(-1, -1)
+    return placed.withColumns({"own_leader": entry.over(Window.partitionBy("token", "block")), "low_leader": entry.over(low)})
 
 
 def _unpacked(at):

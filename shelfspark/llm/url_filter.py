@@ -166,8 +166,9 @@ def filter_urls(df: DataFrame, url_col: str = "url", rules: Iterable[tuple[str,
     for path in write_digest_array(rules, os.path.join(tempfile.mkdtemp(prefix="url-rules-"), "rules")):
         with open(path, "rb") as f:
             names.append(f"url-rules-{hashlib.file_digest(f, 'sha256').hexdigest()[:24]}.bin")
-        os.replace(path, os.path.join(os.path.dirname(path), names[-1]))
-        df.sparkSession.sparkContext.addFile(os.path.join(os.path.dirname(path), names[-1]))
+        # a file of this content keeps its place, as a name can be sent from one path only
+        os.replace(path, os.path.join(tempfile.gettempdir(), names[-1]))
+        df.sparkSession.sparkContext.addFile(os.path.join(tempfile.gettempdir(), names[-1]))
 
     def probe(batches):
         import pyarrow as pa

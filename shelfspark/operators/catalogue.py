@@ -5,12 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import RANK_OFFSET, RANK_WEIGHTS
-
-#: First match decides: (name, pattern of the title).
-TEST_CHANNELS = (("beta", r"(?i)\bbeta\b"), ("playtest", r"(?i)\bplaytest\b"), ("demo", r"(?i)\bdemo\b"), ("server", r"(?i)\b(?:dedicated|test) server\b"))
-SOFTWARE_LABELS = ("software", "utilities")
-
+from ..functions.rules import RANK_OFFSET, RANK_WEIGHTS, SOFTWARE_LABELS, TEST_CHANNELS
 
 def fuse_ranks(ranking: DataFrame, limit: int) -> DataFrame:
     """Weighted reciprocal-rank fusion: best rank per game and metric, then sum of weight / (60 + rank)."""
@@ -41,14 +36,15 @@ def overlay(df: DataFrame, key: str, terminal: Column, *newest: Column) -> DataF
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_k = 1").drop("_k")
 
 
-def exclusion(labels: Column, title: Column) -> Column:
-    """Name of the first rule that excludes a catalogue entry, else null."""
-    lower = F.transform(labels, lambda x: F.lower(x))
-    out = F.when(F.lit(False), F.lit(""))
-    for name in SOFTWARE_LABELS:
-        out = out.when(F.array_contains(lower, name), f"label:{name}")
-    for name, pattern in TEST_CHANNELS:
-        out = out.when(title.rlike(pattern), f"title:{name}")
+def exclusion(labels: Column, title: Column, kind: Column | None = None) -> Column:
+    """Name of the first rule that excludes a catalogue entry, else null: not a game, a software label, a test channel."""
+    lower = F.transform(labels, lambda x: F.lower(F.trim(x)))
+    other = F.lower(F.trim(kind)) if kind is not None else F.lit("game")
+    software = F.try_element_at(F.filter(lower, lambda x: x.isin(*SOFTWARE_LABELS)), F.lit(1))
+    out = F.when((other != "") & (other != "game"), F.concat(F.lit("steam_type:"), other))
+    out = out.when(software.isNotNull(), F.concat(F.lit("steam_label:"), software))
+    for name, pattern in TEST_CHANNELS.items():
+        out = out.when(title.rlike(pattern), f"release_channel:{name}")
     return out
 
 

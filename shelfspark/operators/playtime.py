@@ -31,12 +31,20 @@ def trailing(daily: DataFrame, today: Column, days: tuple[int, ...] = (7, 30)) -
     return daily.groupBy("user_id").agg(*[inside(d).alias(f"minutes_{d}d") for d in days])
 
 
-def visit_recap(daily: DataFrame, last_visit: DataFrame, today: Column) -> DataFrame:
-    """Minutes since the last visit (a week if unknown or over 30 days ago); null under 20 minutes or on the same day."""
-    seen = daily.join(last_visit, "user_id", "left")
+def visit_recap(users: DataFrame, daily: DataFrame, last_visit: DataFrame, finished: DataFrame, today: Column) -> DataFrame:
+    """Minutes and finished games since the last visit (a week if unknown or over 30 days ago), for every user of ``users``.
+
+    None for a visit of the same day, and none under 20 minutes without a finished game.  ``finished`` has ``user_id`` and
+    ``completed_at``.
+    """
+    seen = users.select("user_id").distinct().join(last_visit, "user_id", "left")
     old = F.col("visited").isNull() | (F.datediff(today, F.col("visited")) > 30)
-    since = F.when(old, F.date_sub(today, 7)).otherwise(F.col("visited"))
-    rows = seen.withColumn("since", since)
-    total = F.coalesce(F.sum(F.when((F.col("day") > F.col("since")) & (F.col("day") <= today), F.col("minutes"))), F.lit(0))
-    out = rows.groupBy("user_id", "since").agg(total.alias("minutes"))
-    return out.filter((F.col("since") != today) & (F.col("minutes") >= 20)).withColumn("hours", half_up(F.col("minutes") / 60, 1))
+    spans = seen.select("user_id", F.when(old, F.date_sub(today, 7)).otherwise(F.col("visited")).alias("since"), old.alias("windowed"))
+    spans = spans.filter(F.col("windowed") | (F.col("since") < today))
+    entries = daily.select("user_id", "day", "minutes", F.lit(0).alias("done")).unionByName(
+        finished.select("user_id", F.to_date("completed_at").alias("day"), F.lit(0).cast("long").alias("minutes"), F.lit(1).alias("done"))
+    )
+    inside = (F.col("day") > F.col("since")) & (F.col("day") <= today)
+    per = spans.join(entries, "user_id").filter(inside).groupBy("user_id", "since", "windowed")
+    out = per.agg(F.sum("minutes").alias("minutes"), F.sum("done").alias("games_finished"))
+    return out.filter((F.col("minutes") >= 20) | (F.col("games_finished") > 0)).withColumn("hours", half_up(F.col("minutes") / 60, 1))

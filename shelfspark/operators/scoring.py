@@ -91,27 +91,34 @@ def goal_eligible(goal: str, status: Column, hours: Column, endless: Column, per
 
 
 def appeal(positive: Column, total: Column) -> Column:
-    """struct<points, kind>: how broadly and how well a game is liked; 0 below 50 reviews."""
-    share = F.when(total > 0, positive / total).otherwise(0.0)
+    """struct<points, kind>: how broadly and how well a game is liked; 0 and none below 50 reviews."""
+    share = F.when(total > 0, F.least(F.lit(1.0), positive / total)).otherwise(0.0)
     volume = F.log10(F.greatest(F.lit(1.0), total.cast("double")))
     reach, liked = clamp((volume - 2.5) / 3.5, 0.0, 1.0), clamp((share - 0.5) / 0.35, 0.0, 1.0)
     trusted = total >= 50
     hype = F.when(trusted, reach * liked).otherwise(0.0)
     gem = F.when(trusted, clamp((share - 0.8) / 0.2, 0.0, 1.0) * clamp((3.6 - volume) / 2, 0.0, 1.0)).otherwise(0.0)
-    low = F.when(trusted & (share < 0.55), 3.0).otherwise(0.0)
+    low = trusted & (share < 0.55)
     kind = (
-        F.when(hype >= 0.55, "phenomenon").when(gem >= 0.3, "hidden-gem").when(trusted & (share < 0.6), "divisive")
+        F.when(low, "divisive").when(gem >= 0.3, "hidden-gem").when(hype >= 0.6, "phenomenon")
         .when((hype >= 0.3) & (share >= 0.9), "acclaimed").otherwise("none")
     )
-    return F.struct(clamp(4 * hype + 4 * gem - low, -6.0, 6.0).alias("points"), kind.alias("kind"))
+    return F.struct(clamp(4 * hype + 4 * gem - F.when(low, 3.0).otherwise(0.0), -6.0, 6.0).alias("points"), kind.alias("kind"))
+
+
+def described(catalog: DataFrame) -> DataFrame:
+    """The catalogue with what depends on its row alone: estimate in minutes, mood scores, rating out of 10."""
+    estimate = estimate_minutes(F.col("main_story"), F.col("main_extras"), F.col("completionist"))
+    rating = F.when(F.col("review_total") > 0, half_up(F.col("review_positive") * 10 / F.col("review_total"))).otherwise(0)
+    return catalog.withColumns({"estimate": estimate, "moods": mood_scores(F.col("labels")), "rating": rating.cast("long")})
 
 
 def library(owned: DataFrame, catalog: DataFrame) -> DataFrame:
     """The scored read model: every owned game with its catalogue facts and derived columns."""
-    joined = owned.join(catalog, "appid").withColumn("estimate", estimate_minutes(F.col("main_story"), F.col("main_extras"), F.col("completionist")))
+    joined = owned.join(described(catalog), "appid")
     joined = joined.withColumn("percent", progress(F.col("status"), F.col("endless"), F.col("hours"), F.col("estimate")))
     joined = joined.withColumn("remaining", remaining_hours(F.col("estimate"), F.col("percent")))
-    return joined.withColumn("fits", session_fits(F.col("endless"), F.col("remaining"))).withColumn("moods", mood_scores(F.col("labels")))
+    return joined.withColumn("fits", session_fits(F.col("endless"), F.col("remaining")))
 
 
 def fit_score(df: DataFrame, session: str | None = None, mood: str | None = None, goal: str | None = None, genres: list[str] | None = None) -> DataFrame:

@@ -12,15 +12,18 @@ CAT = """cat AS (
          CAST(floor(p_retailprice * 100 + 0.5) AS BIGINT) AS price_cents,
          CASE WHEN p_size % 7 <> 0 THEN greatest(60, floor((p_size * 60 + p_size * 90 + p_size * 150) / 3.0 / 60 + 0.5) * 60) END AS estimate,
          p_size % 11 = 0 AS endless,
-         coalesce(n, 0) * p_size * p_size AS review_total, coalesce(kept, 0) * p_size * p_size AS review_positive
+         coalesce(n, 0) * p_size * p_size AS review_total, coalesce(kept, 0) * p_size * p_size AS review_positive,
+         CASE WHEN p_size % 7 <> 0 THEN 'ready' ELSE ['pending', 'processing', 'failed'][CAST(p_partkey % 3 AS INT) + 1] END AS duration_status,
+         CASE WHEN p_partkey % 16 = 3 THEN 'pending' WHEN p_partkey % 16 <> 5 THEN 'ready' END AS tags_status
   FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag <> 'R') AS kept FROM lineitem GROUP BY 1) ON p_partkey = l_partkey)"""
 OWN = """own0 AS (
   SELECT o_custkey % 50 AS user_id, l_partkey + 1 AS appid, sum(l_quantity) FILTER (WHERE l_returnflag <> 'R') AS quantity,
          max(l_shipdate) FILTER (WHERE l_returnflag <> 'R') AS last_played_at, min(o_orderdate) AS added_at,
-         arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS state
+         arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS state, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS urgency
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
 own1 AS (SELECT *, CASE WHEN state = 'F' AND quantity IS NULL THEN 'Slept' WHEN state = 'F' THEN 'Completed' WHEN state = 'P' THEN 'In Progress' ELSE 'Not Started' END AS status FROM own0),
-own AS (SELECT user_id, appid, status, CASE WHEN status = 'Not Started' THEN 0.0::DOUBLE ELSE coalesce(quantity / 10, 0.0::DOUBLE) END AS hours, last_played_at, added_at FROM own1)"""
+own AS (SELECT user_id, appid, status, CASE WHEN status = 'Not Started' THEN 0.0::DOUBLE ELSE coalesce(quantity / 10, 0.0::DOUBLE) END AS hours, last_played_at, added_at,
+         CASE WHEN urgency = '1-URGENT' THEN 'Must Play' ELSE 'Medium' END AS priority, CASE WHEN status = 'Completed' THEN last_played_at END AS completed_at FROM own1)"""
 _RULES = ", ".join(f"('{t.replace(chr(39), chr(39) * 2)}', {b}, {c}, {i})" for t, (b, c, i) in MOOD_RULES.items())
 
 
@@ -42,7 +45,7 @@ lib1 AS (SELECT *, estimate * greatest(0.05::DOUBLE, 1 - least(99, percent) / 10
 lib AS (
   SELECT *, CASE WHEN endless OR remaining IS NULL OR remaining <= 10 THEN ['short', 'evening', 'weekend'] WHEN remaining <= 30 THEN ['evening', 'weekend'] ELSE ['weekend'] END AS fits
   FROM lib1)"""
-ACTIVE = "status IN ('In Progress', 'Not Started')"
+ACTIVE = "status NOT IN ('Completed', 'Slept')"
 CHOSEN = "['Action', 'RPG', 'Strategy']"
 GOALS = {
     "new": "status = 'Not Started' AND hours <= 0.5",
@@ -69,7 +72,7 @@ APPEAL = """a0 AS (SELECT *, CASE WHEN review_total > 0 THEN review_positive / r
 a1 AS (SELECT *, CASE WHEN review_total >= 50 THEN least(1, greatest(0, (v - 2.5) / 3.5)) * least(1, greatest(0, (share - 0.5) / 0.35)) ELSE 0 END AS hype,
   CASE WHEN review_total >= 50 THEN least(1, greatest(0, (share - 0.8) / 0.2)) * least(1, greatest(0, (3.6 - v) / 2)) ELSE 0 END AS gem FROM a0),
 appeals AS (SELECT appid, least(6, greatest(-6, 4 * hype + 4 * gem - CASE WHEN review_total >= 50 AND share < 0.55 THEN 3 ELSE 0 END)) AS points,
-  CASE WHEN hype >= 0.55 THEN 'phenomenon' WHEN gem >= 0.3 THEN 'hidden-gem' WHEN review_total >= 50 AND share < 0.6 THEN 'divisive'
+  CASE WHEN review_total < 50 THEN 'none' WHEN share < 0.55 THEN 'divisive' WHEN gem >= 0.3 THEN 'hidden-gem' WHEN hype >= 0.6 THEN 'phenomenon'
        WHEN hype >= 0.3 AND share >= 0.9 THEN 'acclaimed' ELSE 'none' END AS kind FROM a1)"""
 FINAL = f"""{pool("new")}, {APPEAL},
 counted AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM deck),
@@ -103,7 +106,7 @@ SNAP = """snaps AS (SELECT user_id, CAST(ts AS DATE) AS day, CAST(floor(sum(valu
 totals AS (SELECT user_id, day, sum(m) OVER (PARTITION BY user_id ORDER BY day) AS total FROM snaps),
 gains AS (SELECT user_id, day, CAST(greatest(0, total - before) AS BIGINT) AS minutes FROM (SELECT *, lag(total) OVER (PARTITION BY user_id ORDER BY day) AS before FROM totals) WHERE before IS NOT NULL)"""
 NOW = "TIMESTAMP '2001-12-01'"
-LENGTH, IDLE = "estimate / 60", f"greatest(0, floor((epoch_us({NOW}) - epoch_us(last_played_at)) / 86400000000))"
+LENGTH, IDLE = "estimate / 60", f"CASE WHEN last_played_at IS NOT NULL THEN greatest(0, floor((epoch_us({NOW}) - epoch_us(last_played_at)) / 86400000000)) END"
 PRESETS = {
     "nearly-finished": f"{ACTIVE} AND NOT endless AND percent >= 65 AND percent < 100",
     "quick-wins": f"{ACTIVE} AND NOT endless AND {LENGTH} - hours > 0 AND {LENGTH} - hours <= 8",
@@ -113,7 +116,8 @@ PRESETS = {
     "endless-rotation": f"{ACTIVE} AND endless",
     "untouched": f"{ACTIVE} AND hours = 0",
     "backlog": "status = 'Not Started'",
-    "in-progress": "status = 'In Progress'",
+    "in-progress": "status IN ('In Progress', 'Sampled')",
+    "must-play": "priority = 'Must Play'",
     "unplayed": "hours = 0",
     "short": f"{ACTIVE} AND NOT endless AND {LENGTH} <= 10",
 }
@@ -187,17 +191,23 @@ def oracle_sql() -> dict[str, str]:
               FROM (SELECT *, pow(0.5, greatest(0, epoch_us({NOW}) - epoch_us(reviewed_at)) / 86400000000 / 60) AS wt FROM latest WHERE reviewed_at >= {NOW} - INTERVAL 180 DAY)
               JOIN table_of_signals USING (action) JOIN cat USING (appid)), {_TALLY}""", "SELECT * FROM tally"),
         "library_stats": w(LIB, """SELECT user_id, count(*) AS total, count(*) FILTER (WHERE status = 'Completed') AS completed,
-            count(*) FILTER (WHERE percent > 0 AND percent < 100) AS in_progress, floor(sum(hours) * 10 + 0.5) / 10 AS hours, floor(avg(percent) * 10 + 0.5) / 10 AS mean_progress FROM lib GROUP BY 1"""),
-        "backlog_stats": w(LIB, """, s AS (SELECT user_id, CAST(sum(price_cents) AS BIGINT) AS library_cents, CAST(coalesce(sum(price_cents) FILTER (WHERE status = 'Completed'), 0) AS BIGINT) AS completed_cents,
-            CAST(coalesce(sum(price_cents) FILTER (WHERE status = 'Not Started'), 0) AS BIGINT) AS untouched_cents, count(*) AS n, count(*) FILTER (WHERE status = 'Completed') AS done,
-            arg_min(appid, (round(price_cents / hours, 6), appid)) FILTER (WHERE price_cents > 0 AND hours >= 1) AS best_value_appid,
-            arg_max(appid, (last_played_at, appid)) FILTER (WHERE status = 'Completed' AND last_played_at IS NOT NULL) AS latest_completed_appid FROM lib GROUP BY 1)
-            SELECT user_id, library_cents, completed_cents, untouched_cents, CAST(least(100, floor(100.0::DOUBLE * completed_cents / library_cents + 0.5)) AS BIGINT) AS value_percent,
-            CAST(least(100, floor(100.0::DOUBLE * done / n + 0.5)) AS BIGINT) AS count_percent, best_value_appid, latest_completed_appid FROM s"""),
+            count(*) FILTER (WHERE status <> 'Completed' AND (percent > 10 OR (endless AND hours > 0))) AS in_progress, floor(round(sum(hours), 6) * 10 + 0.5) / 10 AS hours,
+            coalesce(floor(avg(rating) FILTER (WHERE rating > 0) * 10 + 0.5) / 10, 0) AS avg_rating, floor(avg(percent) * 10 + 0.5) / 10 AS mean_progress
+            FROM (SELECT *, CASE WHEN review_total > 0 THEN floor(review_positive * 10 / review_total + 0.5) ELSE 0 END AS rating FROM lib) GROUP BY 1"""),
+        "backlog_stats": w(LIB, """, s AS (
+              SELECT user_id, count(*) AS total_games, count(*) FILTER (WHERE status = 'Completed') AS completed_games, CAST(sum(price_cents) AS BIGINT) AS library_cents,
+                CAST(coalesce(sum(price_cents) FILTER (WHERE status = 'Completed'), 0) AS BIGINT) AS completed_cents, CAST(floor(round(sum(greatest(0, hours)), 6) + 0.5) AS BIGINT) AS total_hours,
+                count(*) FILTER (WHERE hours <= 0) AS unplayed_games, CAST(coalesce(sum(price_cents) FILTER (WHERE hours <= 0), 0) AS BIGINT) AS unplayed_cents,
+                count(*) FILTER (WHERE price_cents > 0) AS priced_games,
+                arg_min(appid, (round(price_cents / hours, 6), appid)) FILTER (WHERE price_cents > 0 AND hours >= 1) AS best_value_appid,
+                arg_max(appid, (completed_at, -appid)) FILTER (WHERE completed_at IS NOT NULL) AS latest_completed_appid FROM lib GROUP BY 1)
+            SELECT *, CAST(least(100, floor(100.0::DOUBLE * completed_cents / library_cents + 0.5)) AS BIGINT) AS value_percent,
+              CAST(least(100, floor(100.0::DOUBLE * completed_games / total_games + 0.5)) AS BIGINT) AS completed_percent FROM s"""),
         "best_value_topk": w(LIB, """SELECT * FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY round(price_cents / hours, 4), appid) AS rank, appid,
             round(price_cents / hours, 4) AS cents_per_hour FROM lib WHERE price_cents > 0 AND hours >= 1) WHERE rank <= 5"""),
-        "enrichment_progress": w(LIB, """SELECT user_id, count(*) AS total, count(*) FILTER (WHERE estimate IS NOT NULL OR endless) AS ready,
-            CAST(floor(100.0::DOUBLE * count(*) FILTER (WHERE estimate IS NOT NULL OR endless) / count(*) + 0.5) AS BIGINT) AS percent_ready FROM lib GROUP BY 1"""),
+        "enrichment_progress": w(LIB, """, s AS (SELECT user_id, count(*) AS total, count(*) FILTER (WHERE coalesce(duration_status IN ('pending', 'processing'), false)
+              OR coalesce(tags_status IN ('pending', 'processing'), false)) AS processing FROM lib GROUP BY 1)
+            SELECT *, total - processing AS ready, CAST(floor(100.0::DOUBLE * (total - processing) / total + 0.5) AS BIGINT) AS percent_ready FROM s"""),
         "tab_counts": w(LIB, f"""SELECT user_id, count(*) FILTER (WHERE {ACTIVE}) AS active, count(*) FILTER (WHERE status = 'Completed') AS completed,
             count(*) FILTER (WHERE status = 'Slept') AS slept FROM lib GROUP BY 1"""),
         "playtime_gains": w(SNAP, "SELECT * FROM gains"),
@@ -209,22 +219,28 @@ def oracle_sql() -> dict[str, str]:
         "playtime_rollup": w(SNAP, "SELECT user_id, " + ", ".join(
             f"CAST(coalesce(sum(minutes) FILTER (WHERE day > DATE '2024-01-30' - {d} AND day <= DATE '2024-01-30'), 0) AS BIGINT) AS minutes_{d}d" for d in (7, 30)) + " FROM gains GROUP BY 1"),
         "visit_recap": w(
-            f"""{SNAP}, visits AS (SELECT user_id, min(CAST(ts AS DATE)) AS visited FROM events WHERE event_type = 'view' GROUP BY 1),
-            s AS (SELECT g.*, CASE WHEN visited IS NULL OR DATE '2024-01-30' - visited > 30 THEN DATE '2024-01-23' ELSE visited END AS since FROM gains g LEFT JOIN visits USING (user_id)),
-            t AS (SELECT user_id, since, CAST(coalesce(sum(minutes) FILTER (WHERE day > since AND day <= DATE '2024-01-30'), 0) AS BIGINT) AS minutes FROM s GROUP BY ALL)""",
-            "SELECT *, floor(minutes / 60 * 10 + 0.5) / 10 AS hours FROM t WHERE since <> DATE '2024-01-30' AND minutes >= 20"),
+            f"""{SNAP}, {OWN}, visits AS (SELECT user_id, min(CAST(ts AS DATE)) AS visited FROM events WHERE event_type = 'view' GROUP BY 1),
+            done AS (SELECT user_id, DATE '2024-01-30' - CAST(appid % 400 AS INT) AS day FROM own WHERE status = 'Completed'),
+            spans AS (SELECT u.user_id, visited IS NULL OR DATE '2024-01-30' - visited > 30 AS windowed, CASE WHEN visited IS NULL OR DATE '2024-01-30' - visited > 30 THEN DATE '2024-01-23' ELSE visited END AS since
+              FROM (SELECT user_id FROM events UNION SELECT user_id FROM own) u LEFT JOIN visits USING (user_id)),
+            t AS (SELECT user_id, since, windowed, CAST((SELECT coalesce(sum(minutes), 0) FROM gains g WHERE g.user_id = s.user_id AND day > since AND day <= DATE '2024-01-30') AS BIGINT) AS minutes,
+              (SELECT count(*) FROM done d WHERE d.user_id = s.user_id AND day > since AND day <= DATE '2024-01-30') AS games_finished FROM spans s WHERE windowed OR since < DATE '2024-01-30')""",
+            "SELECT *, floor(minutes / 60 * 10 + 0.5) / 10 AS hours FROM t WHERE minutes >= 20 OR games_finished > 0"),
         "smart_collections": w(MEMBERS, "SELECT * FROM members"),
         "collection_counts": w(MEMBERS, "SELECT user_id, preset, count(*) AS n FROM members GROUP BY ALL"),
         "completion_queue": w(
             f"{LIB}, q AS (SELECT *, hours * 60 / estimate AS over FROM lib WHERE {ACTIVE} AND NOT endless AND estimate >= 120), r AS (SELECT *, CASE WHEN over <= 1.5 THEN 1.0 WHEN over <= 2.5 THEN 0.8 WHEN over <= 4 THEN 0.6 ELSE 0.4 END::DOUBLE AS confidence FROM q WHERE over >= 0.9)",
             "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, price_cents DESC, appid) AS rank, appid, confidence FROM r"),
         "purge_queue": w(
-            f"""{LIB}, {VERDICTS}, kept AS (SELECT DISTINCT user_id, appid FROM verdicts WHERE action = 'keep' AND reviewed_at > {NOW} - INTERVAL 180 DAY),
-            base AS (SELECT *, date_diff('day', CAST(last_played_at AS DATE), DATE '2001-12-01') AS idle FROM lib ANTI JOIN kept USING (user_id, appid) WHERE {ACTIVE} AND appid % 13 <> 0),
+            f"""{LIB}, {APPEAL}, {VERDICTS}, rested AS (SELECT DISTINCT user_id, appid FROM verdicts WHERE epoch_us({NOW}) - epoch_us(reviewed_at) < CASE WHEN action = 'keep' THEN 180 * 86400000000 ELSE 300000000 END),
+            base AS (SELECT lib.*, kind, CASE WHEN last_played_at IS NULL THEN 'infinity'::DOUBLE ELSE greatest(0, (epoch_us({NOW}) - epoch_us(last_played_at)) / 86400000000) END AS idle
+              FROM lib JOIN appeals USING (appid) ANTI JOIN rested USING (user_id, appid) WHERE {ACTIVE} AND appid % 13 <> 0),
             q AS (SELECT *, CASE WHEN hours = 0 THEN 'untouched' WHEN percent <= 50 THEN 'stalled' ELSE 'dormant' END AS category,
-              CASE WHEN hours = 0 THEN 2.0 ELSE 0.0 END::DOUBLE + CASE WHEN idle >= 730 THEN 1.5 WHEN idle >= 365 THEN 1.0 ELSE 0.0 END::DOUBLE AS confidence
-              FROM base WHERE (hours = 0 OR coalesce(idle, 0) >= 180) AND NOT coalesce(NOT endless AND hours * 60 / estimate >= 0.9 AND estimate >= 120, false))""",
-            "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, price_cents, title, appid) AS rank, appid, category, confidence FROM q"),
+              CASE kind WHEN 'divisive' THEN 'cut' WHEN 'none' THEN NULL ELSE 'keep' END AS signal,
+              CASE WHEN hours = 0 THEN 2.0 ELSE 0.0 END::DOUBLE + CASE WHEN idle >= 730 THEN 1.5 WHEN idle >= 365 THEN 1.0 ELSE 0.0 END::DOUBLE
+                + CASE kind WHEN 'divisive' THEN 2.0 WHEN 'none' THEN 0.0 ELSE -2.5 END::DOUBLE AS confidence FROM base
+              WHERE (hours = 0 OR idle >= 180) AND NOT coalesce(NOT endless AND hours * 60 / estimate >= 0.9 AND estimate >= 120, false))""",
+            "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, price_cents, title, appid) AS rank, appid, category, signal, confidence FROM q"),
         "purge_standing": w(f"{LIB}, {VERDICTS}", """SELECT user_id, appid, action, status, CASE action WHEN 'sleep' THEN status <> 'Slept' WHEN 'complete' THEN status <> 'Completed'
             ELSE status IN ('Slept', 'Completed') END AS superseded FROM latest JOIN lib USING (user_id, appid)"""),
         "rrf_cohort": w(RRF, "SELECT * FROM rrf"),
@@ -243,7 +259,8 @@ def oracle_sql() -> dict[str, str]:
         "tag_rank": """WITH p AS (SELECT l_partkey + 1 AS appid, l_returnflag AS tag, sum(l_quantity) - 50 AS w FROM lineitem GROUP BY ALL),
             r AS (SELECT *, row_number() OVER (PARTITION BY appid ORDER BY w DESC, tag) AS k FROM p WHERE w > 0)
             SELECT a.appid, coalesce(string_agg(tag, ',' ORDER BY k), '') AS labels FROM (SELECT DISTINCT appid FROM p) a LEFT JOIN r ON r.appid = a.appid AND k <= 2 GROUP BY 1""",
-        "exclusion_rules": w(CAT, """SELECT appid, CASE WHEN appid % 11 = 0 THEN 'label:utilities' WHEN appid % 9 = 0 THEN 'title:beta' WHEN appid % 9 = 1 THEN 'title:server' END AS matched_rule FROM cat"""),
+        "exclusion_rules": w(CAT, """SELECT appid, CASE WHEN appid % 17 = 0 THEN 'steam_type:dlc' WHEN appid % 11 = 0 THEN 'steam_label:utilities' WHEN appid % 8 < 6
+            THEN 'release_channel:' || ['beta', 'playtest', 'public_test', 'test_environment', 'ptr', 'staging'][CAST(appid % 8 AS INT) + 1] END AS matched_rule FROM cat"""),
         "status_histogram": w(LIB, "SELECT status, count(*) AS n, round(sum(hours), 2) AS hours FROM lib GROUP BY 1"),
         "quality_gate": w(RANKS, "SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS keys, count(*) FILTER (WHERE n > 1) AS repeated, 0::BIGINT AS blank_names FROM (SELECT appid, count(*) AS n FROM ranks GROUP BY 1)"),
         "page_link_scan": """SELECT DISTINCT unnest(regexp_extract_all(html, '<html lang="([a-z]+)"', 1)) AS id FROM pages""",

@@ -136,8 +136,12 @@ def playtime_rollup(s, d):
 
 
 def visit_recap(s, d):
+    """Last visits are the first views; finished games are dated by their id, as the tables' orders are older than their events."""
     visits = adapters.read(s, d, "events").filter("event_type = 'view'").groupBy("user_id").agg(F.min(F.to_date("ts")).alias("visited"))
-    return playtime.visit_recap(playtime.gains(adapters.snapshots(s, d)), visits, F.lit(TODAY))
+    owned = adapters.user_games(s, d)
+    finished = owned.filter("status = 'Completed'").select("user_id", F.date_sub(F.lit(TODAY), (F.col("appid") % 400).cast("int")).alias("completed_at"))
+    users = adapters.read(s, d, "events").select("user_id").unionByName(owned.select("user_id"))
+    return playtime.visit_recap(users, playtime.gains(adapters.snapshots(s, d)), visits, finished, F.lit(TODAY))
 
 
 def smart_collections(s, d):
@@ -165,9 +169,8 @@ def verdicts(s: SparkSession, d: str) -> DataFrame:
 
 
 def purge_queue(s, d):
-    protected = lib(s, d).filter(F.col("appid") % 13 == 0).select("user_id", "appid")
-    kept = verdicts(s, d).filter((F.col("action") == "keep") & (F.col("reviewed_at") > now() - F.expr("INTERVAL 180 DAYS"))).select("user_id", "appid").distinct()
-    return stats.purge_queue(lib(s, d), protected, kept, now())
+    rows = lib(s, d)
+    return stats.purge_queue(rows, adapters.user_games(s, d).filter(F.col("appid") % 13 == 0).select("user_id", "appid"), verdicts(s, d), now())
 
 
 def purge_standing(s, d):
@@ -260,9 +263,11 @@ def tag_rank(s, d):
 
 
 def exclusion_rules(s, d):
-    title = F.concat_ws(" ", "title", F.when(F.col("appid") % 9 == 0, "Beta").when(F.col("appid") % 9 == 1, "Dedicated Server"))
+    marks = ["Beta", "Playtest", "public-test", "Test Server", "PTR", "Staging branch", "Alphabeta"]
+    title = F.concat_ws(" ", "title", F.element_at(F.array(*map(F.lit, [*marks, None])), (F.col("appid") % 8 + 1).cast("int")))
     labels = F.when(F.col("appid") % 11 == 0, F.array(F.lit("Utilities"))).otherwise(F.col("labels"))
-    return adapters.catalog(s, d).select("appid", catalogue.exclusion(labels, title).alias("matched_rule"))
+    kind = F.when(F.col("appid") % 17 == 0, "DLC").otherwise("game")
+    return adapters.catalog(s, d).select("appid", catalogue.exclusion(labels, title, kind).alias("matched_rule"))
 
 
 def title_normalise(s, d):

@@ -36,6 +36,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(known, size * 150).alias("completionist"), (size % 11 == 0).alias("endless"),
         (F.coalesce("n", F.lit(0)) * size * size).cast("long").alias("review_total"),
         (F.coalesce("kept", F.lit(0)) * size * size).cast("long").alias("review_positive"),
+        F.when(known, "ready").otherwise(F.element_at(F.array(*map(F.lit, ("pending", "processing", "failed"))), (F.col("p_partkey") % 3 + 1).cast("int"))).alias("duration_status"),
+        F.when(F.col("p_partkey") % 16 == 3, "pending").when(F.col("p_partkey") % 16 != 5, "ready").alias("tags_status"),
     )
 
 
@@ -48,16 +50,17 @@ def user_games(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy((F.col("o_custkey") % USERS).alias("user_id"), (F.col("l_partkey") + 1).alias("appid"))
         .agg(
             F.sum(F.when(kept, F.col("l_quantity"))).alias("quantity"), F.max(F.when(kept, F.col("l_shipdate").cast("timestamp"))).alias("last_played_at"),
-            F.min(F.col("o_orderdate").cast("timestamp")).alias("added_at"), F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("state"),
+            F.min(F.col("o_orderdate").cast("timestamp")).alias("added_at"), F.max_by(F.struct("o_orderstatus", "o_orderpriority"), F.struct("o_orderdate", "o_orderkey")).alias("newest"),
         )
     )
+    per = per.select("*", F.col("newest.o_orderstatus").alias("state"), F.when(F.col("newest.o_orderpriority") == "1-URGENT", "Must Play").otherwise("Medium").alias("priority"))
     status = (
         F.when((F.col("state") == "F") & F.col("quantity").isNull(), "Slept").when(F.col("state") == "F", "Completed")
         .when(F.col("state") == "P", "In Progress").otherwise("Not Started")
     )
     return per.withColumn("status", status).select(
         "user_id", "appid", "status", F.when(F.col("status") == "Not Started", 0.0).otherwise(F.coalesce(F.col("quantity") / 10, F.lit(0.0))).alias("hours"),
-        "last_played_at", "added_at",
+        "last_played_at", "added_at", "priority", F.when(F.col("status") == "Completed", F.col("last_played_at")).alias("completed_at"),
     )
 
 

@@ -99,6 +99,9 @@ def test_catalogue(spark):
 
 
 def test_empty_library(spark):
-    schema = "user_id long, status string, percent long, hours double, price_cents long, last_played_at timestamp, appid long, endless boolean, estimate double"
+    schema = (
+        "user_id long, status string, percent long, hours double, price_cents long, last_played_at timestamp, completed_at timestamp, appid long, endless boolean, "
+        "estimate double, rating long"
+    )
     empty = spark.createDataFrame([], schema)
     assert stats.library_stats(empty).count() == stats.backlog_stats(empty).count() == stats.completion_queue(empty).count() == 0

@@ -239,8 +239,9 @@ def with_both(pairs: DataFrame, sets: DataFrame, value: str) -> tuple[DataFrame,
         part = F.coalesce(F.pmod(F.xxhash64(other), F.col("parts")), F.lit(0).cast("long"))
         out = out.join(many.withColumnRenamed("sid", key), key, "left").withColumn(f"part_{key}", part).drop("parts")
         sides.append((copied, [key, f"part_{key}"]))
+    # arrays of sets grow with the corpus, so they are merged by key at every size
     for copied, on in sides:
-        out = out.join(copied, on)
+        out = out.join(copied.hint("merge"), on)
     return out, used
 
 
@@ -314,7 +315,8 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
 
     # what is left: pairs in different components of one list
     lead = F.col("leader.sid").alias("lead")
-    led = heavy.join(leaders, ["token", "block"]).select(*plain, lead).unionByName(light.filter("meets").select(*plain, F.col("own_leader.sid").alias("lead")))
+    led = heavy.join(leaders, ["token", "block"]).select(*plain, lead, F.lit(True).alias("heavy"))
+    led = led.unionByName(light.filter("meets").select(*plain, F.col("own_leader.sid").alias("lead"), F.lit(False).alias("heavy")))
     labelled = led.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low <> _high").select("token")
     labelled = write_table(labelled.join(mixed, "token", "left_semi"), "mixed-lists")
@@ -323,15 +325,25 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     # pairs that share one of their last shingles before this one have met there, where less stood in their way
     last = Window.partitionBy("sid").orderBy("pos").rowsBetween(-EARLIER, -1)
     placed = write_table(placed.withColumn("earlier", F.collect_list("token").over(last)), "placed-lists")
-    main = placed.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-    odd = placed.join(main, "token").filter("comp <> main")
     carried = ("sid", "n", "pos", "comp", "lead", "away", "earlier")
-    x = odd.select("token", F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1)).alias("block"), *[F.col(c).alias(f"{c}_x") for c in carried])
-    y = placed.select("token", "block", *[F.col(c).alias(f"{c}_y") for c in carried])
+    side = lambda df, k, *on: df.select(*on, *[F.col(c).alias(f"{c}_{k}") for c in carried])
+    # light lists: one shuffle brings a whole list together, and its entries meet there
+    lists = placed.filter("not heavy").repartition("token")
+    n_comp = F.count("*").over(Window.partitionBy("token", "comp"))
+    top = F.max(F.struct("_n", "comp")).over(Window.partitionBy("token"))
+    odd = lists.withColumn("_n", n_comp).withColumn("_main", top).filter(F.col("comp") != F.col("_main.comp"))
+    x, y = side(odd, "x", "token", F.col("block").alias("_x")), side(lists, "y", "token", F.col("block").alias("_y"))
+    few = x.join(y.hint("merge"), "token").filter(F.abs(F.col("_x") - F.col("_y")) <= 1).drop("_x", "_y")
+    # heavy lists: by neighbouring blocks
+    lists = placed.filter("heavy")
+    main = lists.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
+    odd = lists.join(main, "token").filter("comp <> main")
+    x = side(odd, "x", "token", F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1)).alias("block"))
+    many = x.join(side(lists, "y", "token", "block"), ["token", "block"]).drop("block")
     gap, joint = F.abs(F.col("away_x") - F.col("away_y")), F.col("away_x") + F.col("away_y")
     most = (100 - PERCENT) * (F.col("n_x") + F.col("n_y"))  # similar if (100 + PERCENT) * difference is at most this
     same_lead = F.col("lead_x").eqNullSafe(F.col("lead_y")) & gap.isNotNull()
-    met = x.join(y, ["token", "block"]).filter(
+    met = few.unionByName(many).filter(
         (F.col("comp_x") != F.col("comp_y"))
         & _possible("n_x", "pos_x", "n_y", "pos_y")
         & ~F.coalesce(same_lead & ((100 + PERCENT) * gap > most), F.lit(False))
@@ -341,8 +353,7 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     pick = lambda c: F.when(swap, F.col(f"{c}_y")).otherwise(F.col(f"{c}_x"))
     drop = lambda c: F.when(swap, F.col(f"{c}_x")).otherwise(F.col(f"{c}_y"))
     met = met.select(
-        "token", pick("sid").alias("a"), drop("sid").alias("b"), pick("n").alias("n_a"), drop("n").alias("n_b"),
-        pick("pos").alias("pos_a"), drop("pos").alias("pos_b"),
+        pick("sid").alias("a"), drop("sid").alias("b"), pick("n").alias("n_a"), drop("n").alias("n_b"),
         F.coalesce(same_lead & ((100 + PERCENT) * joint <= most), F.lit(False)).alias("sure"),
     )
     # every list that two sets share is seen here or is skipped by sizes and answers alone, so lists in
@@ -350,8 +361,8 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     pairs = met.groupBy("a", "b").agg(
         F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.max("sure").alias("sure")
     )
-    pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-    pairs = pairs.join(known.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    asked = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = pairs.join(asked, ["a", "b"], "left_anti")
     pairs = write_table(pairs, "second-pairs")
     sure = write_table(pairs.filter("sure").select("a", "b"), "sure-links")
     unsure = write_table(pairs.filter("not sure").drop("sure"), "second-candidates")

@@ -70,15 +70,10 @@ def split_genres(x: Column) -> Column:
     return unique_ignoring_case(F.filter(parts, lambda p: (p != "") & (F.lower(p) != "unknown")))
 
 
-def kebab(x: Column) -> Column:
-    """Lower case, words joined by hyphens."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), r"[^a-z0-9]+", "-"), "^-|-$", "")
-
-
 def genre_key(x: Column) -> Column:
-    """Kebab key with the usual aliases."""
-    key = kebab(x)
-    return F.when(key.isin("science-fiction", "scifi"), "sci-fi").when(key.isin("role-playing", "role-playing-game"), "rpg").otherwise(key)
+    """Lower case with hyphens for blanks and underscores; the usual aliases."""
+    key = F.regexp_replace(F.lower(F.trim(x)), r"[_\s]+", "-")
+    return F.when(key.isin("sci-fi", "sci--fi", "science-fiction"), "sci-fi").when(key.isin("role-playing", "role-playing-game", "rpg"), "rpg").otherwise(key)
 
 
 def mood_tag(x: Column) -> Column:

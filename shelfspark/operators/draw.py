@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import labels
+from ..functions.genres import display_key
+from ..functions.numeric import half_up
+from ..functions.rules import MOOD_RULES, MOODS
+from ..functions.text import genre_key, mood_tag
 from . import scoring
 
 DECK, TEMPERATURE = 64, 15.0
@@ -68,3 +73,92 @@ def quick_pick(df: DataFrame, u: Column) -> DataFrame:
     """A uniform pick per user: row floor(u * n) in rank order."""
     n = F.count("*").over(Window.partitionBy("user_id"))
     return df.withColumn("_n", n).filter(F.col("rank") - 1 == F.floor(u * F.col("_n"))).drop("_n")
+
+
+def deferred_deck(pool: DataFrame, deferred: DataFrame, limit: int = DECK) -> DataFrame:
+    """The deck with deferred games at its end: what is left by rank, then ``deferred`` (user, game, pos) in its order; adds ``place``."""
+    rows = pool.join(deferred.select("user_id", "appid", F.col("pos").alias("_pos")), ["user_id", "appid"], "left")
+    order = Window.partitionBy("user_id").orderBy(F.col("_pos").isNotNull(), "_pos", *by_rank())
+    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).drop("_pos")
+
+
+def without_winner(pool: DataFrame, winners: DataFrame) -> DataFrame:
+    """Rows of a ranked pool without the previous winner of each user, unless it is the only one; ranked anew."""
+    n = F.count("*").over(Window.partitionBy("user_id"))
+    rows = pool.withColumn("_n", n).join(winners.select("user_id", "appid", F.lit(True).alias("_won")), ["user_id", "appid"], "left")
+    kept = rows.filter(F.col("_won").isNull() | (F.col("_n") == 1)).drop("_n", "_won")
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("rank")))
+
+
+def mood_contributors(labels: Column, mood: str, limit: int = 3) -> Column:
+    """The labels that add most to a mood, each tag once, ties in label order."""
+    k = MOODS.index(mood)
+    table = F.create_map(*[F.lit(x) for tag, rule in MOOD_RULES.items() if rule[k] > 0 for x in (tag, rule[k])])
+    tagged = F.transform(labels, lambda x, i: F.struct(F.coalesce(table[mood_tag(x)], F.lit(0)).alias("weight"), (-i).alias("back"), x.alias("label"), mood_tag(x).alias("tag")))
+    once = F.filter(tagged, lambda e, i: (e["weight"] > 0) & ~F.exists(F.slice(tagged, 1, i), lambda y: y["tag"] == e["tag"]))
+    return F.transform(F.slice(F.reverse(F.array_sort(once)), 1, limit), lambda e: e["label"])
+
+
+def _fit(ratio: Column, high: str, middle: str, low: str) -> Column:
+    return F.when(ratio >= 0.93, high).when(ratio >= 0.8, middle).otherwise(low)
+
+
+SESSIONS = {"short": "Short Session", "evening": "Evening Session", "weekend": "Weekend Session"}
+
+
+def reasons(session: str | None, mood: str | None, goal: str | None, genres: list[str], now: Column, taste: Column | None = None) -> Column:
+    """Up to four reasons for a library row: session, mood, goal, pause, genres, taste, appeal, in this order."""
+    out: list[Column] = []
+    if session:
+        name = SESSIONS[session].lower()
+        ratio = scoring.session_points(session, F.col("fits"), F.col("endless"), F.col("remaining")) / 30
+        out.append(F.when(F.col("endless"), "Endless · play any length").otherwise(_fit(ratio, f"Ideal {name} length", f"Good {name} length", f"{SESSIONS[session]} fit")))
+    if mood:
+        shown, score = mood.title(), F.col("moods")[mood.replace("-", "_")]
+        out.append(F.when(score >= 7, f"Perfect {shown} match").when(score >= 5, f"Strong {shown} match").when(score >= 3, f"Solid {shown} match"))
+    if goal == "new":
+        out.append(F.when(F.col("hours") == 0, "Unplayed").otherwise("Barely sampled"))
+    if goal == "finish":
+        left = F.greatest(F.lit(1), half_up(F.col("remaining")).cast("long"))
+        out.append(F.when(F.col("estimate").isNull(), F.concat(F.col("percent").cast("string"), F.lit("% complete"))).otherwise(F.concat(left.cast("string"), F.lit("h left"))))
+    if goal == "surprise":
+        out.append(F.lit("Wildcard"))
+    out.append(labels.dormancy_reason(F.col("last_played_at"), now))
+    if genres:
+        own = F.transform("labels", genre_key)
+        shared = F.filter(F.array(*[F.lit(g) for g in genres]), lambda g: F.array_contains(own, genre_key(g)))
+        names = F.array_join(F.transform(shared, lambda g: display_key(genre_key(g), "rpg")), " · ")
+        out.append(F.when(F.size(shared) > 0, names))
+    if taste is not None:
+        out.append(taste)
+    out.append(labels.appeal_label(scoring.appeal(F.col("review_positive"), F.col("review_total"))["kind"]))
+    return F.slice(F.filter(F.array(*out), lambda x: x.isNotNull()), 1, 4)
+
+
+def insights(session: str, mood: str, genres: list[str], pool_size: Column, now: Column) -> Column:
+    """array<struct<kind, strength, headline>> that explains a ranked row of a draw for something new."""
+    name, score = SESSIONS[session].lower(), F.col("moods")[mood.replace("-", "_")]
+    ratio = scoring.session_points(session, F.col("fits"), F.col("endless"), F.col("remaining")) / 30
+    drivers = F.size(mood_contributors(F.col("labels"), mood))
+    own = F.transform("labels", genre_key)
+    shared = F.filter(F.array(*[F.lit(g) for g in genres]), lambda g: F.array_contains(own, genre_key(g)))
+    said = F.array_join(F.transform(shared, lambda g: display_key(genre_key(g), "rpg")), " and ")
+    liked = scoring.appeal(F.col("review_positive"), F.col("review_total"))
+    of = F.concat(F.lit(" of "), pool_size.cast("string"), F.lit(" games"))
+
+    def one(when: Column, kind: str, strength: Column, headline: Column) -> Column:
+        return F.when(when, F.struct(F.lit(kind).alias("kind"), strength.alias("strength"), headline.alias("headline")))
+
+    grade = lambda x, high, low: F.when(x >= high, "perfect").when(x >= low, "strong").otherwise("good")
+    paused = labels.dormancy_headline(F.col("last_played_at"), now)
+    every = [
+        one(pool_size > 1, "selection", F.when(F.col("rank") <= 3, "perfect").when(F.col("rank") <= 10, "strong").otherwise("good"),
+            F.when(F.col("rank") == 1, F.concat(F.lit("Best fit"), of)).otherwise(F.concat(F.lit("Ranked "), labels.ordinal(F.col("rank")), of))),
+        one(F.lit(True), "session", grade(ratio, 0.93, 0.8), F.when(F.col("endless"), "Plays to any length").otherwise(_fit(ratio, f"Ideal {name} length", f"Good {name} length", f"Workable {name} length"))),
+        one((score >= 1) | (drivers > 0), "mood", grade(score, 7, 5), F.concat(F.when(score >= 7, "Perfect").when(score >= 5, "Strong").otherwise("Fair"), F.lit(f" {mood.title()} match"))),
+        one(F.lit(True), "goal", F.when(F.col("hours") == 0, "perfect").otherwise("strong"), F.when(F.col("hours") == 0, "Never played").otherwise("Barely sampled")),
+        one(paused.isNotNull(), "dormancy", F.lit("strong"), paused),
+        one(F.size(shared) > 0, "genre", F.when(F.size(shared) == len(genres), "perfect").otherwise("strong"), F.concat(said, F.lit(", as asked"))),
+        one(liked["kind"] != "none", "appeal", F.when(liked["points"] >= 3, "perfect").when(liked["points"] > 0, "strong").otherwise("good"), labels.appeal_label(liked["kind"])),
+    ]
+    return F.filter(F.array(*every), lambda x: x.isNotNull())

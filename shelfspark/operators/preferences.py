@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import logit, recency_weight, shrunk_rate, sigmoid
 from ..functions.rules import EVENT_SIGNALS, REVIEW_SIGNALS
+from ..functions.genres import display_key
 from ..functions.text import genre_key
 
 BASELINE = "__baseline__"
@@ -73,7 +74,16 @@ def rarity_weights(catalog: DataFrame) -> DataFrame:
 
 
 def points(rows: DataFrame, population: DataFrame, mood: str) -> DataFrame:
-    """Points per user and genre in [-8, 8], by shrinkage from population to user to mood."""
+    """Points of the genres that a user has own tallies of, in [-8, 8]."""
+    pairs = rows.filter(F.col("genre") != BASELINE).select("user_id", "genre").distinct()
+    return points_of(pairs, rows, population, mood).select("user_id", "genre", F.round("points", 6).alias("points"))
+
+
+def points_of(pairs: DataFrame, rows: DataFrame, population: DataFrame, mood: str) -> DataFrame:
+    """Points of given users and genres in [-8, 8], by shrinkage from population to user to mood; ``moody``: the mood had a say.
+
+    A user without tallies is served the population's view; genres without any evidence are left out.
+    """
 
     def wide(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
         out = [F.sum(F.when((F.col("context") == c) & (F.col("total") > 0), F.col(v))).alias(f"{prefix}_{n}_{v[0]}") for c, n in (("any", "any"), (mood, "mood")) for v in ("positive", "total")]
@@ -84,7 +94,7 @@ def points(rows: DataFrame, population: DataFrame, mood: str) -> DataFrame:
     pop = wide(population.filter(F.col("genre") != BASELINE), ["genre"], "p")
     overall = population.filter((F.col("genre") == BASELINE) & (F.col("context") == "any"))
     pop_base = overall.agg(F.sum("positive").alias("q_any_p"), F.sum("total").alias("q_any_t"))
-    df = user.join(base, "user_id").join(F.broadcast(pop), "genre").crossJoin(F.broadcast(pop_base))
+    df = pairs.join(user, ["user_id", "genre"], "left").join(base, "user_id", "left").join(pop, "genre", "left").crossJoin(F.broadcast(pop_base))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     level = shrunk_rate(zero("q_any_p"), zero("q_any_t"), F.lit(0.5), 8.0)
     own_any = shrunk_rate(zero("b_any_p"), zero("b_any_t"), level, 8.0)
@@ -93,4 +103,28 @@ def points(rows: DataFrame, population: DataFrame, mood: str) -> DataFrame:
     prior = sigmoid(logit(own) + logit(pop_genre) - logit(level))
     rate = shrunk_rate(zero("g_mood_p"), zero("g_mood_t"), shrunk_rate(zero("g_any_p"), zero("g_any_t"), prior, 8.0), 8.0)
     known = F.col("g_any_t").isNotNull() | F.col("g_mood_t").isNotNull() | F.col("p_any_t").isNotNull()
-    return df.filter(known).select("user_id", "genre", F.round(8 * F.tanh((logit(rate) - logit(own)) / 3), 6).alias("points"))
+    return df.filter(known).select("user_id", "genre", (8 * F.tanh((logit(rate) - logit(own)) / 3)).alias("points"), F.col("g_mood_t").isNotNull().alias("moody"))
+
+
+def library_weights(games: DataFrame) -> DataFrame:
+    """Rarity of genres within each user's own library: ln(1 + games / games of the genre) over its mean; ``games`` has ``genres``."""
+    n = games.groupBy("user_id").agg(F.count("*").alias("n"))
+    per = games.select("user_id", F.explode(F.array_distinct("genres")).alias("genre")).groupBy("user_id", "genre").count().join(n, "user_id")
+    weight = F.log(1 + F.col("n") / F.col("count"))
+    return per.select("user_id", "genre", (weight / F.avg(weight).over(Window.partitionBy("user_id"))).alias("weight"))
+
+
+def adjustment(games: DataFrame, rows: DataFrame, population: DataFrame, mood: str, least: float = 2.5) -> DataFrame:
+    """Weighted mean of the points of a game's genres and the reason, per ``user_id`` and ``appid`` of ``games`` (``genres``: keys in order).
+
+    The reason names the genre with the greatest points by absolute value, the first of equals; games without evidence get 0.
+    """
+    exploded = games.select("user_id", "appid", F.posexplode("genres").alias("pos", "genre"))
+    found = points_of(exploded.select("user_id", "genre").distinct(), rows, population, mood)
+    scored = exploded.join(found, ["user_id", "genre"]).join(library_weights(games), ["user_id", "genre"])
+    strongest = F.max(F.struct(F.round(F.abs("points"), 9).alias("size"), (-F.col("pos")).alias("first"), "genre", "moody"))
+    per = scored.groupBy("user_id", "appid").agg((F.sum(F.col("points") * F.col("weight")) / F.sum("weight")).alias("points"), strongest.alias("_top"))
+    context = F.when(F.col("_top.moody"), f" when {mood.title()}").otherwise("")
+    reason = F.when(F.col("points") >= least, F.concat(display_key(F.col("_top.genre"), "rpg"), F.lit(" lands well for you"), context))
+    joined = games.select("user_id", "appid").join(per, ["user_id", "appid"], "left")
+    return joined.select("user_id", "appid", F.coalesce("points", F.lit(0.0)).alias("points"), reason.alias("reason"))

@@ -1 +1,11 @@
-"""Plans of the backlog engine."""
+"""Registered queries of the backlog engine and their SQL."""
+
+from . import oracles, queries as core, rule_oracles, rule_queries
+
+
+def queries():
+    return {**core.queries(), **rule_queries.queries()}
+
+
+def oracle_sql():
+    return {**oracles.oracle_sql(), **rule_oracles.oracle_sql()}

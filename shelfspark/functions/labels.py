@@ -16,7 +16,11 @@ def whole(x: Column) -> Column:
 
 
 def fixed(x: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", x.cast("double"))
+    """So many digits of the nearer neighbour, measured on the double itself (9.45 is below the middle of 9.4 and 9.5)."""
+    scale = float(10**digits)
+    x = x.cast("double")
+    low, high = F.floor(x * scale) / scale, (F.floor(x * scale) + 1) / scale
+    return F.format_string(f"%.{digits}f", F.when(high - x <= x - low, high).otherwise(low))
 
 
 def days_between(earlier: Column, later: Column) -> Column:

@@ -263,6 +263,12 @@ def oracle_sql() -> dict[str, str]:
             THEN 'release_channel:' || ['beta', 'playtest', 'public_test', 'test_environment', 'ptr', 'staging'][CAST(appid % 8 AS INT) + 1] END AS matched_rule FROM cat"""),
         "status_histogram": w(LIB, "SELECT status, count(*) AS n, round(sum(hours), 2) AS hours FROM lib GROUP BY 1"),
         "quality_gate": w(RANKS, "SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS keys, count(*) FILTER (WHERE n > 1) AS repeated, 0::BIGINT AS blank_names FROM (SELECT appid, count(*) AS n FROM ranks GROUP BY 1)"),
+        "pin_state": """WITH RECURSIVE e AS (SELECT user_id, event_id % 50 AS appid, event_type = 'signup' AS pin, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k
+              FROM events WHERE event_type IN ('signup', 'error')),
+            f(user_id, k, pins) AS (SELECT DISTINCT user_id, 0::BIGINT, []::BIGINT[] FROM e
+              UNION ALL SELECT f.user_id, e.k, CASE WHEN pin AND NOT list_contains(pins, appid) AND len(pins) < 3 THEN list_append(pins, appid) WHEN NOT pin THEN list_filter(pins, lambda x: x <> appid) ELSE pins END
+              FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+            SELECT user_id, array_to_string(arg_max(pins, k), ',') AS pins FROM f GROUP BY 1""",
         "page_link_scan": """SELECT DISTINCT unnest(regexp_extract_all(html, '<html lang="([a-z]+)"', 1)) AS id FROM pages""",
         "rate_window": """SELECT user_id, window_start, n, n > 1 AS over FROM (SELECT user_id, date_trunc('hour', ts) AS window_start, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL)""",
         "dedupe_window": "SELECT DISTINCT user_id, event_type FROM events WHERE event_type IN ('error', 'signup')",

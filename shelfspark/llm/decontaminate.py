@@ -36,7 +36,7 @@ WINDOW = 13
 #: Every SAMPLE-th suffix position is stored.
 SAMPLE = 8
 #: Words of a shard at least, where there are so many; bytes of a long text that are split into words at once.
-SHARD_WORDS, PIECE_BYTES = 1 << 19, 4 << 20
+SHARD_WORDS, PIECE_BYTES = 1 << 17, 1 << 20
 #: Benchmark text held by one pass over the documents; a larger benchmark takes several passes.
 BLOCK_BYTES = 16 << 20
 

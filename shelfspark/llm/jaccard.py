@@ -37,7 +37,7 @@ from .components import connected_components
 SHINGLE, PERCENT = 5, 75
 #: Heavy hitters: local count from which a task reports a shingle, how many shingles a task counts at once,
 #: and how many of the most frequent ones are sent to the tasks (16 bytes each).
-REPORT, COUNT_AT_ONCE, HEAVY = 2, 2_000_000, 1 << 20
+REPORT, COUNT_AT_ONCE, HEAVY = 2, 1_000_000, 1 << 20
 #: Earlier shingles of a set that an entry of the second pass carries, so that a pair is met once rather than at each shingle.
 EARLIER = 4
 #: Pairs of one set that go to a task together; the pairs of a set with more are dealt over several tasks.

@@ -26,7 +26,7 @@ from .common import as_bytes, map_batches, may_learn, smallest_hashes
 #: Bytes of a segment in scoring and in training, and the symbol that fills the last one.
 SEGMENT, SPAN, PAD = 512, 256, 256
 #: Units per direction; segments that advance together.
-UNITS, LANES = 6, 2048
+UNITS, LANES = 6, 1024
 #: Units (-1 to 1) that differ by less are taken as equal where a segment takes over from another; pooled
 #: probabilities differ from those of unbroken texts by less than 1e-3.
 SEAM = 1e-2

@@ -110,9 +110,14 @@ def as_bytes(batch, name: str) -> list[bytes | None]:
 
 
 def small_enough(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
-    """Whether the rows of ``df`` take at most ``most`` bytes (measured before a broadcast)."""
-    measured = (T.StringType, T.BinaryType)
-    width = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) if isinstance(f.dataType, measured) else F.lit(8) for f in df.schema.fields), F.lit(16))
+    """Whether the rows of ``df`` take at most ``most`` bytes (measured before a broadcast; 8 for each element of an array)."""
+
+    def width_of(f: T.StructField) -> Column:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(f.name), F.lit(0))
+        return F.coalesce(F.size(f.name), F.lit(0)) * 8 if isinstance(f.dataType, T.ArrayType) else F.lit(8)
+
+    width = sum(map(width_of, df.schema.fields), F.lit(16))
     return (df.agg(F.sum(width.cast("long"))).first()[0] or 0) <= most
 
 

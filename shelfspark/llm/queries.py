@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language_id, line_dedup, media, mixing, pii, sharding, toxicity, url_filter
+from . import decontaminate, jaccard, language_id, line_dedup, media, mixing, pii, sharding, substring_dedup, toxicity, url_filter
 from .common import is_held_out, shared_dir, small_enough
 
 #: File bytes of a finished shard.
@@ -91,6 +91,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,7 +105,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_url_filter, op2_toxicity, op3_decontaminate, op4_language_id, op5_line_dedup,
-        op6_mixing, op7_sharding, op8_media, op9_ngram_jaccard, op10_pii, pipeline,
+        op6_mixing, op7_sharding, op8_media, op9_ngram_jaccard, op10_pii, op11_substring_dedup, pipeline,
     ]
     return {f.__name__: f for f in own}
 
@@ -113,6 +118,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_mixing": MIXING_SQL,
         "op7_sharding": SHARDING_SQL,
         "op9_ngram_jaccard": JACCARD_SQL,
+        "op11_substring_dedup": SUBSTRING_SQL,
     }
 
 
@@ -210,3 +216,18 @@ reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN l
 SELECT w.doc_id, coalesce(s.n, 0) AS n_shingles, least(w.doc_id, min(r.b)) AS component_id
 FROM worded w LEFT JOIN sizes s USING (doc_id) LEFT JOIN reach r ON r.a = w.doc_id GROUP BY w.doc_id, s.n
 """
+
+SUBSTRING_SQL = r"""
+WITH worded AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT r, doc_id, k, md5(array_to_string(w[k : k + 49], ' ')) AS passage
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM worded WHERE len(w) >= 50)),
+first AS (SELECT passage, min(doc_id) AS low FROM windows GROUP BY passage),
+gone AS (
+  SELECT DISTINCT r, unnest(range(k, k + 50)) AS k FROM windows JOIN first USING (passage) WHERE low < doc_id OR (doc_id IS NULL AND low IS NOT NULL)),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM worded),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY k) AS text FROM words ANTI JOIN gone USING (r, k) GROUP BY r),
+counts AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM worded LEFT JOIN kept USING (r) LEFT JOIN counts USING (r)
+"""

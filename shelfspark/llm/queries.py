@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language_id, line_dedup, media, mixing, pii, sharding, substring_dedup, toxicity, url_filter
+from . import decontaminate, jaccard, language_id, lexical_search, line_dedup, media, mixing, pii, sharding, substring_dedup, toxicity, url_filter
 from .common import is_held_out, shared_dir, small_enough
 
 #: File bytes of a finished shard.
@@ -96,6 +96,11 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical_search.rank_documents(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,7 +110,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_url_filter, op2_toxicity, op3_decontaminate, op4_language_id, op5_line_dedup,
-        op6_mixing, op7_sharding, op8_media, op9_ngram_jaccard, op10_pii, op11_substring_dedup, pipeline,
+        op6_mixing, op7_sharding, op8_media, op9_ngram_jaccard, op10_pii, op11_substring_dedup, op13_lexical_search, pipeline,
     ]
     return {f.__name__: f for f in own}
 
@@ -119,6 +124,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_sharding": SHARDING_SQL,
         "op9_ngram_jaccard": JACCARD_SQL,
         "op11_substring_dedup": SUBSTRING_SQL,
+        "op13_lexical_search": SEARCH_SQL,
     }
 
 
@@ -231,3 +237,24 @@ counts AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM worded LEFT JOIN kept USING (r) LEFT JOIN counts USING (r)
 """
+
+SEARCH_SQL = r"""
+WITH worded AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM worded WHERE len(w) > 0),
+postings AS (SELECT r, doc_id, len(w) AS n, term, count(*) AS tf FROM (SELECT r, doc_id, w, unnest(w) AS term FROM worded) GROUP BY ALL),
+wanted AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL),
+spread AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+scores AS (
+  SELECT item_id, r, doc_id,
+         CAST(sum(times * CAST(floor(1000.0::DOUBLE * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT)
+                  * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM wanted JOIN postings USING (term) JOIN spread USING (term), totals GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""

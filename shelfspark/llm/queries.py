@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language_id, lexical_search, line_dedup, media, mixing, pii, sharding, substring_dedup, toxicity, url_filter
-from .common import is_held_out, shared_dir, small_enough
+from . import decontaminate, jaccard, language_id, lexical_search, line_dedup, media, mixing, pii, prefix_trie, sharding, substring_dedup, toxicity, url_filter
+from .common import drop_table, is_held_out, shared_dir, small_enough, write_table
 
 #: File bytes of a finished shard.
 SHARD_BYTES = 64 << 20
@@ -96,6 +96,30 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.number_turns(table(spark, sf_dir, "conversations"))
+    convs = turns.select("conv_id").distinct()
+    rebuilt = write_table(share_heads(turns), "rebuilt-turns")
+    nodes = prefix_trie.prefix_trie(rebuilt, convs)
+    drop_table(turns)
+    drop_table(rebuilt)
+    return nodes
+
+
+def share_heads(turns: DataFrame) -> DataFrame:
+    """Conversations that begin like the first of their five: ``conv_id``, ``depth``, ``tid``, ``n_bytes``.
+
+    The first h turns of conversation c - c % 5 and then c's own after its first h, where h is crc32(c) % 9.
+    """
+    counts = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
+    heads = counts.select("conv_id", (F.col("conv_id") - F.col("conv_id") % 5).alias("base"), (F.crc32(F.col("conv_id").cast("string")) % 9).alias("h"))
+    heads = heads.join(counts.select(F.col("conv_id").alias("base"), F.col("n").alias("most")), "base", "left")
+    heads = heads.withColumn("shared", F.least("h", F.coalesce("most", F.lit(0).cast("long"))))
+    own = turns.join(heads, "conv_id").filter("rank >= h").select("conv_id", (F.col("shared") + F.col("rank") - F.col("h") + 1).alias("depth"), "tid", "n_bytes")
+    first = turns.filter("rank < 8").withColumnRenamed("conv_id", "base").join(heads, "base").filter("rank < h")
+    return first.select("conv_id", (F.col("rank") + 1).alias("depth"), "tid", "n_bytes").unionByName(own)
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lexical_search.rank_documents(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -110,7 +134,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_url_filter, op2_toxicity, op3_decontaminate, op4_language_id, op5_line_dedup,
-        op6_mixing, op7_sharding, op8_media, op9_ngram_jaccard, op10_pii, op11_substring_dedup, op13_lexical_search, pipeline,
+        op6_mixing, op7_sharding, op8_media, op9_ngram_jaccard, op10_pii, op11_substring_dedup, op12_prefix_trie, op13_lexical_search, pipeline,
     ]
     return {f.__name__: f for f in own}
 
@@ -124,6 +148,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_sharding": SHARDING_SQL,
         "op9_ngram_jaccard": JACCARD_SQL,
         "op11_substring_dedup": SUBSTRING_SQL,
+        "op12_prefix_trie": TRIE_SQL,
         "op13_lexical_search": SEARCH_SQL,
     }
 
@@ -258,3 +283,42 @@ scores AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM scores WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """
+
+TRIE_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, md5(concat(length(coalesce(role, '')), ':', role, text)) AS turn_key, octet_length(encode(coalesce(text, ''))) AS bytes,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS rank
+  FROM conversations WHERE conv_id IS NOT NULL),
+counts AS (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id),
+heads AS (
+  SELECT c.conv_id, c.conv_id - c.conv_id % 5 AS base,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(c.conv_id AS VARCHAR), ''),
+               lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+             lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, 3988292384::BIGINT * (crc & 1)) END), 4294967295::BIGINT) % 9 AS h
+  FROM counts c),
+shares AS (SELECT h.*, least(h.h, coalesce(b.n, 0)) AS shared FROM heads h LEFT JOIN counts b ON b.conv_id = h.base),
+rebuilt AS (
+  SELECT s.conv_id, t.rank + 1 AS depth, turn_key, bytes FROM shares s JOIN turns t ON t.conv_id = s.base WHERE t.rank < s.h
+  UNION ALL SELECT s.conv_id, s.shared + t.rank - s.h + 1, turn_key, bytes FROM shares s JOIN turns t USING (conv_id) WHERE t.rank >= s.h),
+sequences AS (
+  SELECT s.conv_id, coalesce(list(turn_key ORDER BY depth) FILTER (WHERE depth IS NOT NULL), []) AS keys,
+         coalesce(list(bytes ORDER BY depth) FILTER (WHERE depth IS NOT NULL), []) AS sizes
+  FROM shares s LEFT JOIN rebuilt USING (conv_id) GROUP BY s.conv_id),
+members AS (
+  SELECT conv_id, depth, md5(array_to_string(keys[1 : depth], ' ')) AS prefix, coalesce(sizes[depth], 0) AS bytes, depth = len(keys) AS ends
+  FROM (SELECT *, unnest(range(0, len(keys) + 1)) AS depth FROM sequences)),
+nodes AS (
+  SELECT depth, prefix, min(conv_id) AS node, count(*) AS n_convs, max(bytes) AS bytes,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM members GROUP BY depth, prefix),
+placed AS (SELECT m.conv_id, m.depth, n.node FROM members m JOIN nodes n USING (depth, prefix)),
+parents AS (SELECT n.*, p.node AS parent FROM nodes n LEFT JOIN placed p ON p.conv_id = n.node AND p.depth = n.depth - 1),
+kids AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM parents WHERE parent IS NOT NULL GROUP BY ALL),
+full_nodes AS (SELECT p.*, coalesce(n_children, 0) AS n_children FROM parents p LEFT JOIN kids USING (node, depth)),
+totals AS (
+  SELECT a.node, a.depth, count(*) FILTER (WHERE f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.bytes) AS saved_tokens
+  FROM full_nodes f JOIN placed a ON a.conv_id = f.node AND a.depth <= f.depth GROUP BY a.node, a.depth)
+SELECT f.node AS conv_id, CAST(f.depth AS BIGINT) AS depth, f.parent AS parent_conv_id, f.n_convs, f.n_children, t.n_leaves,
+       CAST(t.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_nodes f JOIN totals t USING (node, depth)
+"""

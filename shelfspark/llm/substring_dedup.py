@@ -65,19 +65,21 @@ def covered_blocks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     plain = met.filter(~F.col("differ") & _smaller("low"))
     # verify by blocks
     unlike = write_table(met.filter("differ").select("symbol", "name", *block), "unlike-blocks")
-    lowest = unlike.groupBy("symbol", "name").agg(F.min("id").alias("low"))
-    judged = write_table(unlike.join(lowest, ["symbol", "name"]).select("symbol", *block, F.coalesce(_smaller("low"), F.lit(False)).alias("gone")), "judged-blocks")
+    # written tables, so that Spark can split the joins where one key has very many rows
+    lowest = write_table(unlike.groupBy("symbol", "name").agg(F.min("id").alias("low")), "lowest-of-blocks")
+    judged = write_table(unlike.join(F.broadcast(lowest) if small_enough(lowest) else lowest, ["symbol", "name"]).select("symbol", *block, F.coalesce(_smaller("low"), F.lit(False)).alias("gone")), "judged-blocks")
     # verify by windows
     asked = judged.filter("not gone").select("symbol", *block).distinct()
     asked = asked.groupBy("id", "hash").agg(F.collect_list("block").alias("blocks"), F.collect_list("symbol").alias("symbols"))
     asked = write_table(asked, "asked-blocks")
     windows = write_table(windows_of(_beside(docs, asked, "inner"), window), "windows")
-    lowest = windows.groupBy("symbol", "name").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max(F.col("id").isNull()).alias("unnamed"))
-    lowest = lowest.filter(F.col("low").isNotNull() & ((F.col("low") != F.col("high")) | F.col("unnamed"))).select("symbol", "name", "low")
-    fine = windows.join(lowest, ["symbol", "name"]).filter(_smaller("low"))
+    held = windows.groupBy("symbol", "name").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max(F.col("id").isNull()).alias("unnamed"))
+    held = held.filter(F.col("low").isNotNull() & ((F.col("low") != F.col("high")) | F.col("unnamed"))).select("symbol", "name", "low")
+    held = write_table(held, "lowest-of-windows")
+    fine = windows.join(F.broadcast(held) if small_enough(held) else held, ["symbol", "name"]).filter(_smaller("low"))
     every = plain.select(*block).unionByName(judged.filter("gone").select(*block)).unionByName(fine.select(*block))
     out = write_table(every.groupBy("id", "hash").agg(F.collect_set("block").alias("blocks")), "covered-blocks")
-    for done in (occurrences, shared, unlike, judged, asked, windows):
+    for done in (occurrences, shared, unlike, lowest, judged, asked, windows, held):
         drop_table(done)
     return out
 

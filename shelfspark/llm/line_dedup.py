@@ -8,10 +8,12 @@ an exact distinct count; only lines far above it are decided by the sketch.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import write_table
+from .common import as_bytes, write_table
 
 #: Sketch size: 2^LG_K registers give a relative standard error of about 1.04 / sqrt(2^LG_K).
 LG_K = 8
@@ -75,13 +77,33 @@ def remove_boilerplate(
     # the lines of one text, so a group is never longer than that
     hits = lines.join(common, "_line", "left_semi").groupBy("id", "h").agg(F.collect_set("_line").alias("drop"))
     joined = own.join(hits, own["id"].eqNullSafe(hits["id"]) & (own["h"] == hits["h"]), "left")
-    every = F.split("text", "\n")
-    dropped = lambda x: F.array_contains("drop", F.xxhash64(trimmed(x))) & (trimmed(x) != "")
-    kept = F.when(F.col("drop").isNull(), every).otherwise(F.filter(every, lambda x: ~dropped(x)))
-    cleaned = joined.select("row", "text", kept.alias("kept"), F.coalesce(F.size(every), F.lit(0)).cast("long").alias("n"))
-    return cleaned.select(
-        "row.*",
-        F.col("n").alias("n_lines"),
-        F.coalesce(F.col("n") - F.size("kept"), F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("text").isNotNull(), F.array_join("kept", "\n")).alias("clean_text"),
-    )
+    cleaned = _without(joined.select("row", "text", "drop"))
+    return cleaned.select("row.*", "n_lines", "n_removed", "clean_text")
+
+
+def _without(joined: DataFrame) -> DataFrame:
+    """``clean_text``: ``text`` without the lines whose hashes are in ``drop``; the work grows with the text alone."""
+    added = [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("clean_text", T.StringType())]
+    schema = T.StructType([joined.schema["row"], *added])
+    blanks = BLANKS.encode()
+
+    def clean(batches):
+        import pyarrow as pa
+        import xxhash
+
+        # as Spark's xxhash64: seed 42, unsigned here
+        boilerplate = lambda line, drop: bool(own := line.strip(blanks)) and xxhash.xxh64_intdigest(own, 42) in drop
+        for batch in batches:
+            n_lines, n_removed, texts = [], [], []
+            drops = batch.column(batch.schema.get_field_index("drop"))
+            for text, listed in zip(as_bytes(batch, "text"), drops, strict=True):
+                lines = text.split(b"\n") if text is not None else []
+                drop = set(np.array(listed.values).view(np.uint64).tolist()) if listed.is_valid else ()
+                kept = [line for line in lines if not boilerplate(line, drop)] if drop else lines
+                n_lines.append(len(lines))
+                n_removed.append(len(lines) - len(kept))
+                texts.append(None if text is None else b"\n".join(kept) if drop else text)
+            arrays = [pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=schema.names)
+
+    return joined.mapInArrow(clean, schema)

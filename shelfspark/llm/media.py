@@ -48,7 +48,7 @@ def encode_bmp(samples: np.ndarray) -> bytes:
 def _netpbm(data: bytes) -> np.ndarray:
     kind = data[1] - 48
     need, values, at = (2 if kind in (1, 4) else 3), [], 2
-    token = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])+([0-9]+)")
+    token = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])+([0-9]{1,18})")
     while len(values) < need:
         found = token.match(data, at)
         if not found:
@@ -58,18 +58,22 @@ def _netpbm(data: bytes) -> np.ndarray:
     width, height, most = (values + [1])[:3]
     channels = 3 if kind in (3, 6) else 1
     count = width * height * channels
-    if not 0 < most < 65536:
+    if not (0 < most < 65536 and 0 < count <= 8 * len(data)):  # P4 packs 8 samples in a byte
         raise ValueError("broken Netpbm header")
     if kind == 4:
         bits = np.unpackbits(np.frombuffer(data, np.uint8, -(-width // 8) * height, at + 1).reshape(height, -1), axis=1)
         return (255 * (1 - bits[:, :width]))[:, :, None].astype(np.uint8)
     if kind == 1:
         bits = np.frombuffer(re.sub(rb"#[^\n\r]*|\s", b"", data[at:])[:count], np.uint8) - 48
+        if bits.max(initial=0) > 1:
+            raise ValueError("broken Netpbm samples")
         return (255 * (1 - bits)).reshape(height, width, 1).astype(np.uint8)
     if kind in (2, 3):
         raw = np.array(re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:count], np.int64)
     else:
         raw = np.frombuffer(data, ">u2" if most > 255 else "u1", count, at + 1)
+    if len(raw) < count or raw.min() < 0 or raw.max() > most:
+        raise ValueError("broken Netpbm samples")
     out = raw if most == 255 else (raw.astype(np.int64) * 255 + most // 2) // most
     return out.reshape(height, width, channels).astype(np.uint8)
 
@@ -78,6 +82,8 @@ def _bmp(data: bytes) -> np.ndarray:
     start, size, width, height, _, depth, packing = struct.unpack("<10xIIiiHHI", data[:34])
     if packing or depth not in (1, 4, 8, 24, 32):
         raise ValueError(f"BMP with {depth} bits and compression {packing} is not supported")
+    if width <= 0 or not height:
+        raise ValueError("BMP without samples")
     stride, lines = -(-width * depth // 32) * 4, abs(height)
     rows = np.frombuffer(data, np.uint8, stride * lines, start).reshape(lines, stride)
     rows = rows[::-1] if height > 0 else rows
@@ -156,7 +162,7 @@ def images_of_texts(df: DataFrame, text_col: str = "text", kind: str = "pgm") ->
     """Add ``media``: each text's payload as an 8-bit grey image, PAYLOAD_WIDTH samples wide.
 
     ``kind`` is ``pgm`` or ``bmp``; both keep every byte of texts of any length.  A null text is an empty one, equal
-    texts give equal images, an empty table stays empty.
+    texts give equal images, an empty table stays empty.  An input column ``media`` is replaced, others stay.
     """
     encode = {"pgm": encode_pgm, "bmp": encode_bmp}[kind]
 
@@ -188,8 +194,8 @@ def media_features(df: DataFrame, media_col: str = "media") -> DataFrame:
     """Decode stored images; add size, checksums, difference hash (``feature``) and NPY tile.
 
     ``payload_*`` describe the decoded samples, ``tail_crc32`` the last PAYLOAD_WIDTH of them.  Null or
-    undecodable media give nulls; equal media give equal values.  Images are whole whatever their size, an empty
-    table stays empty.
+    undecodable media, those without samples and those with fewer than their header says give nulls; equal media give equal values.  Images are whole whatever their size, an empty
+    table stays empty.  Added columns replace input columns of their names, others stay.
     """
 
     def one(data: bytes | None) -> tuple:
@@ -197,7 +203,7 @@ def media_features(df: DataFrame, media_col: str = "media") -> DataFrame:
             return (None,) * len(FEATURES)
         try:
             image = decode(data)
-        except (ValueError, IndexError, struct.error):
+        except (ValueError, IndexError, OverflowError, struct.error):
             return (None,) * 5 + (len(data), hashlib.sha256(data).hexdigest(), None, None)
         image = np.ascontiguousarray(image)
         payload, luma = memoryview(image).cast("B") if image.size else b"", grey(image)

@@ -21,15 +21,17 @@ Manifests are DataFrames: the shards of a 100 TB corpus never pass the driver.
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import drop_table, small_enough, write_table
 
-MANIFEST = "shard string, rows long, bytes long, tier int, created int"
+MANIFEST = "shard string, rows long, bytes long, tier int, schema string, created int"
 #: Size tiers: a shard of tier t holds BASE * FANOUT^t to BASE * FANOUT^(t+1) bytes.
 BASE, FANOUT = 1 << 20, 4
 #: Running sums are taken over blocks of this many shards, then over the blocks.
@@ -101,17 +103,38 @@ class ShardStore:
 
     def _files(self, folder: str) -> DataFrame:
         """One manifest row per file below ``folder``, from file facts and row counts of the footers."""
-        per = self.spark.read.parquet(f"{self.path}/{folder}").groupBy(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes"))
+        rows = self.spark.read.parquet(f"{self.path}/{folder}")
+        per = rows.groupBy(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes"))
         tier = F.greatest(F.lit(0), F.floor(F.log(F.greatest(F.col("bytes"), F.lit(1)) / BASE) / F.log(F.lit(float(FANOUT)))))
         found = per.agg(F.count("*").alias("rows"))
-        return found.select(F.concat(F.lit(f"{folder}/"), "file").alias("shard"), "rows", "bytes", tier.cast("int").alias("tier"))
+        return found.select(F.concat(F.lit(f"{folder}/"), "file").alias("shard"), "rows", "bytes", tier.cast("int").alias("tier"), F.lit(rows.schema.json()).alias("schema"))
+
+    def _schema(self, shards: DataFrame, *more: T.StructType) -> T.StructType:
+        """All columns of ``shards`` and ``more``, matched by name, those of older shards first; raises where types differ."""
+        known = shards.groupBy("schema").agg(F.min("created").alias("first")).orderBy("first", "schema").collect()  # a row for each way to lay out columns
+        fields: dict[str, T.StructField] = {}
+        for schema in [T.StructType.fromJson(json.loads(r.schema)) for r in known] + list(more):
+            for f in schema.fields:
+                held = fields.setdefault(f.name.lower(), T.StructField(f.name, f.dataType, True, f.metadata))
+                if held.dataType != f.dataType:
+                    raise ValueError(f"column {f.name} is {f.dataType.simpleString()}, but {held.dataType.simpleString()} in older shards")
+        return T.StructType(list(fields.values()))
+
+    def _rows(self, shards: DataFrame, schema: T.StructType) -> DataFrame:
+        """The rows of the folders of ``shards``; where a file lacks a column, it is null."""
+        folders = [r[0] for r in shards.select(F.substring_index("shard", "/", 2)).distinct().collect()]
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in folders])
 
     def _shard_name(self):
         """The manifest's name of the file that a row is read from."""
         return F.concat_ws("/", *[F.element_at(F.split(F.input_file_name(), "/"), -k) for k in (3, 2, 1)])
 
     def append(self, df: DataFrame) -> int:
-        """Write an arrival as small shards and commit them; returns the version."""
+        """Write an arrival as small shards and commit them; returns the version.
+
+        Its columns may be others than those of older shards, but not of other types.
+        """
+        self._schema(self.manifest(), df.schema)
         folder = f"shards/a-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
         return self.publish(self._files(folder))
@@ -119,13 +142,13 @@ class ShardStore:
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, with ``shard``: the file that holds the row.
 
-        A semi join with the manifest leaves out files of other versions.
+        Arrivals may add, lack or reorder columns: the rows have the columns of all of them, and null where their own
+        arrival had none.  A semi join with the manifest leaves out files of other versions.
         """
         known = self.manifest(version)
-        folders = [r[0] for r in known.select(F.substring_index("shard", "/", 2)).distinct().collect()]
-        if not folders:
+        if known.isEmpty():
             raise ValueError("no version has been committed")
-        rows = self.spark.read.parquet(*[f"{self.path}/{f}" for f in folders])
+        rows = self._rows(known, self._schema(known))
         named = rows.withColumn("shard", self._shard_name())
         live = known.select(F.col("shard").alias("_live"))
         live = F.broadcast(live) if small_enough(live) else live
@@ -164,7 +187,8 @@ class ShardStore:
         """
         while True:
             newest = (self.versions() or [0])[-1]
-            large = self.manifest(newest or None).filter((F.col("bytes") >= 2 * self.target_bytes) & (F.col("rows") > 1))
+            every = self.manifest(newest or None)
+            large = every.filter((F.col("bytes") >= 2 * self.target_bytes) & (F.col("rows") > 1))
             pieces = F.least(F.floor(F.col("bytes") / self.target_bytes), "rows")
             before = F.coalesce(F.sum("pieces").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
             named = large.select("shard", F.col("rows").alias("of"), pieces.alias("pieces"))
@@ -174,8 +198,7 @@ class ShardStore:
                 drop_table(named)
                 return newest
             row, at = F.struct("*").alias("row"), F.col("_metadata.row_index").alias("at")
-            sources = [r[0] for r in named.select(F.substring_index("shard", "/", 2)).distinct().collect()]
-            rows = self.spark.read.parquet(*[f"{self.path}/{f}" for f in sources]).select(row, at, self._shard_name().alias("shard"))
+            rows = self._rows(named, self._schema(every)).select(row, at, self._shard_name().alias("shard"))
             cut = rows.join(F.broadcast(named) if small_enough(named) else named, "shard")
             piece = F.col("first") + F.floor(F.col("at") * F.col("pieces") / F.col("of"))
             self._replace(cut.select("row", piece.alias("to")), int(top), "s", named.select("shard"))
@@ -240,5 +263,5 @@ def shard_documents(df: DataFrame, path: str, target_bytes: int = 256 << 20) ->
     version = store.compact()
     if store.manifest(version).isEmpty():
         return clean.limit(0).withColumn("shard", F.lit(None).cast("string"))
-    store.vacuum()
+    store.vacuum(keep_versions=2)  # a reader of the version before may be at work
     return store.read(version)

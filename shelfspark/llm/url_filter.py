@@ -74,10 +74,11 @@ def write_digest_array(rules: Iterable[tuple[str, str]], path: str, digest=None,
     paths = []
     for n, (begin, end) in enumerate(zip(cuts, [*cuts[1:], len(keys)], strict=True)):
         part = keys[begin:end]
+        longest = max((len(k.partition(b"/")[0]) for k in part), default=0)
         lengths = sorted({len(k) - (k.find(b"/") if b"/" in k else len(k)) for k in part})
         paths.append(f"{path}.{n}" if n else path)
         with open(paths[-1], "wb") as out:
-            out.write(np.array([len(part), len(lengths)], "<u8").tobytes())
+            out.write(np.array([len(part), len(lengths), longest], "<u8").tobytes())
             out.write(np.array(lengths, "<u8").tobytes())
             out.write(np.array(digests[begin:end], "<u8").tobytes())
             out.write(np.cumsum([0, *map(len, part)]).astype("<u8").tobytes())
@@ -93,9 +94,9 @@ class _Mapped:
         import numpy as np
 
         raw = np.memmap(path, "u1", "r")
-        self.size, n_lengths = (int(x) for x in raw[:16].view("<u8"))
-        at = 16 + 8 * n_lengths
-        self.lengths = [int(x) for x in raw[16:at].view("<u8")]
+        self.size, n_lengths, self.longest_host = (int(x) for x in raw[:24].view("<u8"))
+        at = 24 + 8 * n_lengths
+        self.lengths = [int(x) for x in raw[24:at].view("<u8")]
         self.keys, at = raw[at : at + 8 * self.size].view("<u8"), at + 8 * self.size
         self.offsets, at = raw[at : at + 8 * (self.size + 1)].view("<u8"), at + 8 * (self.size + 1)
         self.blocked, self.blob = raw[at : at + self.size], raw[at + self.size :]
@@ -114,6 +115,7 @@ class DigestArray:
         self.digest = digest or xxhash.xxh64_intdigest
         self.parts = [_Mapped(p) for p in paths]
         self.lengths = sorted({n for part in self.parts for n in part.lengths})
+        self.longest_host = max((part.longest_host for part in self.parts), default=0)
         self.firsts = np.array([part.keys[0] for part in self.parts[1:]], np.uint64)
 
     def find(self, candidates: list[bytes]) -> list[tuple[int, int] | None]:
@@ -139,6 +141,8 @@ class DigestArray:
         candidates, owners = [], []
         for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
             raw_path, suffix = path.encode(), host.encode()
+            if len(suffix) > self.longest_host:  # a suffix longer than any rule's host fits none
+                suffix = suffix[-self.longest_host - 1 :].partition(b".")[2]
             while suffix:
                 for n in self.lengths:
                     if n <= len(raw_path):
@@ -160,7 +164,9 @@ def filter_urls(df: DataFrame, url_col: str = "url", rules: Iterable[tuple[str,
     A rule fits its host and all subdomains if the URL's path starts with the
     rule's path; the longest rule wins, then the one with the longer host.
     A null URL or one without ``://`` has an empty host and path, no rule and the
-    verdict ``allow``.  Repeated rows are judged alike; an empty table stays empty.
+    verdict ``allow``.  Repeated rows are judged alike; an empty table stays empty.  URLs of any length are judged whole: of a
+    host only the suffixes that are as short as some rule's host are looked up, of a path the prefixes as long as a rule's.
+    Added columns replace input columns of their names, others stay.
     """
     names = []
     for path in write_digest_array(rules, os.path.join(tempfile.mkdtemp(prefix="url-rules-"), "rules")):

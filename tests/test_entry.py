@@ -1,4 +1,7 @@
+import datetime as dt
+
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -9,6 +12,15 @@ SF = "/root/testdata/sf0.001"
 CHECKED = ["draw_pool_topk", "preference_points", "backlog_stats", "playtime_streaks", "purge_queue", "duration_cascade", "rate_window"]
 
 
+def text(x):
+    """One text for a value of either engine: dates and times at midnight are alike."""
+    if not isinstance(x, (list, tuple, dict, np.ndarray)) and pd.isna(x):
+        return "null"
+    if isinstance(x, dt.date):
+        return str(pd.Timestamp(x).tz_localize(None))
+    return f"{x:.5f}" if isinstance(x, (int, float)) else str(x)
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
@@ -25,7 +37,6 @@ def test_against_sql(spark, name):
     got = entry.queries()[name](spark, SF).toPandas()
     want = con.execute(entry.oracle_sql()[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
-    text = lambda x: "null" if pd.isna(x) else f"{x:.5f}" if isinstance(x, (int, float)) else str(x)
     key = lambda df: sorted(tuple(map(text, row)) for row in df[sorted(df.columns)].astype(object).itertuples(index=False))
     assert key(got) == key(want)
 

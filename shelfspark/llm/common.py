@@ -80,6 +80,30 @@ def kept_fields(df: DataFrame, added: list[T.StructField]) -> list[T.StructField
     return [f for f in df.schema.fields if f.name.lower() not in names]
 
 
+def tidy(function):
+    """``function(batches)`` for ``mapInArrow`` that gives its memory back at the end of a task.
+
+    Reused Python workers would else keep what earlier stages have freed, beside what the next ones need.
+    """
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU libc only
+            if trim:
+                trim(0)
+
+    return run
+
+
 def map_batches(df: DataFrame, function, added: list[T.StructField]) -> DataFrame:
     """Add columns computed from Arrow batches; the other columns pass through.
 
@@ -97,7 +121,7 @@ def map_batches(df: DataFrame, function, added: list[T.StructField]) -> DataFram
             columns = [batch.column(batch.schema.get_field_index(n)) for n in keep]
             yield pa.RecordBatch.from_arrays(columns + arrays, names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def as_bytes(batch, name: str) -> list[bytes | None]:

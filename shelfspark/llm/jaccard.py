@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, drop_table, map_batches, semi, small_enough, write_table
+from .common import as_bytes, drop_table, map_batches, semi, small_enough, tidy, write_table
 from .components import connected_components
 
 #: Words of a shingle, and the least similarity in percent.
@@ -136,7 +136,7 @@ def heavy_shingles(df: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray
         if waiting:
             yield report()
 
-    counts = df.select(text_col).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = df.select(text_col).mapInArrow(tidy(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.col("n").desc(), "token").limit(HEAVY).toArrow()
     tokens = top.column("token").to_numpy().view(np.uint64)
     order = np.argsort(tokens)
@@ -200,7 +200,7 @@ def describe_sets(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
                 names=["id", "n", "digest", "prefix", "rare"],
             )
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).mapInArrow(describe, schema)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).mapInArrow(tidy(describe), schema)
 
 
 def read_sets(df: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -217,7 +217,7 @@ def read_sets(df: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -> D
                 names=["digest", "own"],
             )
 
-    found = rows.mapInArrow(read, "digest binary, own array<long>")
+    found = rows.mapInArrow(tidy(read), "digest binary, own array<long>")
     names = wanted.select("sid", "digest")
     names = F.broadcast(names) if small_enough(names) else names
     return found.join(names, "digest").select("sid", "own")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, drop_table, small_enough, write_table
+from .common import as_bytes, drop_table, small_enough, tidy, write_table
 from .decontaminate import PIECE_BYTES, WORD_BYTES
 
 #: Terms after A-Z are lower-cased.
@@ -81,7 +81,7 @@ def build_postings(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([texts, batch.column(0).take(at), batch.column(1).take(at), pa.array(tf, pa.int64()), pa.array(n, pa.int64())], names=schema.names)
 
     read = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    postings = read.mapInArrow(index, schema).select(bucket_of("term").alias("bucket"), *schema.names)
+    postings = read.mapInArrow(tidy(index), schema).select(bucket_of("term").alias("bucket"), *schema.names)
     return write_table(postings.sortWithinPartitions("bucket", "term", "row"), "postings")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, write_table
+from .common import as_bytes, tidy, write_table
 
 #: Sketch size: 2^LG_K registers give a relative standard error of about 1.04 / sqrt(2^LG_K).
 LG_K = 8
@@ -106,4 +106,4 @@ def _without(joined: DataFrame) -> DataFrame:
             arrays = [pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=schema.names)
 
-    return joined.mapInArrow(clean, schema)
+    return joined.mapInArrow(tidy(clean), schema)

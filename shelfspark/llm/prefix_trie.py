@@ -17,7 +17,7 @@ import hashlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, small_enough, write_table
+from .common import drop_table, small_enough, tidy, write_table
 
 #: Turns of a bucket that one task finishes.
 LOCAL_TURNS = 1 << 15
@@ -125,7 +125,7 @@ def _sequences(turns: DataFrame, convs: DataFrame) -> DataFrame:
     # a list in several parts: hashed part by part, in the order of the sort
     several = totals.filter("parts > 1").select(*key, F.col("sid").alias("low"), F.col("w").alias("total"))
     long_lists = lists.join(_light(several), key).select("low", "total", "n", "part", "ids").repartition("low").sortWithinPartitions("low", "part")
-    hashed = long_lists.mapInArrow(_hash_lists, "sid long, w long, n long, ends_sha256 string")
+    hashed = long_lists.mapInArrow(tidy(_hash_lists), "sid long, w long, n long, ends_sha256 string")
     out = write_table(alone.unionByName(hashed), "distinct-sequences")
     drop_table(parts)
     drop_table(lists)
@@ -212,7 +212,7 @@ def _finished(rows: DataFrame, members: DataFrame) -> DataFrame:
     own = members.filter("size = 'local'").select("sid", F.col("m").alias("parent"), "e", "child")
     rest = rows.join(_light(own), "sid").filter("depth > e")
     rest = rest.select("child", "parent", "e", "sid", "depth", "tid", "n_bytes", "w").repartition("child").sortWithinPartitions("child", "sid", "depth")
-    return rest.mapInArrow(_finish_batches, NODE)
+    return rest.mapInArrow(tidy(_finish_batches), NODE)
 
 
 def _finish_batches(batches):

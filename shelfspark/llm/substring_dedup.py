@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import recompress as rc
-from .common import as_bytes, drop_table, small_enough, write_table
+from .common import as_bytes, drop_table, small_enough, tidy, write_table
 
 #: Words of a window.
 WINDOW = 50
@@ -111,7 +111,7 @@ def blocks_of(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 ids, hashes = (batch.column(k).take(pa.array(row)) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(symbol), pa.array(name), ids, hashes, pa.array(block)], names=schema.names)
 
-    return docs.select("id", "hash", "text").mapInArrow(find, schema)
+    return docs.select("id", "hash", "text").mapInArrow(tidy(find), schema)
 
 
 def _chunks(texts: list[bytes], window: int):
@@ -174,7 +174,7 @@ def windows_of(asked: DataFrame, window: int = WINDOW) -> DataFrame:
                     columns = [pa.array(np.repeat(symbol, n)), pa.array(name), batch.column(0).take(own), batch.column(1).take(own), pa.array((at + first) * PACK + 1)]
                     yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return asked.select("id", "hash", "text", "blocks", "symbols").mapInArrow(look, schema)
+    return asked.select("id", "hash", "text", "blocks", "symbols").mapInArrow(tidy(look), schema)
 
 
 def _without(joined: DataFrame, window: int) -> DataFrame:
@@ -200,7 +200,7 @@ def _without(joined: DataFrame, window: int) -> DataFrame:
             texts = pa.array(kept, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, texts], names=schema.names)
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(tidy(cut), schema)
 
 
 def _merged(packed: np.ndarray, window: int) -> list[tuple[int, int]]:

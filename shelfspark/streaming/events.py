@@ -15,6 +15,19 @@ def rate_windows(events: DataFrame, limit: int, seconds: int = 60, late: str = "
     return counted.select("user_id", F.col("w.start").alias("window_start"), "n", (F.col("n") > limit).alias("over"))
 
 
+def run_counters(requests: DataFrame, path: str, checkpoint: str, limit: int, seconds: int = 60, late: str = "1 day") -> DataFrame:
+    """Requests (``ts``, ``bucket``, ``key``) per bucket, key and fixed window as kept in the state store, and whether they passed ``limit``.
+
+    Each batch writes the counters it has changed below ``path``, late requests up to ``late`` included; counters only grow, so the
+    largest count of one is its newest.
+    """
+    window = F.window("ts", f"{seconds} seconds").alias("w")
+    counts = requests.withWatermark("ts", late).groupBy("bucket", "key", window).agg(F.count("*").alias("n"))
+    rows = counts.select("bucket", "key", F.col("w.start").alias("window_start"), "n")
+    every = run_once(rows, path, checkpoint, "update")
+    return every.groupBy("bucket", "key", "window_start").agg(F.max("n").alias("n")).withColumn("over", F.col("n") > limit)
+
+
 def drop_repeats(events: DataFrame, keys: list[str], within: str = "10 minutes") -> DataFrame:
     """Drop events whose content was seen within the time span."""
     return events.withWatermark("ts", within).dropDuplicatesWithinWatermark(keys)
@@ -103,11 +116,12 @@ def run_pins(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is available, write its rows as Parquet below ``path`` and read them back.
+    """Run a stream over what is available, write its rows as Parquet below ``path`` and read all rows there.
 
-    Of the batches of a complete result the last one counts.
+    Of the batches of a complete result the last one counts.  Starting again with the same ``path`` and ``checkpoint`` adds to the rows.
     """
     done = []
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("append").parquet(path)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/{number}")
@@ -115,7 +129,5 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
 
     query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    spark = stream.sparkSession
-    if not done:
-        return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(*(done[-1:] if mode == "complete" else done))
+    read = stream.sparkSession.read.schema(stream.schema)
+    return read.parquet(done[-1]) if done and mode == "complete" else read.option("recursiveFileLookup", "true").parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import RANK_OFFSET, RANK_WEIGHTS, SOFTWARE_LABELS, TEST_CHANNELS
@@ -25,6 +25,59 @@ def merge_cohorts(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select("appid", F.coalesce("_n", "_m").alias("name"), "rank_a", "rank_b", F.coalesce(F.col("_n") != F.col("_m"), F.lit(False)).alias("conflict"))
 
 
+def unique_rows(df: DataFrame, key: str, name: str, label: str) -> DataFrame:
+    """The rows of a cohort; fails the job where a key is not positive, a name is empty or a key is repeated.
+
+    The checks are part of one aggregation by key, so they need no pass of their own.
+    """
+    rest = [c for c in df.columns if c != key]
+    per = df.groupBy(key).agg(F.first(F.struct(*rest)).alias("r"), F.count("*").alias("n"))
+    empty = F.trim(F.coalesce(F.col("r")[name], F.lit(""))) == ""
+    fault = F.when(~F.coalesce(F.col(key) > 0, F.lit(False)) | empty, "contains an invalid id or an empty name").when(F.col("n") > 1, "repeats id")
+    sure = F.when(fault.isNull(), F.col(key)).otherwise(F.raise_error(F.concat_ws(" ", F.lit(f"{label} cohort"), fault, F.col(key).cast("string"))))
+    return per.select(sure.alias(key), "r.*")
+
+
+def counted(df: DataFrame, key: str) -> tuple[DataFrame, Observation]:
+    """``df``, and its number of rows and smallest key as an observation, which the action that reads ``df`` fills."""
+    seen = Observation()
+    return df.observe(seen, F.count("*").alias("rows"), F.min(key).alias("low")), seen
+
+
+def expect_rows(seen: Observation, expected: int, label: str) -> None:
+    """Fails if the action has seen another number of rows."""
+    if seen.get["rows"] != expected:
+        raise ValueError(f"{label} cohort has {seen.get['rows']} rows; expected {expected}")
+
+
+def merge_sources(a: DataFrame, b: DataFrame, label_a: str = "first", label_b: str = "second") -> DataFrame:
+    """:func:`merge_cohorts` with the checks of :func:`unique_rows` on ``a`` and, but for repeats, on ``b``, and with diagnostics.
+
+    Of a repeated id in ``b`` the row of the best rank counts.  ``sources`` names what holds an id, ``alternate`` is the name that gave way.
+    """
+    empty = (F.trim(F.coalesce("name", F.lit(""))) == "") | ~F.coalesce(F.col("appid") > 0, F.lit(False))
+    sure = F.when(~empty, F.col("appid")).otherwise(F.raise_error(F.lit(f"{label_b} cohort contains an invalid id or an empty name")))
+    best = b.withColumn("appid", sure).groupBy("appid").agg(F.min_by("name", "rank").alias("_m"), F.min("rank").alias("rank_b"))
+    left = unique_rows(a, "appid", "name", label_a).select("appid", F.col("name").alias("_n"), F.col("rank").alias("rank_a"))
+    both = left.join(best, "appid", "full_outer")
+    conflict = F.coalesce(F.col("_n") != F.col("_m"), F.lit(False))
+    names = F.array_compact(F.array(F.when(F.col("_n").isNotNull(), label_a), F.when(F.col("_m").isNotNull(), label_b)))
+    return both.select("appid", F.coalesce("_n", "_m").alias("name"), "rank_a", "rank_b", F.array_join(names, "+").alias("sources"), F.when(conflict, F.col("_m")).alias("alternate"))
+
+
+def nested_sources(keys: DataFrame, sources: dict[str, DataFrame], key: str) -> DataFrame:
+    """One row per ``key`` with each source's rows as an array of structs, empty where it has none.
+
+    Every source is gathered by the key once, and the joins keep that partitioning, so the plan has one exchange for each.  What one key
+    holds must fit in a row, as whoever reads the result takes it whole.
+    """
+    out = keys.select(key).distinct()
+    for name, df in sources.items():
+        own = df.groupBy(key).agg(F.collect_list(F.struct(*[c for c in df.columns if c != key])).alias(name))
+        out = out.join(own, key, "left").withColumn(name, F.coalesce(name, F.array().cast(own.schema[name].dataType)))
+    return out
+
+
 def first_wins(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """The first row of each key."""
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_k = 1").drop("_k")

@@ -17,11 +17,11 @@ DECK, TEMPERATURE = 64, 15.0
 
 def stages(df: DataFrame, goal: str, genres: list[str]) -> DataFrame:
     """Add the funnel's conditions: active, of a chosen genre, eligible for the goal."""
-    chosen = F.array(*map(F.lit, genres)) if genres else None
+    chosen = keyed(F.array(*map(F.lit, genres))) if genres else None
     return df.withColumns(
         {
             "is_active": ~F.col("status").isin("Completed", "Slept"),
-            "genre_ok": F.arrays_overlap("labels", chosen) if genres else F.lit(True),
+            "genre_ok": F.arrays_overlap(keyed(F.col("labels")), chosen) if genres else F.lit(True),
             "goal_ok": scoring.goal_eligible(goal, F.col("status"), F.col("hours"), F.col("endless"), F.col("percent")),
         }
     )
@@ -37,6 +37,44 @@ def funnel(df: DataFrame, goal: str, genres: list[str]) -> DataFrame:
     )
 
 
+def keyed(labels: Column) -> Column:
+    """Canonical keys of labels, as both sides of a genre match are compared."""
+    return F.transform(labels, genre_key)
+
+
+def funnel_stages(games: DataFrame, snoozed: DataFrame, goal: str | None, genres: list[str], members: DataFrame | None = None, deck_size: int = DECK) -> DataFrame:
+    """The stages of every user's funnel that apply, as (``user_id``, ``place``, ``stage``, ``count``, ``detail``).
+
+    ``games`` are owned rows (``user_id``, ``appid``, ``status``, ``hours``, ``percent``, ``endless``, ``labels``), ``snoozed`` and ``members`` (of the collection to draw from)
+    hold ``user_id``, ``appid``.  A collection draw ignores genres and goal.  Genres match by canonical keys; at most three may be chosen.  The stage ``active`` stands
+    where games are completed or asleep and tells how many, ``snoozes`` where a snooze takes something away, ``shortlist`` where more games
+    are left than the deck holds.  All counts come from one aggregation.
+    """
+    if len(genres) > 3:
+        raise ValueError("Select no more than 3 genres.")
+    mark = lambda df, name: df.select("user_id", "appid").distinct().withColumn(name, F.lit(True))
+    rows = games.join(mark(snoozed, "_snoozed"), ["user_id", "appid"], "left")
+    rows = rows.join(mark(members, "_member"), ["user_id", "appid"], "left") if members is not None else rows.withColumn("_member", F.lit(True))
+    if members is not None:
+        genres, goal = [], None
+    active = ~F.col("status").isin("Completed", "Slept")
+    inside = active & F.coalesce(F.col("_member"), F.lit(False))
+    of_genre = inside & F.arrays_overlap(keyed(F.col("labels")), keyed(F.array(*map(F.lit, genres)))) if genres else inside
+    of_goal = of_genre & scoring.goal_eligible(goal, F.col("status"), F.col("hours"), F.col("endless"), F.col("percent")) if goal else of_genre
+    left = of_goal & F.col("_snoozed").isNull()
+    counted = {"library": F.lit(True), "completed": F.col("status") == "Completed", "slept": F.col("status") == "Slept", "active": active, "inside": inside, "genres": of_genre, "goal": of_goal, "available": left}
+    per = rows.groupBy("user_id").agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in counted.items()])
+    removed = F.concat_ws(" · ", *[F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(label))) for c, label in (("completed", " completed"), ("slept", " asleep"))])
+    nothing = F.lit(None).cast("string")
+    known = [
+        ("library", F.col("library"), nothing, F.lit(True)), ("active", F.col("active"), removed, F.col("completed") + F.col("slept") > 0), ("collection", F.col("inside"), nothing, F.lit(members is not None)),
+        ("genres", F.col("genres"), nothing, F.lit(bool(genres))), ("goal", F.col("goal"), nothing, F.lit(goal not in (None, "surprise"))), ("snoozes", F.col("available"), nothing, F.col("goal") > F.col("available")),
+        ("available", F.col("available"), nothing, F.lit(True)), ("shortlist", F.lit(deck_size).cast("long"), nothing, F.col("available") > deck_size),
+    ]
+    each = [F.when(shown, F.struct(F.lit(name).alias("stage"), count.alias("count"), detail.alias("detail"))) for name, count, detail, shown in known]
+    return per.select("user_id", F.posexplode(F.array_compact(F.array(*each))).alias("pos", "s")).select("user_id", (F.col("pos") + 1).alias("place"), "s.*")
+
+
 def by_rank(*keys: str) -> list[Column]:
     return [F.col("score").desc(), F.col("title"), F.col("appid"), *map(F.col, keys)]
 
@@ -69,8 +107,9 @@ def pick(df: DataFrame, u: Column) -> DataFrame:
     return reached.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k", "_c")
 
 
-def quick_pick(df: DataFrame, u: Column) -> DataFrame:
-    """A uniform pick per user: row floor(u * n) in rank order."""
+def quick_pick(df: DataFrame, u: Column, winners: DataFrame | None = None) -> DataFrame:
+    """A uniform pick per user: row floor(u * n) in rank order, without the previous winner (``winners``: user, game) unless it is alone."""
+    df = df if winners is None else without_winner(df, winners)
     n = F.count("*").over(Window.partitionBy("user_id"))
     return df.withColumn("_n", n).filter(F.col("rank") - 1 == F.floor(u * F.col("_n"))).drop("_n")
 

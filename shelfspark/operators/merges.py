@@ -27,13 +27,63 @@ def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(rows.select(*keys), keys, "left_anti").unionByName(rows.select(*table.columns))
 
 
-def rebuild(table: DataFrame, rows: DataFrame) -> DataFrame:
-    """A full rebuild: all of ``rows``, and nothing older stays; without any rows the table is left alone."""
-    found = rows.limit(1).select(F.lit(True).alias("_any"))
+def rebuild(table: DataFrame, rows: DataFrame, signals: DataFrame | None = None, sweep: bool = False) -> DataFrame:
+    """A full rebuild: all of ``rows``, and nothing older stays.
+
+    Without any ``signals`` (by default: ``rows``) the table is left alone, unless it is to be swept anyway.
+    """
+    if sweep:
+        return rows.select(*table.columns)
+    found = (rows if signals is None else signals).limit(1).select(F.lit(True).alias("_any"))
     kept = table.join(found, F.lit(True), "left_anti")
     return rows.select(*table.columns).unionByName(kept)
 
 
+def merged_details(catalog: DataFrame, details: DataFrame, now: Column) -> DataFrame:
+    """The catalogue after fetched details (at most one per ``appid``), in one full outer join.
+
+    Fetched values replace stored ones column by column, but a known device grade stays; prices count in dollars only and are emptied else; negative
+    reviews are what is left of the total; rows without details stay as they are.  A detail without a title fails the job.
+    """
+    title = F.trim(F.coalesce("title", F.lit("")))
+    dollars = F.coalesce(F.col("price_currency") == "USD", F.lit(False))
+    total, positive = (F.greatest(F.lit(0).cast("long"), F.coalesce(c, F.lit(0).cast("long"))) for c in ("review_total", "review_positive"))
+    fresh = details.select(
+        "appid", F.when(title != "", title).otherwise(F.raise_error(F.concat(F.lit("metadata without a title: "), F.col("appid").cast("string")))).alias("name"), words_key(title).alias("normalized_name"),
+        F.coalesce("steam_type", F.lit("unknown")).alias("steam_type"), F.col("deck_compatibility").alias("deck_compatibility"), positive.alias("review_positive"),
+        F.greatest(F.lit(0).cast("long"), total - positive).alias("review_negative"), F.when(dollars, "USD").alias("price_currency"), F.when(dollars, F.col("price_initial")).alias("price_initial"),
+        F.when(dollars, F.col("price_final")).alias("price_final"), F.when(dollars, F.coalesce("discount_percent", F.lit(0).cast("long"))).otherwise(0).cast("long").alias("discount_percent"), now.alias("fetched_at"),
+    )
+    rest = [c for c in fresh.columns if c != "appid"]
+    joined = catalog.select("appid", F.struct(*rest).alias("_old")).join(fresh.select("appid", F.struct(*rest).alias("_new")), "appid", "full_outer")
+    of = lambda c: F.when(F.col("_new").isNull(), F.col("_old")[c]).otherwise(F.col("_new")[c])
+    grade = F.coalesce(F.col("_old.deck_compatibility"), F.col("_new.deck_compatibility"))
+    return joined.select("appid", *[(grade if c == "deck_compatibility" else of(c)).alias(c) for c in rest])
+
+
+def import_games(imported: DataFrame, catalog: DataFrame, decisions: DataFrame, held: DataFrame, library: DataFrame) -> dict[str, DataFrame]:
+    """The tables after users' imports (``user_id``, ``appid``, ``at``, ``title``, ``genre``, ``rating``, ``hours``).
+
+    ``last``: the last row of each user and game, from one shuffle of the import; ``catalog``: with stubs for unknown games; ``games``: what the
+    catalogue knows better; ``quarantine``: ``held`` with what a rule excludes and nobody has decided on; ``library``: upserted by user and
+    game, owned, with the hours of the import and the stored status (new games are in progress if played).  Excluded games stay in the library, as
+    their owners have them.  ``last`` is read several times: write it first where that matters.
+    """
+    valid = imported.filter((F.col("appid") > 0) & (F.trim(F.coalesce("title", F.lit(""))) != ""))
+    last = last_of(valid, ["user_id", "appid"], F.desc("at"))
+    fresh = stubs(last.select("appid", "title", "at")).select("appid", "name", "normalized_name")
+    known = insert_absent(catalog.select("appid", "name", "normalized_name"), fresh, ["appid"])
+    facts = catalog.select("appid", "name", "genres", "tags", "review_positive", "review_total", "price_cents")
+    games = enriched(last.withColumn("price_cents", F.lit(None).cast("long")), facts)
+    excluded = detected(games.select("appid", "title", "genre"), decisions).groupBy("appid").agg(F.min("matched_rule").alias("matched_rule"))
+    quarantine = upsert(held, excluded, ["appid"])
+    played = F.when(F.col("hours") > 0, "In Progress").otherwise("Not Started")
+    stored = library.select("user_id", "appid", F.col("status").alias("_status"), F.col("hours").alias("_hours"), F.lit(True).alias("_held"))
+    rows = games.join(stored, ["user_id", "appid"], "full_outer")
+    merged = rows.select("user_id", "appid", "title", "genre", "rating", "price_cents", F.coalesce("hours", "_hours").alias("hours"), F.coalesce("_status", played).alias("status"), F.coalesce("_held", F.lit(False)).alias("known_before"))
+    return {"last": last, "catalog": known, "games": games, "quarantine": quarantine, "library": merged}
+
+
 def stubs(games: DataFrame) -> DataFrame:
     """Catalogue rows that hold just an id and a name until they are fetched: valid ids and names, the last row of an id (by ``at``)."""
     name = F.trim(F.coalesce("title", F.lit("")))
@@ -75,6 +125,19 @@ def decided(rule: Column, review_status: Column) -> Column:
     return F.when(review_status == "allowed", False).when(review_status == "excluded", True).otherwise(rule.isNotNull())
 
 
+def classified(rule: Column, review_status: Column, note: Column, noted_rule: Column) -> Column:
+    """As a struct whether an entry stays ``out``, the ``reason`` and the ``matched_rule``: a manual decision (its note and rule, where it has them) before the rule."""
+    by_rule = (
+        F.when(rule.startswith("steam_type:"), F.concat(F.lit("Steam classifies this AppID as "), F.substring_index(rule, ":", -1), F.lit(", not a game.")))
+        .when(rule.startswith("steam_label:"), F.concat(F.lit("Steam classified this AppID as "), F.substring_index(rule, ":", -1), F.lit(", not a game.")))
+        .when(rule.isNotNull(), "The Steam title identifies this AppID as a beta, PTR, playtest, or other test environment.")
+    )
+    given = lambda x, other: F.coalesce(F.when(x != "", x), F.lit(other))
+    reason = F.when(review_status == "allowed", F.lit(None)).when(review_status == "excluded", given(note, "This AppID was manually excluded from the game catalogue.")).otherwise(by_rule)
+    matched = F.when(review_status == "allowed", "manual:allowed").when(review_status == "excluded", given(noted_rule, "manual:excluded")).otherwise(rule)
+    return F.struct(decided(rule, review_status).alias("out"), reason.alias("reason"), matched.alias("matched_rule"))
+
+
 def with_status(df: DataFrame, status: Column, now: Column) -> DataFrame:
     """Games with a new status: completion and sleep keep or get their time, any other status clears both; progress is bounded."""
     done, slept = status == "Completed", status == "Slept"

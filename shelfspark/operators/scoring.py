@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, half_up
 from ..functions.rules import MOOD_PAIRS, MOOD_RULES, MOODS
-from ..functions.text import mood_tag
+from ..functions.text import genre_key, mood_tag
 
 
 def estimate_minutes(*estimates: Column) -> Column:
@@ -133,8 +133,9 @@ def fit_score(df: DataFrame, session: str | None = None, mood: str | None = None
     if goal == "finish":
         parts.append((finish_points(F.col("percent"), F.col("remaining")), 30))
     if genres:
-        chosen = F.array(*map(F.lit, genres))
-        parts.append((10.0 * F.size(F.array_intersect("labels", chosen)) / len(genres), 10))
+        chosen = F.array(*[genre_key(F.lit(g)) for g in genres])
+        own = F.transform("labels", genre_key)
+        parts.append((10.0 * F.size(F.filter(chosen, lambda g: F.array_contains(own, g))) / len(genres), 10))
     available = sum(p for _, p in parts)
     earned = sum((c for c, _ in parts), F.lit(0.0))
     return df.withColumn("score", (half_up(100 * earned / available) if available else F.lit(0)).cast("long"))

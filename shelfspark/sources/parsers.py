@@ -21,15 +21,24 @@ def owned_games(df: DataFrame, json_col: str) -> DataFrame:
     )
 
 
-def owner_page(df: DataFrame, raw_col: str, page_col: str, size: int) -> DataFrame:
+def owner_page(df: DataFrame, raw_col: str, page_col: str, size: int, strict: bool = False) -> DataFrame:
     """Entries of an object page in source order; an empty name keeps its rank slot but is dropped.
 
-    A parsed map would lose the order, so keys come from the raw text.
+    A parsed map would lose the order, so keys come from the raw text.  ``strict`` fails the job where a page has not ``size``
+    entries, repeats an id or has an entry of another id than its key.
     """
     keys = F.regexp_extract_all(raw_col, F.lit(r'"([0-9]+)"\s*:\s*\{'), F.lit(1))
+    if strict:
+        found, page = F.size(keys).cast("string"), F.col(page_col).cast("string")
+        wrong = F.when(F.size(keys) != size, F.concat_ws(" ", F.lit("page"), page, F.lit("has"), found, F.lit(f"entries; expected {size}")))
+        wrong = wrong.when(F.size(F.array_distinct(keys)) != F.size(keys), F.concat(F.lit("page "), page, F.lit(" contains duplicate ids")))
+        keys = F.when(wrong.isNull(), keys).otherwise(F.raise_error(wrong))
     entries = F.from_json(raw_col, "map<string,struct<appid:bigint,name:string,owners:string>>")
     rows = df.select(page_col, F.posexplode(keys).alias("pos", "key"), entries.alias("_m"))
-    named = rows.select((F.col(page_col) * size + F.col("pos") + 1).alias("rank"), F.col("_m")[F.col("key")].alias("e"))
+    named = rows.select((F.col(page_col) * size + F.col("pos") + 1).alias("rank"), F.col("_m")[F.col("key")].alias("e"), "key")
+    if strict:
+        same = F.coalesce(F.col("e.appid") == F.col("key").cast("long"), F.lit(False))
+        named = named.withColumn("rank", F.when(same, F.col("rank")).otherwise(F.raise_error(F.concat(F.lit("malformed row of id "), "key"))))
     return named.select("rank", "e.*").filter(F.trim(F.coalesce("name", F.lit(""))) != "")
 
 

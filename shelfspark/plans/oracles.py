@@ -128,21 +128,15 @@ VERDICTS = """verdicts AS (
 latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, appid ORDER BY reviewed_at DESC, review_id DESC) AS k FROM verdicts) WHERE k = 1)"""
 RANKS = """per AS (SELECT l_partkey + 1 AS appid, count(*)::DOUBLE AS count, round(sum(l_extendedprice), 2) AS revenue, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1),
 long AS (SELECT appid, 'count' AS metric, count AS value FROM per UNION ALL SELECT appid, 'revenue', revenue FROM per UNION ALL SELECT appid, 'quantity', quantity FROM per),
-ranks AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, appid) AS rank FROM long) WHERE rank <= 1000)"""
+ranks AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, appid) AS rank FROM long)"""
 RRF = f"""{RANKS},
 fused AS (SELECT appid, round(sum(CASE metric WHEN 'count' THEN 0.5 WHEN 'revenue' THEN 0.3 ELSE 0.2 END::DOUBLE / (60 + rank)), 9) AS score, min(rank) AS best_rank FROM ranks GROUP BY appid),
 rrf AS (SELECT *, row_number() OVER (ORDER BY score DESC, best_rank, appid) AS rank FROM fused ORDER BY score DESC, best_rank, appid LIMIT 100)"""
 COHORTS = f"""{RRF},
 a AS (SELECT appid, p_name AS name, rank FROM rrf JOIN part ON appid = p_partkey + 1),
 b AS (SELECT appid, CASE WHEN appid % 5 = 0 THEN upper(p_name) ELSE p_name END AS name, rank FROM ranks JOIN part ON appid = p_partkey + 1 WHERE metric = 'revenue' AND rank <= 100)"""
-#: Every rank of the metrics, for the queries over whole rankings.
-WHOLE = {
-    "ranks": """per AS (SELECT l_partkey + 1 AS appid, count(*)::DOUBLE AS count, round(sum(l_extendedprice), 2) AS revenue, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1),
-long AS (SELECT appid, 'count' AS metric, count AS value FROM per UNION ALL SELECT appid, 'revenue', revenue FROM per UNION ALL SELECT appid, 'quantity', quantity FROM per),
-ranks AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, appid) AS rank FROM long)""",
-}
-WHOLE["rrf"] = RRF.replace(RANKS, WHOLE["ranks"])
-WHOLE["cohorts"] = COHORTS.replace(RANKS, WHOLE["ranks"])
+#: The whole_* queries are those over all ranks, as the others are by now.
+WHOLE = {"ranks": RANKS, "rrf": RRF, "cohorts": COHORTS}
 _REVIEWS = ", ".join(f"('{a}', {p}.0::DOUBLE, {t}.0::DOUBLE)" for a, (p, t) in REVIEW_SIGNALS.items())
 EPS = "greatest(0.000001::DOUBLE, least(0.999999::DOUBLE, {0}))"
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -188,8 +186,8 @@ def rrf_cohort(s, d):
     return catalogue.fuse_ranks(adapters.rankings(s, d), 100)
 
 
-def cohorts(s: SparkSession, d: str, rankings: Callable[[SparkSession, str], DataFrame] = adapters.rankings) -> tuple[DataFrame, DataFrame]:
-    names, ranked = adapters.catalog(s, d).select("appid", "title"), rankings(s, d)
+def cohorts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    names, ranked = adapters.catalog(s, d).select("appid", "title"), adapters.rankings(s, d)
     a = catalogue.fuse_ranks(ranked, 100).join(names, "appid").select("appid", F.col("title").alias("name"), "rank")
     ranks = ranked.filter("metric = 'revenue' and rank <= 100").join(names, "appid")
     b = ranks.select("appid", F.when(F.col("appid") % 5 == 0, F.upper("title")).otherwise(F.col("title")).alias("name"), "rank")
@@ -222,29 +220,29 @@ def eligible_semi(s, d):
 
 
 def whole_rrf_cohort(s, d):
-    return catalogue.fuse_ranks(adapters.whole_rankings(s, d), 100)
+    return catalogue.fuse_ranks(adapters.rankings(s, d), 100)
 
 
 def whole_cohort_merge(s, d):
-    return catalogue.merge_cohorts(*cohorts(s, d, adapters.whole_rankings))
+    return catalogue.merge_cohorts(*cohorts(s, d))
 
 
 def whole_coverage_anti(s, d):
-    a, b = cohorts(s, d, adapters.whole_rankings)
+    a, b = cohorts(s, d)
     return b.join(a, "appid", "left_anti").select("appid", "rank")
 
 
 def whole_eligible_semi(s, d):
-    a, b = cohorts(s, d, adapters.whole_rankings)
+    a, b = cohorts(s, d)
     return b.join(a, "appid", "left_semi").select("appid", "rank")
 
 
 def whole_dedupe_first_wins(s, d):
-    return catalogue.first_wins(adapters.whole_rankings(s, d), "appid", F.col("rank"), F.col("metric")).select("appid", "metric", "rank")
+    return catalogue.first_wins(adapters.rankings(s, d), "appid", F.col("rank"), F.col("metric")).select("appid", "metric", "rank")
 
 
 def whole_quality_gate(s, d):
-    return catalogue.quality(adapters.whole_rankings(s, d), "appid", "metric")
+    return catalogue.quality(adapters.rankings(s, d), "appid", "metric")
 
 
 def duration_cascade(s, d):
@@ -308,9 +306,7 @@ def event_stream(s: SparkSession, d: str, types: list[str]) -> DataFrame:
 
 
 def _checkpoint() -> str:
-    spark = SparkSession.getActiveSession()
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_path(SparkSession.getActiveSession(), "stream")
 
 
 def rate_window(s, d):

@@ -17,11 +17,11 @@ LINKS = """links AS (SELECT user_id * 10 + appid % 7 AS collection_id, user_id,
 SMART = f"""smart AS (SELECT s.collection_id, m.user_id, m.appid, row_number() OVER (PARTITION BY s.collection_id ORDER BY title, m.appid) - 1 AS position
     FROM members m JOIN shelves s ON m.user_id = s.user_id AND m.preset = s.preset JOIN lib l ON l.user_id = m.user_id AND l.appid = m.appid)"""
 COLLECTIONS = f"{base.MEMBERS}, {SHELVES}, {LINKS}, {SMART}"
-IMPORTED = """imported AS (SELECT CASE WHEN l_linenumber <> 7 THEN l_partkey % 150 + 1 END AS appid, l_orderkey * 10 + l_linenumber AS seen,
+IMPORTED = """imported AS (SELECT CASE WHEN l_linenumber <> 7 THEN l_partkey + 1 END AS appid, l_orderkey * 10 + l_linenumber AS seen,
     CASE WHEN l_linenumber = 6 THEN '' ELSE 'Game ' || l_orderkey % 5 END AS title, ['Unknown', 'Indie', 'Utilities / Action', ''][CAST(l_orderkey % 4 AS INT) + 1] AS genre FROM lineitem),
 latest_import AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY appid ORDER BY seen DESC) AS k FROM imported WHERE appid > 0 AND title <> '') WHERE k = 1)"""
 MANUAL = "manual AS (SELECT doc_id + 1 AS appid, CASE WHEN toxic = 1 THEN 'excluded' ELSE 'allowed' END AS review_status FROM labels)"
-WHOLE_RANKS = base.RANKS.replace(" WHERE rank <= 1000", "").replace("WHERE rank <= 1000", "")
+WHOLE_RANKS = base.RANKS
 
 
 def oracle_sql() -> dict[str, str]:
@@ -38,7 +38,7 @@ def oracle_sql() -> dict[str, str]:
         "reviews_newest": w(base.VERDICTS, "SELECT user_id, appid, action, review_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY reviewed_at DESC, review_id DESC, appid) AS k FROM verdicts) WHERE k <= 10"),
         "review_counts": f"SELECT user_id, status, count(*) AS n, count(*) FILTER (WHERE superseded) AS superseded FROM ({core['purge_standing']}) GROUP BY ALL",
         "snapshots_newest": w(base.SNAP, """SELECT user_id, count(*) AS days, min(total) AS low, max(total) AS high FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS k FROM totals)
-            WHERE k <= 20 GROUP BY 1"""),
+            WHERE k <= 60 GROUP BY 1"""),
         "nested_history": w(f"{base.DRAWS}, per AS (SELECT user_id, k, any_value(appid) AS appid, any_value(drawn_at) AS drawn_at, string_agg(event, '>' ORDER BY created_at DESC, event_id DESC) AS events FROM draws GROUP BY 1, 2)",
             "SELECT user_id, k AS draw_no, appid, events FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY drawn_at DESC, k DESC) AS r FROM per) WHERE r <= 50"),
         "vault_state": w(
@@ -47,9 +47,9 @@ def oracle_sql() -> dict[str, str]:
             asleep AS (SELECT user_id, count(*) AS snoozed, min(appid) AS first_snoozed FROM own WHERE appid % 6 = 0 AND (appid % 9 = 0 OR CAST(added_at AS DATE) + CAST(appid % 2500 AS INT) > DATE '2001-12-01') GROUP BY 1),
             chosen AS (SELECT user_id, arg_max(appid, (drawn_at, k)) AS pick FROM draws GROUP BY 1)""",
             "SELECT user_id, pins, coalesce(snoozed, 0) AS snoozed, first_snoozed, pick FROM (SELECT DISTINCT user_id FROM own) LEFT JOIN pins USING (user_id) LEFT JOIN asleep USING (user_id) LEFT JOIN chosen USING (user_id)"),
-        "guest_pool": w(f"{CAT}, pop AS (SELECT *, CASE WHEN appid % 3 = 0 THEN appid % 50 END AS popularity FROM cat), top AS (SELECT * FROM pop ORDER BY {guest} LIMIT 120)",
+        "guest_pool": w(f"{CAT}, pop AS (SELECT *, CASE WHEN appid % 3 = 0 THEN appid % 50 END AS popularity FROM cat), top AS (SELECT * FROM pop ORDER BY {guest} LIMIT 300)",
             f"""SELECT 'guest-' || appid AS id, 'Not Started' AS status, CAST(CASE WHEN review_total > 0 THEN least(10, floor(review_positive * 10 / review_total + 0.5)) ELSE 0 END AS BIGINT) AS rating, genre || ' / ' || tag AS genre
-            FROM top WHERE appid % 13 <> 0 ORDER BY {guest} LIMIT 100"""),
+            FROM top WHERE appid % 13 <> 0 ORDER BY {guest} LIMIT 250"""),
         "play_history": w(OWN, """SELECT user_id, count(*) AS games, bool_or(h > 0) AS playtime, bool_or(p IS NOT NULL) AS last_played, count(*) >= 25 AND NOT bool_or(h > 0 OR p IS NOT NULL) AS missing
             FROM (SELECT user_id, CASE WHEN user_id % 3 <> 0 THEN hours ELSE 0 END AS h, CASE WHEN user_id % 6 <> 0 THEN last_played_at END AS p FROM own) GROUP BY 1"""),
         "completion_values": f"SELECT user_id, count(*) AS n, CAST(sum(price_cents) AS BIGINT) AS cents FROM ({core['completion_queue']}) JOIN (WITH {CAT} SELECT appid, price_cents FROM cat) USING (appid) GROUP BY 1",
@@ -91,24 +91,24 @@ def oracle_sql() -> dict[str, str]:
         "preferences_rebuilt": f"SELECT 2 AS stamp, count(*) AS n, round(sum(positive), 3) AS positive FROM ({core['preference_tally']})",
         "daily_snapshots": w(
             f"""{base.SNAP}, {OWN}, captured AS (SELECT user_id, DATE '2024-01-30' AS day, CAST(sum(greatest(0, floor(hours * 60 + 0.5))) AS BIGINT) AS total_minutes FROM own GROUP BY 1)""",
-            """SELECT * FROM captured UNION ALL SELECT user_id, day, CAST(total AS BIGINT) FROM totals WHERE day >= DATE '2024-01-29' AND (user_id, day) NOT IN (SELECT (user_id, day) FROM captured)"""),
+            """SELECT * FROM captured UNION ALL SELECT user_id, day, CAST(total AS BIGINT) FROM totals WHERE (user_id, day) NOT IN (SELECT (user_id, day) FROM captured)"""),
         "completion_claims": w(
-            """steps AS (SELECT user_id, event_id % 3 AS appid, ts, event_id, CASE event_type WHEN 'error' THEN -1 ELSE 1 END AS step FROM events WHERE event_type IN ('click', 'view', 'error')),
+            """steps AS (SELECT user_id, event_id % 3 AS appid, ts, event_id, CASE event_type WHEN 'error' THEN -1 ELSE 1 END AS step FROM events),
             sums AS (SELECT *, sum(step) OVER (PARTITION BY user_id, appid ORDER BY ts, event_id) AS s FROM steps),
             lows AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY user_id, appid ORDER BY ts, event_id)) AS level FROM sums),
             keyed AS (SELECT *, CASE WHEN step = 1 THEN level ELSE level + 1 END AS open_level FROM lows),
             nexts AS (SELECT *, lead(step) OVER (PARTITION BY user_id, appid, open_level ORDER BY ts, event_id) AS following FROM keyed)""",
             "SELECT user_id, appid, event_id, coalesce(following = -1, false) AS undone FROM nexts WHERE step = 1"),
         "draw_log": w(
-            f"""{base.DRAWS}, kept AS (SELECT user_id, k FROM (SELECT user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY drawn_at DESC, k DESC) AS r FROM (SELECT DISTINCT user_id, k, drawn_at FROM draws)) WHERE r <= 5)""",
-            "SELECT user_id || '-' || k AS draw_id, event_id FROM draws JOIN kept USING (user_id, k)"),
+            f"""{base.DRAWS}, kept AS (SELECT user_id, k FROM (SELECT user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY drawn_at DESC, k DESC) AS r FROM (SELECT DISTINCT user_id, k, drawn_at FROM draws)) WHERE r <= 50)""",
+            "SELECT user_id || '-' || k AS draw_id, event_id FROM draws d WHERE event_id % 2 = 0 OR EXISTS (SELECT 1 FROM kept WHERE kept.user_id = d.user_id AND kept.k = d.k)"),
         "estimates_due": """SELECT appid, provider, status, DATE '2001-12-01' + CASE WHEN status = 'matched' THEN 365 ELSE 150 END AS refresh_on
             FROM (SELECT l_partkey + 1 AS appid, l_returnflag AS provider, CASE WHEN l_quantity > 25 THEN 'matched' ELSE 'no_duration' END AS status,
             row_number() OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_orderkey * 10 + l_linenumber DESC) AS k FROM lineitem) WHERE k = 1""",
         "duration_import": """SELECT CASE WHEN k % 11 = 0 THEN -k ELSE k + 1 END AS appid, CASE WHEN k % 11 = 0 THEN 'invalid id' WHEN k % 5 <> 0 AND k % 17 = 0 THEN 'negative minutes' WHEN k % 5 = 0 THEN 'no minutes'
             WHEN k % 4 = 3 THEN 'invalid confidence' WHEN k % 3 <> 0 THEN 'unknown game' ELSE 'updated' END AS outcome FROM (SELECT p_partkey AS k FROM part)""",
         "mapping_cohort": w(
-            f"""{WHOLE_RANKS}, best AS (SELECT appid % 700 AS game_id, metric, min(rank) AS rank FROM ranks GROUP BY 1, 2), ids AS (SELECT DISTINCT p_partkey % 700 AS game_id, p_partkey % 900 + 1 AS appid FROM part),
+            f"""{WHOLE_RANKS}, best AS (SELECT appid // 2 AS game_id, metric, min(rank) AS rank FROM ranks GROUP BY 1, 2), ids AS (SELECT DISTINCT p_partkey // 2 AS game_id, p_partkey // 3 + 1 AS appid FROM part),
             per_app AS (SELECT appid, metric, min(rank) AS rank FROM best JOIN ids USING (game_id) GROUP BY 1, 2),
             fused AS (SELECT appid, round(sum(CASE metric WHEN 'count' THEN 0.5 WHEN 'revenue' THEN 0.3 ELSE 0.2 END::DOUBLE / (60 + rank)), 9) AS score, min(rank) AS best_rank FROM per_app GROUP BY 1)""",
             "SELECT *, row_number() OVER (ORDER BY score DESC, best_rank, appid) AS rank FROM fused ORDER BY score DESC, best_rank, appid LIMIT 200"),
@@ -122,10 +122,10 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT p_partkey AS k, * FROM part)""",
         "small_payloads": """SELECT k, k % 50 AS total, k * 3 % 50 AS positive, greatest(0, k % 50 - k * 3 % 50) AS negative, CASE WHEN k % 50 > 0 THEN CAST(greatest(1, least(10, floor((k * 3 % 50) * 10 / (k % 50) + 0.5))) AS BIGINT) END AS rating,
             CASE WHEN k % 2 = 1 THEN k % 4 END AS grade, CASE WHEN k % 3 <> 0 THEN CAST(k AS VARCHAR) END AS steamid, CASE WHEN k % 4 <> 0 OR k = 0 THEN k % 7 END AS indie FROM (SELECT p_partkey AS k FROM part)""",
-        "page_payloads": """WITH k AS (SELECT p_partkey AS k FROM part WHERE p_partkey < 120),
-            owners AS (SELECT (k * 7) % 100 + 1 AS appid, (k // 10) * 10 + (9 - k % 10) + 1 AS rank FROM k WHERE k % 7 <> 3),
-            once AS (SELECT appid, min(rank) AS rank FROM owners GROUP BY 1 ORDER BY 2 LIMIT 90),
-            games AS (SELECT (k * 3) % 50 AS game_id, min(k) AS seen FROM k WHERE (k * 3) % 50 > 0 GROUP BY 1)
+        "page_payloads": """WITH k AS (SELECT p_partkey AS k FROM part),
+            owners AS (SELECT CASE WHEN k % 11 = 5 AND k >= 17 THEN k - 16 ELSE k + 1 END AS appid, (k // 10) * 10 + (9 - k % 10) + 1 AS rank FROM k WHERE k % 7 <> 3),
+            once AS (SELECT appid, min(rank) AS rank FROM owners GROUP BY 1 ORDER BY 2 LIMIT 10000),
+            games AS (SELECT k // 2 * 3 AS game_id, min(k) AS seen FROM k WHERE k > 1 GROUP BY 1)
             SELECT 'owners' AS metric, appid, rank FROM once UNION ALL SELECT 'peak', game_id, row_number() OVER (ORDER BY seen) FROM games""",
         "import_enriched": w(
             f"""{CAT}, {IMPORTED}, facts AS (SELECT appid, title AS name, genre AS cgenre, tag AS ctag, {spot(TAGS, len(TAG_SETS), 'appid')} AS tags, review_positive, review_total, price_cents FROM cat WHERE appid % 3 <> 0),

@@ -94,7 +94,7 @@ def review_counts(s, d):
 
 
 def snapshots_newest(s, d):
-    rows = merges.newest_per(adapters.snapshots(s, d), "user_id", 20, F.desc("day"))
+    rows = merges.newest_per(adapters.snapshots(s, d), "user_id", 60, F.desc("day"))
     return rows.groupBy("user_id").agg(F.count("*").alias("days"), F.min("total_minutes").alias("low"), F.max("total_minutes").alias("high"))
 
 
@@ -118,11 +118,11 @@ def vault_state(s, d):
 
 
 def guest_pool(s, d):
-    """Popular games for guests: 120 by rank, reviews and id, less quarantined ones, 100 of them, neutral."""
+    """Popular games for guests: 300 by rank, reviews and id, less quarantined ones, 250 of them, neutral."""
     c = adapters.catalog(s, d).withColumn("popularity", F.when(F.col("appid") % 3 == 0, F.col("appid") % 50))
-    top = c.orderBy(F.asc_nulls_last("popularity"), F.desc_nulls_last("review_total"), "appid").limit(120)
+    top = c.orderBy(F.asc_nulls_last("popularity"), F.desc_nulls_last("review_total"), "appid").limit(300)
     rating = F.when(F.col("review_total") > 0, F.least(F.lit(10), F.floor(F.col("review_positive") * 10 / F.col("review_total") + 0.5))).otherwise(0)
-    left = top.join(quarantined(s, d), "appid", "left_anti").orderBy(F.asc_nulls_last("popularity"), F.desc_nulls_last("review_total"), "appid").limit(100)
+    left = top.join(quarantined(s, d), "appid", "left_anti").orderBy(F.asc_nulls_last("popularity"), F.desc_nulls_last("review_total"), "appid").limit(250)
     return left.select(F.concat(F.lit("guest-"), F.col("appid").cast("string")).alias("id"), F.lit("Not Started").alias("status"), rating.cast("long").alias("rating"), F.array_join("labels", " / ").alias("genre"))
 
 
@@ -200,7 +200,7 @@ def collection_edits(s, d):
 def imported(s: SparkSession, d: str) -> DataFrame:
     """An import of games as it arrives: ids repeat, some ids and names are missing."""
     rows = adapters.read(s, d, "lineitem").select(
-        F.when(F.col("l_linenumber") == 7, None).otherwise(F.col("l_partkey") % 150 + 1).alias("appid"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"),
+        F.when(F.col("l_linenumber") == 7, None).otherwise(F.col("l_partkey") + 1).alias("appid"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"),
         F.when(F.col("l_linenumber") == 6, " ").otherwise(F.concat(F.lit(" Game "), (F.col("l_orderkey") % 5).cast("string"))).alias("title"),
         pick(F.col("l_orderkey"), ("Unknown", "Indie", "Utilities / Action", "")).alias("genre"), F.lit(0).cast("long").alias("rating"), F.lit(None).cast("long").alias("price_cents"),
     )
@@ -276,22 +276,22 @@ def daily_snapshots(s, d):
     today = F.lit("2024-01-30").cast("date")
     minutes = F.greatest(F.lit(0), F.floor(F.col("hours") * 60 + 0.5)).cast("long")
     captured = owned(s, d).groupBy("user_id").agg(F.sum(minutes).alias("total_minutes")).select("user_id", today.alias("day"), "total_minutes")
-    held = adapters.snapshots(s, d).select("user_id", "day", F.col("total_minutes").cast("long").alias("total_minutes")).filter(F.col("day") >= F.date_sub(today, 1))
+    held = adapters.snapshots(s, d).select("user_id", "day", F.col("total_minutes").cast("long").alias("total_minutes"))
     return merges.upsert(held, captured, ["user_id", "day"])
 
 
 def completion_claims(s, d):
-    """Completion claims with those that an undo took back."""
+    """Completion claims (every event but errors) with those that an undo (an error) took back."""
     rows = adapters.read(s, d, "events").select("user_id", (F.col("event_id") % 3).alias("appid"), F.col("ts").cast("timestamp").alias("at"), "event_id", "event_type")
-    claims, undos = rows.filter("event_type in ('click', 'view')").drop("event_type"), rows.filter("event_type = 'error'").drop("event_type")
+    claims, undos = rows.filter("event_type <> 'error'").drop("event_type"), rows.filter("event_type = 'error'").drop("event_type")
     return merges.undone(claims, undos).select("user_id", "appid", "event_id", "undone")
 
 
 def draw_log(s, d):
-    """Draw events whose draw exists, and of those the newest draws per user."""
+    """The stored log (even events) after new ones (odd) of each user's newest 50 draws; those of other draws have no parent."""
     events = adapters.draws(s, d).select("user_id", F.concat_ws("-", "user_id", "draw_no").alias("draw_id"), "event_id", "drawn_at", "draw_no")
-    kept = merges.newest_per(events.select("user_id", "draw_id", "drawn_at", "draw_no").distinct(), "user_id", 5, F.desc("drawn_at"), F.desc("draw_no"))
-    return merges.append_known(events.limit(0), events, kept, "draw_id").select("draw_id", "event_id")
+    kept = merges.newest_per(events.select("user_id", "draw_id", "drawn_at", "draw_no").distinct(), "user_id", 50, F.desc("drawn_at"), F.desc("draw_no"))
+    return merges.append_known(events.filter("event_id % 2 = 0"), events.filter("event_id % 2 = 1"), kept, "draw_id").select("draw_id", "event_id")
 
 
 def estimates_due(s, d):
@@ -316,8 +316,8 @@ def duration_import(s, d):
 
 def mapping_cohort(s, d):
     """Rankings by provider id joined with the ids of games, N to M, best rank per metric, fused."""
-    ranked = base.adapters.whole_rankings(s, d).select((F.col("appid") % 700).alias("game_id"), "metric", "rank", "value")
-    mapped = part(s, d).select((F.col("k") % 700).alias("game_id"), (F.col("k") % 900 + 1).alias("appid"), F.col("p_name").alias("name"))
+    ranked = base.adapters.rankings(s, d).select(F.floor(F.col("appid") / 2).alias("game_id"), "metric", "rank", "value")
+    mapped = part(s, d).select(F.floor(F.col("k") / 2).alias("game_id"), (F.floor(F.col("k") / 3) + 1).alias("appid"), F.col("p_name").alias("name"))
     best = ranked.groupBy("game_id", "metric").agg(F.min("rank").alias("rank"), F.min_by("value", "rank").alias("value"))
     ids = mapped.select("game_id", "appid").distinct()
     return catalogue.fuse_ranks(best.join(ids, "game_id").select("appid", "metric", "rank", "value"), 200).select("appid", "score", "best_rank", "rank")
@@ -367,12 +367,12 @@ def small_payloads(s, d):
 def page_payloads(s, d):
     """Owner pages in source order and ranking pages, with repeats across pages."""
     k = F.col("k")
-    rows = part(s, d).filter("k < 120").select((k / 10).cast("int").alias("page"), "k", "p_name")
+    rows = part(s, d).select((k / 10).cast("int").alias("page"), "k", "p_name")
     entry = lambda i: F.concat(F.lit('"'), i.cast("string"), F.lit('": {"appid": '), i.cast("string"), F.lit(', "name": "'), F.when(k % 7 == 3, "").otherwise(F.col("p_name")), F.lit('", "owners": "1 .. 2"}'))
-    listed = rows.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-k).alias("o"), entry((k * 7) % 100 + 1).alias("e")))), lambda x: x["e"]), ", ").alias("body"))
+    listed = rows.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-k).alias("o"), entry(F.when((k % 11 == 5) & (k >= 17), k - 16).otherwise(k + 1)).alias("e")))), lambda x: x["e"]), ", ").alias("body"))
     pages = listed.select("page", F.concat(F.lit("{"), "body", F.lit("}")).alias("raw"))
-    owners = parsers.owner_pages(pages, "raw", "page", 10, 90).select(F.lit("owners").alias("metric"), "appid", F.col("rank").cast("long").alias("rank"))
-    item = F.struct(((k * 3) % 50).alias("game_id"), k.cast("double").alias("value"))
+    owners = parsers.owner_pages(pages, "raw", "page", 10, 10_000).select(F.lit("owners").alias("metric"), "appid", F.col("rank").cast("long").alias("rank"))
+    item = F.struct((F.floor(k / 2) * 3).alias("game_id"), k.cast("double").alias("value"))
     ranked = rows.groupBy("page").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("k", item.alias("i")))), lambda x: x["i"])).alias("raw")).withColumn("metric", F.lit("peak"))
     peak = parsers.ranked_pages(ranked, "page", "raw", 10).select("metric", F.col("game_id").alias("appid"), F.col("rank").cast("long").alias("rank"))
     return owners.unionByName(peak)

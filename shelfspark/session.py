@@ -27,7 +27,11 @@ def ship_package(spark: SparkSession) -> None:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the folder that driver and executors share (``spark.checkpoint.dir``)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

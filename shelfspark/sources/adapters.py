@@ -101,13 +101,7 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three popularity rankings of the games, the first 1000 of each: rows per metric with rank and value."""
-    best = Window.partitionBy("metric").orderBy(F.col("value").desc(), "appid")
-    return metrics(spark, sf_dir).withColumn("rank", F.row_number().over(best)).filter("rank <= 1000")
-
-
-def whole_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As :func:`rankings`, of all games.
+    """Three popularity rankings of all games: rows per metric with rank and value.
 
     Ranks come from a range-partitioned sort with offsets per partition, so that no task holds a whole metric.
     """

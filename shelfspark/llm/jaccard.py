@@ -268,7 +268,8 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     Two documents are linked if their shingle sets have a Jaccard similarity of at least PERCENT / 100; the
     component is named by its smallest id.  Documents without words (null or empty text) have 0 shingles and are their
     own components.  A null id belongs to the component of its text, which is null only if no member has an id.
-    Repeated rows get equal results; rows that share an id but not the text are judged by their texts.
+    Repeated rows get equal results; rows that share an id but not the text are judged by their texts.  Texts of any length
+    are read whole, piece by piece; an empty table stays empty; other columns, whatever their names, are not looked at and not returned.
 
     ``with_sets`` adds ``set_digest`` of the row's shingle set (see :func:`add_digests`) and ``stands``: whether the
     row has the smallest (id, digest) of its component, null ids last.  Unlike the component's id, this tells apart

@@ -348,7 +348,7 @@ def identify_language(df: DataFrame, model: ByteGRU | None, text_col: str = "tex
 
     A null text or one without a letter (Unicode category L), or any text where no model could be trained, is ``und``
     with score 0.  Of labels with equal probabilities the first in code-point order is taken.  Repeated rows are judged
-    alike, texts of any length are read whole, an empty table stays empty.
+    alike, texts of any length are read whole, an empty table stays empty.  Added columns replace input columns of their names, others stay.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 

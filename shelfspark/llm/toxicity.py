@@ -334,7 +334,7 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text")
 
     Adjacent tokens with a marginal of at least one half form a span.  Null and empty texts have the score of a
     text without toxic tokens and no spans.  Repeated rows are scored alike, texts of any length are read whole
-    as one chain, an empty table stays empty.
+    as one chain, an empty table stays empty.  Added columns replace input columns of their names, others stay.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 

@@ -47,6 +47,13 @@ def backoff_minutes(attempt: Column, base: float = 1.0, cap: float = 360.0) -> C
     return F.least(F.lit(cap), base * F.pow(F.lit(2.0), attempt))
 
 
+def retry_after_ms(header: Column, now: Column) -> Column:
+    """Milliseconds of a Retry-After header: seconds, or a date after ``now``; null for anything else."""
+    seconds = F.when(F.trim(header).rlike(r"^[0-9]+(\.[0-9]+)?$"), F.ceil(F.trim(header).try_cast("double") * 1000))
+    at = F.coalesce(F.try_to_timestamp(F.regexp_replace(header, r"^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss")), F.try_to_timestamp(header))
+    return F.coalesce(seconds, F.when(at.isNotNull(), F.greatest(F.lit(0).cast("long"), F.unix_millis(at) - F.unix_millis(now))))
+
+
 def uint32_or_null(x: Column) -> Column:
     """A positive 32-bit id from text, else null."""
     value = F.when(x.rlike("^[0-9]{1,10}$"), x.cast("long"))

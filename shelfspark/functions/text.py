@@ -96,3 +96,9 @@ def redact(x: Column) -> Column:
 def content_hash(*parts: Column) -> Column:
     """SHA-256 of unit-separated parts."""
     return F.sha2(F.concat_ws("\u001f", *parts), 256)
+
+
+def user_notes(x: Column) -> Column:
+    """Trimmed notes; those that an import has written become empty."""
+    notes = F.trim(F.coalesce(x, F.lit("")))
+    return F.when(notes.rlike(r"(?i)^(Imported from Steam account|Added from Steam search)\. AppID: \d+$"), "").otherwise(notes)

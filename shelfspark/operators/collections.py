@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rules import EDITED_AS
 from .stats import smart_members
 
 
@@ -61,3 +62,8 @@ def edited_links(links: DataFrame, edits: DataFrame, turned_smart: DataFrame) ->
     untouched = links.join(final, ["collection_id", "appid"], "left_anti")
     added = final.filter("action = 'add'").select(*links.columns)
     return untouched.unionByName(added).join(turned_smart, "collection_id", "left_anti")
+
+
+def editable_preset(preset: Column) -> Column:
+    """The preset that a smart collection is edited as: older ones have successors, none is nearly finished."""
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in EDITED_AS.items() for x in pair])[preset], preset, F.lit("nearly-finished"))

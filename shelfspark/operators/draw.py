@@ -201,3 +201,82 @@ def insights(session: str, mood: str, genres: list[str], pool_size: Column, now:
         one(liked["kind"] != "none", "appeal", F.when(liked["points"] >= 3, "perfect").when(liked["points"] > 0, "strong").otherwise("good"), labels.appeal_label(liked["kind"])),
     ]
     return F.filter(F.array(*every), lambda x: x.isNotNull())
+
+
+def explanation(session: str | None, mood: str | None, goal: str | None, genres: list[str], pool_size: Column, now: Column, taste: Column | None = None, preference_points: Column | None = None) -> Column:
+    """array<struct<kind, strength, headline, detail>>: the case for a ranked row (``rank``, ``score`` and a library row) of a draw.
+
+    What the draw did not use is not claimed: without a session, mood, goal or genres their lines are left out, as are those whose evidence is
+    missing.  ``taste`` is the learned line of the pick (null where there is none), graded by ``preference_points``.
+    """
+    text = lambda x: x.cast("string")
+    plain = lambda x: F.regexp_replace(text(x), r"\.0$", "")
+    grade = lambda x, high, low: F.when(x >= high, "perfect").when(x >= low, "strong").otherwise("good")
+    left, hours = F.when(~F.col("endless"), F.col("remaining")), F.col("estimate") / 60
+    every: list[Column] = []
+
+    def say(when: Column, kind: str, strength: Column, headline: Column, detail: Column) -> None:
+        every.append(F.when(when, F.struct(F.lit(kind).alias("kind"), strength.alias("strength"), headline.alias("headline"), detail.alias("detail"))))
+
+    of = F.concat(F.lit(" of "), text(pool_size), F.lit(" games"))
+    say(
+        pool_size > 1, "selection", F.when(F.col("rank") <= 3, "perfect").when(F.col("rank") <= 10, "strong").otherwise("good"),
+        F.when(F.col("rank") == 1, F.concat(F.lit("Best fit"), of)).otherwise(F.concat(F.lit("Ranked "), labels.ordinal(F.col("rank")), of)),
+        F.concat(F.lit("Scored "), text(F.col("score")), F.lit("/100 against everything else your setup allows.")),
+    )
+    if session:
+        name = SESSIONS[session].lower()
+        ratio = scoring.session_points(session, F.col("fits"), F.col("endless"), F.col("remaining")) / 30
+        about = F.when(left < 1, "Under an hour left").otherwise(F.concat(F.lit("Roughly "), labels.whole(left), F.lit("h left")))
+        fits = {"short": left <= 3, "evening": (left >= 10) & (left <= 30), "weekend": left > 30}[session]
+        high, low = {
+            "short": (" — you could see the end of it tonight.", ", so one sitting makes real progress."),
+            "evening": (" — a few evenings, which is exactly the shape you asked for.", ", so an evening covers a good chunk of it."),
+            "weekend": (" — enough to properly sink into over a weekend.", ", so a weekend would see it finished."),
+        }[session]
+        said = F.concat(about, F.when(fits, high).otherwise(low))
+        say(
+            F.lit(True), "session", grade(ratio, 0.93, 0.8), F.when(F.col("endless"), "Plays to any length").otherwise(_fit(ratio, f"Ideal {name} length", f"Good {name} length", f"Workable {name} length")),
+            F.when(F.col("endless"), "No fixed ending, so you can stop whenever you like.").when(left.isNull(), "No length estimate yet, so this is neither helped nor penalised.").otherwise(said),
+        )
+    if mood:
+        score, drivers, shown = F.col("moods")[mood.replace("-", "_")], mood_contributors(F.col("labels"), mood), mood.title()
+        say(
+            (score >= 1) | (F.size(drivers) > 0), "mood", grade(score, 7, 5), F.concat(F.when(score >= 7, "Perfect").when(score >= 5, "Strong").otherwise("Fair"), F.lit(f" {shown} match")),
+            F.when(F.size(drivers) > 0, F.concat(F.lit("Tagged "), F.array_join(drivers, ", "), F.lit(f" — that is what gives it the {shown} feel.")))
+            .when(score >= 5, f"Its overall tag mix reads strongly {shown}.").otherwise(f"Nothing about it pulls against a {shown} night."),
+        )
+    if goal == "finish":
+        through, near = F.concat(F.lit("You're "), text(F.col("percent")), F.lit("% through")), text(F.greatest(F.lit(1), half_up(left)).cast("long"))
+        say(
+            F.col("percent") > 0, "goal", grade(F.col("percent"), 80, 40), F.when(left.isNull(), F.concat(text(F.col("percent")), F.lit("% through"))).otherwise(F.concat(F.lit("About "), near, F.lit("h from the credits"))),
+            F.when(left.isNull(), F.concat(through, F.lit(", so finishing it is realistic."))).otherwise(F.concat(through, F.lit(" a game of roughly "), labels.whole(hours), F.lit("h — the ending is genuinely in reach."))),
+        )
+    if goal == "new":
+        say(
+            F.lit(True), "goal", F.when(F.col("hours") == 0, "perfect").otherwise("strong"), F.when(F.col("hours") == 0, "Never played").otherwise("Barely sampled"),
+            F.when(F.col("hours") == 0, "It has been sitting in your library waiting for exactly this.").otherwise(F.concat(F.lit("Only "), plain(F.col("hours")), F.lit("h in, so there is still a whole game here."))),
+        )
+    paused, days = labels.dormancy_headline(F.col("last_played_at"), now), labels.days_between(F.col("last_played_at"), now)
+    last = F.concat(F.lit("Last played "), F.date_format("last_played_at", "MMMM yyyy"))
+    ending = F.when(days >= 365, ". This is exactly the kind of game the Vault exists to resurface.").when(days >= 60, ", so it is well overdue another look.").otherwise(".")
+    say(paused.isNotNull(), "dormancy", F.lit("strong"), paused, F.concat(last, ending))
+    if genres:
+        own, chosen = keyed(F.col("labels")), F.array(*map(F.lit, genres))
+        shared = F.filter(chosen, lambda g: F.array_contains(own, genre_key(g)))
+        names = lambda gs, by: F.array_join(F.transform(gs, lambda g: display_key(genre_key(g), "rpg")), by)
+        said = F.concat(F.lit("You filtered for "), names(chosen, ", "), F.lit(" and this matches "), text(F.size(shared)), F.lit(f" of {len(genres)}."))
+        say(F.size(shared) > 0, "genre", F.when(F.size(shared) == len(genres), "perfect").otherwise("strong"), F.concat(names(shared, " and "), F.lit(", as asked")), said)
+    total, liked = F.col("review_total"), scoring.appeal(F.col("review_positive"), F.col("review_total"))
+    share = F.concat(labels.whole(F.least(F.lit(1.0), F.col("review_positive") / F.nullif(total, F.lit(0))) * 100), F.lit("% positive "))
+    count = labels.review_count(total)
+    why = (
+        F.when(liked["kind"] == "phenomenon", F.concat(share, F.lit("across "), count, F.lit(" reviews — this one is a landmark."))).when(liked["kind"] == "acclaimed", F.concat(share, F.lit("across "), count, F.lit(" reviews.")))
+        .when(liked["kind"] == "hidden-gem", F.concat(share, F.lit("from only "), count, F.lit(" reviews — beloved by the few who found it.")))
+        .when(liked["kind"] == "divisive", F.concat(F.lit("Only "), share, F.lit("across "), count, F.lit(" reviews, so expect a rough edge or two.")))
+    )
+    say(liked["kind"] != "none", "appeal", F.when(liked["points"] >= 3, "perfect").when(liked["points"] > 0, "strong").otherwise("good"), labels.appeal_label(liked["kind"]), why)
+    if taste is not None:
+        points = preference_points if preference_points is not None else F.lit(0.0)
+        say(taste.isNotNull(), "taste", F.when(points >= 5, "perfect").otherwise("strong"), taste, F.lit("Drawn from what you have actually launched and liked before, not what you told us."))
+    return F.array_compact(F.array(*every))

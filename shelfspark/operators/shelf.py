@@ -12,23 +12,43 @@ STATUS_ORDER = {"Completed": 4, "In Progress": 3, "Not Started": 2, "Slept": 1}
 SHOWN, HISTORY = 4, 50
 
 
-def sort_keys(mode: str) -> list[Column]:
-    """Sort expressions of a library order; missing values come last and titles break ties."""
-    status = F.create_map(*[F.lit(x) for pair in STATUS_ORDER.items() for x in pair])[F.col("status")]
-    first = {
-        "recent": F.desc_nulls_last("last_played_at"), "title": None, "hours": F.desc_nulls_last("hours"),
-        "progress": F.desc_nulls_last("percent"), "added": F.desc_nulls_last("added_at"),
-        "duration": F.asc_nulls_last("estimate"), "status": status.desc_nulls_last(),
-    }[mode]
-    return [key for key in (first, F.asc_nulls_last("title"), F.asc_nulls_last("appid")) if key is not None]
-
+def sort_keys(mode: str, reverse: bool = False) -> list[Column]:
+    """Sort expressions of a library order; missing values come last and titles break ties; ``reverse`` turns all of it round.
 
-def positions(df: DataFrame, modes: list[str]) -> DataFrame:
+    ``slept`` and ``completed`` are the orders of those tabs, the newest first.
+    """
+    status = F.create_map(*[F.lit(x) for pair in STATUS_ORDER.items() for x in pair])[F.col("status")]
+    falling = {
+        "recent": F.col("last_played_at"), "hours": F.col("hours"), "progress": F.col("percent"), "added": F.col("added_at"), "status": status,
+        "slept": F.col("slept_at") if mode == "slept" else None, "completed": F.col("completed_at") if mode == "completed" else None,
+    }
+    rising = {"title": [], "duration": [F.col("estimate")]}
+    first = [(falling[mode], True)] if mode in falling else [(c, False) for c in rising[mode]]
+    keys = [*first, (F.col("title"), False), (F.col("appid"), False)]
+    if reverse:
+        return [c.asc_nulls_first() if down else c.desc_nulls_first() for c, down in keys]
+    return [c.desc_nulls_last() if down else c.asc_nulls_last() for c, down in keys]
+
+
+def positions(df: DataFrame, modes: list[str], reverse: bool = False) -> DataFrame:
     """Position of every game in its user's library, one column per order; all share one shuffle by user."""
-    ranks = [F.row_number().over(Window.partitionBy("user_id").orderBy(*sort_keys(m))).cast("long").alias(f"by_{m}") for m in modes]
+    ranks = [F.row_number().over(Window.partitionBy("user_id").orderBy(*sort_keys(m, reverse))).cast("long").alias(f"by_{m}") for m in modes]
     return df.select("user_id", "appid", *ranks)
 
 
+def protected_ids(pins: DataFrame, snoozes: DataFrame, picks: DataFrame) -> DataFrame:
+    """Games (``user_id``, ``appid``) that a clean-up must not ask about: pinned, snoozed or the current pick."""
+    every = pins.select("user_id", "appid").unionByName(snoozes.select("user_id", "appid")).unionByName(picks.select("user_id", "appid"))
+    return every.filter("appid is not null").distinct()
+
+
+def settled(games: DataFrame, candidates: DataFrame, standing: DataFrame) -> DataFrame:
+    """Active games that need no review: neither a candidate of the clean-up nor under a standing verdict."""
+    keys = ["user_id", "appid"]
+    active = games.filter(~F.col("status").isin("Completed", "Slept"))
+    return active.join(candidates.select(*keys), keys, "left_anti").join(standing.select(*keys).distinct(), keys, "left_anti")
+
+
 def recent_activity(df: DataFrame, k: int = SHOWN) -> DataFrame:
     """The k games that each user played last."""
     played = df.filter((F.col("hours") > 0) & F.col("last_played_at").isNotNull())

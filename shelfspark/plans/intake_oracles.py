@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..operators import validation as v
-from .oracles import ACTIVE, CAT, GOALS, LIB, OWN, pool
+from . import rule_oracles as rules
+from .oracles import ACTIVE, APPEAL, CAT, GOALS, LIB, OWN, pool
 
 P = "p AS (SELECT p_partkey AS k, p_name FROM part)"
 _SEP = "array_to_string(list_filter([{}], lambda x: x IS NOT NULL), ' ')"
@@ -84,6 +85,38 @@ def stage(name: str, count: str) -> str:
     return f"{{'stage': '{name}', 'count': {count}, 'detail': NULL::VARCHAR}},"
 
 
+def _details() -> str:
+    """The lines of both setups; strengths and headlines as in the shorter query of a draw for something new."""
+    grade = lambda x, high, low: f"CASE WHEN {x} >= {high} THEN 'perfect' WHEN {x} >= {low} THEN 'strong' ELSE 'good' END"
+    line = lambda kind, strength, headline, detail: f"{{'kind': '{kind}', 'strength': {strength}, 'headline': {headline}, 'detail': {detail}}}"
+    whole = lambda x: f"CAST(floor({x} + 0.5) AS BIGINT)"
+    left, share = "CASE WHEN NOT endless THEN remaining END", "CAST(floor(least(1, review_positive / review_total) * 100 + 0.5) AS BIGINT) || '% positive '"
+    selection = "CASE WHEN n > 1 THEN " + line("selection", "CASE WHEN rank <= 3 THEN 'perfect' WHEN rank <= 10 THEN 'strong' ELSE 'good' END",
+        f"CASE WHEN rank = 1 THEN 'Best fit' ELSE 'Ranked ' || {rules.ORDINAL('rank')} END || ' of ' || n || ' games'", "'Scored ' || score || '/100 against everything else your setup allows.'") + " END"
+    session = line("session", grade(rules.EVENING, 0.93, 0.8), f"CASE WHEN endless THEN 'Plays to any length' ELSE {rules.fit(rules.EVENING, 'Ideal evening session length', 'Good evening session length', 'Workable evening session length')} END",
+        f"""CASE WHEN endless THEN 'No fixed ending, so you can stop whenever you like.' WHEN remaining IS NULL THEN 'No length estimate yet, so this is neither helped nor penalised.'
+        ELSE CASE WHEN remaining < 1 THEN 'Under an hour left' ELSE 'Roughly ' || {whole('remaining')} || 'h left' END || CASE WHEN remaining >= 10 AND remaining <= 30 THEN ' — a few evenings, which is exactly the shape you asked for.' ELSE ', so an evening covers a good chunk of it.' END END""")
+    mood = "CASE WHEN intense >= 1 OR drivers <> '' THEN " + line("mood", grade("intense", 7, 5), "CASE WHEN intense >= 7 THEN 'Perfect' WHEN intense >= 5 THEN 'Strong' ELSE 'Fair' END || ' Intense match'",
+        "CASE WHEN drivers <> '' THEN 'Tagged ' || replace(drivers, '|', ', ') || ' — that is what gives it the Intense feel.' WHEN intense >= 5 THEN 'Its overall tag mix reads strongly Intense.' ELSE 'Nothing about it pulls against a Intense night.' END") + " END"
+    goal = "CASE WHEN percent > 0 THEN " + line("goal", grade("percent", 80, 40), f"CASE WHEN ({left}) IS NULL THEN percent || '% through' ELSE 'About ' || greatest(1, {whole('remaining')}) || 'h from the credits' END",
+        f"'You''re ' || percent || '% through' || CASE WHEN ({left}) IS NULL THEN ', so finishing it is realistic.' ELSE ' a game of roughly ' || {whole('estimate / 60')} || 'h — the ending is genuinely in reach.' END") + " END"
+    pause = f"CASE WHEN {rules.PAUSED_LONG} IS NOT NULL THEN " + line("dormancy", "'strong'", rules.PAUSED_LONG,
+        f"'Last played ' || strftime(last_played_at, '%B %Y') || CASE WHEN {rules.PAUSE_DAYS} >= 365 THEN '. This is exactly the kind of game the Vault exists to resurface.' WHEN {rules.PAUSE_DAYS} >= 60 THEN ', so it is well overdue another look.' ELSE '.' END") + " END"
+    genre = f"CASE WHEN len({rules.SHARED}) > 0 THEN " + line("genre", f"CASE WHEN len({rules.SHARED}) = 3 THEN 'perfect' ELSE 'strong' END", f"array_to_string({rules.SHARED}, ' and ') || ', as asked'",
+        f"'You filtered for Action, RPG, Strategy and this matches ' || len({rules.SHARED}) || ' of 3.'") + " END"
+    across = f"across ' || {rules.COUNT('review_total')} || ' reviews"
+    liked = "CASE WHEN kind <> 'none' THEN " + line("appeal", "CASE WHEN points >= 3 THEN 'perfect' WHEN points > 0 THEN 'strong' ELSE 'good' END", rules.LIKED,
+        f"""CASE kind WHEN 'phenomenon' THEN {share} || '{across} — this one is a landmark.' WHEN 'acclaimed' THEN {share} || '{across}.'
+        WHEN 'hidden-gem' THEN {share} || 'from only ' || {rules.COUNT('review_total')} || ' reviews — beloved by the few who found it.' ELSE 'Only ' || {share} || '{across}, so expect a rough edge or two.' END""") + " END"
+    taste = "CASE WHEN appid % 5 = 0 THEN " + line("taste", "CASE WHEN appid % 9 >= 5 THEN 'perfect' ELSE 'strong' END", "genre || ' lands well for you'", "'Drawn from what you have actually launched and liked before, not what you told us.'") + " END"
+
+    def of(name: str, goal_of_pool: str, lines: list[str]) -> str:
+        rows = f"m AS (SELECT d.*, kind, points, (SELECT count(*) FROM scored s WHERE s.user_id = d.user_id) AS n, {rules.contributors('intense').replace(' AS intense', ' AS drivers')} FROM deck d JOIN appeals USING (appid))"
+        return w(f"{pool(goal_of_pool)}, {APPEAL}, {rows}, i AS (SELECT user_id, appid, unnest(list_filter([{', '.join(lines)}], lambda x: x IS NOT NULL)) AS i FROM m)", f"SELECT '{name}' AS setup, user_id, appid, i.* FROM (SELECT user_id, appid, i FROM i)")
+
+    return f"SELECT * FROM ({of('finish', 'finish', [selection, session, mood, goal, pause, genre, liked, taste])}) UNION ALL SELECT * FROM ({of('quick', 'new', [selection, pause, liked])})"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "payload_contains": w(f"""{P}, q AS (SELECT k, k % 19 = 0 AS broken, k % 19 <> 0 AND k % 23 = 0 AS listed, k % 19 <> 0 AND k % 23 <> 0 AS obj FROM p)""",
@@ -127,6 +160,7 @@ def oracle_sql() -> dict[str, str]:
         "quick_repick": w(pool("new"), """, counted AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM deck), first AS (SELECT user_id, appid FROM counted WHERE rank - 1 = floor((user_id % 1000 + 0.5) / 1000 * n)),
             rest AS (SELECT c.*, row_number() OVER (PARTITION BY c.user_id ORDER BY rank) AS place, count(*) OVER (PARTITION BY c.user_id) AS left_ FROM counted c LEFT JOIN first f ON f.user_id = c.user_id AND f.appid = c.appid WHERE f.appid IS NULL OR n = 1)
             SELECT user_id, appid FROM rest WHERE place - 1 = floor((user_id % 1000 + 0.5) / 1000 * left_)"""),
+        "match_details": _details(),
         "manual_classes": w(f"""{CAT}, r AS (SELECT appid, appid - 1 AS k, CASE WHEN (appid - 1) % 6 = 2 THEN 'steam_label:utilities' WHEN (appid - 1) % 4 = 3 THEN 'release_channel:beta' END AS rule FROM cat)""",
             """SELECT appid, CASE WHEN k % 5 IN (1, 4) THEN true WHEN k % 5 = 0 THEN false ELSE rule IS NOT NULL END AS out,
             CASE WHEN k % 5 = 1 THEN 'bad port' WHEN k % 5 = 4 THEN 'This AppID was manually excluded from the game catalogue.' WHEN k % 5 = 0 THEN NULL WHEN rule LIKE 'steam_label%' THEN 'Steam classified this AppID as utilities, not a game.'

@@ -228,6 +228,21 @@ def quick_repick(s, d):
     return draw.quick_pick(deck, base.user_u(), first).select("user_id", "appid")
 
 
+def match_details(s, d):
+    """The whole case for the ranked picks of a draw to finish something, and of a draw without any setup."""
+    taste = F.when(F.col("appid") % 5 == 0, F.concat("genre", F.lit(" lands well for you")))
+    points = (F.col("appid") % 9).cast("double")
+
+    def told(name, goal, why):
+        pool = base.pool(s, d, goal)
+        sizes = pool.groupBy("user_id").agg(F.count("*").alias("pool_size"))
+        rows = draw.deck(pool).join(sizes, "user_id").withColumn("i", F.explode(why))
+        return rows.select(F.lit(name).alias("setup"), "user_id", "appid", "i.*")
+
+    guided = draw.explanation("evening", "intense", "finish", base.CHOSEN, F.col("pool_size"), base.now(), taste, points)
+    return told("finish", "finish", guided).unionByName(told("quick", "new", draw.explanation(None, None, None, [], F.col("pool_size"), base.now())))
+
+
 def manual_classes(s, d):
     """Why entries stay out: decisions by hand with their notes, then the rules."""
     rows = adapters.catalog(s, d).withColumn("k", F.col("appid") - 1)
@@ -239,7 +254,7 @@ def manual_classes(s, d):
 
 NAMES = (
     "payload_contains payloads_checked draws_checked run_status run_totals landed_attempts landed_misses catalog_details import_library import_catalog merged_sources "
-    "owner_pages_checked bootstrap funnel_setups quick_repick manual_classes"
+    "owner_pages_checked bootstrap funnel_setups quick_repick manual_classes match_details"
 ).split()
 
 

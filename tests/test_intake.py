@@ -7,14 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.operators import catalogue, draw, merges, semistructured, validation
-from shelfspark.plans import intake_queries
+from shelfspark.plans import intake_queries, shelf_queries
 from shelfspark.session import shared_path
 from shelfspark.sources import landed, parsers
 
 from .test_entry import test_against_sql as against_sql
 
 
-@pytest.mark.parametrize("name", intake_queries.NAMES)
+@pytest.mark.parametrize("name", intake_queries.NAMES + shelf_queries.NAMES)
 def test_intake_against_sql(spark, name):
     against_sql(spark, name)
 
@@ -169,3 +169,14 @@ def test_genres_meet_by_canonical_keys(spark):
     assert [(r.stage, r["count"]) for r in draw.funnel_stages(games, snoozed, None, [], deck_size=0).orderBy("place").collect()] == [("library", 3), ("active", 2), ("snoozes", 1), ("available", 1), ("shortlist", 0)]
     with pytest.raises(ValueError, match="no more than 3"):
         draw.funnel_stages(games, nobody, None, ["a", "b", "c", "d"])
+
+
+def test_explanations_claim_what_the_draw_used(spark):
+    schema = "rank long, score long, fits array<string>, endless boolean, remaining double, estimate double, percent long, hours double, labels array<string>, moods struct<intense:long>, last_played_at timestamp, review_positive long, review_total long"
+    row = spark.createDataFrame([(1, 88, ["short"], False, 1.02, 1020.0, 94, 16.0, ["Horror"], (7,), None, 0, 0)], schema)
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    told = lambda *setup: {i.kind: i for i in row.select(draw.explanation(*setup, F.lit(3), now).alias("i")).first().i}
+    assert set(told(None, None, None, [])) == {"selection"}
+    goal = told("short", None, "finish", [])["goal"]
+    assert (goal.strength, goal.headline) == ("perfect", "About 1h from the credits") and "94%" in goal.detail and "17h" in goal.detail
+    assert all(i.detail for i in told("short", "intense", "finish", ["horror"]).values()) and "genre" in told("short", "intense", "finish", ["HORROR"])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.rules import LEGACY_PRESETS, PRESETS
 from ..operators import catalogue, draw, playtime, preferences, scoring, shelf, stats
-from ..session import shared_path
+from ..session import shared_path, written
 from ..sources import adapters, parsers
 from ..streaming import events as live
 
@@ -97,7 +97,7 @@ def genre_idf(s, d):
 
 
 def preference_points(s, d):
-    rows = tallies(s, d)
+    rows = written(tallies(s, d), "tallies")  # read four times
     return preferences.points(rows, preferences.globals_of(rows), "intense")
 
 
@@ -167,8 +167,8 @@ def verdicts(s: SparkSession, d: str) -> DataFrame:
 
 
 def purge_queue(s, d):
-    rows = lib(s, d)
-    return stats.purge_queue(rows, adapters.user_games(s, d).filter(F.col("appid") % 13 == 0).select("user_id", "appid"), verdicts(s, d), now())
+    rows = written(lib(s, d), "library")  # protected games come from it, too
+    return stats.purge_queue(rows, rows.filter(F.col("appid") % 13 == 0).select("user_id", "appid"), verdicts(s, d), now())
 
 
 def purge_standing(s, d):

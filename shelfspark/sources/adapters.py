@@ -87,8 +87,8 @@ def pins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running total of minutes per user and day."""
-    day = read(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.floor(F.sum("value")).alias("minutes"))
+    """Running total of minutes per user and day: whole minutes of each day's exact sum, as a sum of doubles depends on its order."""
+    day = read(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.floor(F.sum(F.col("value").cast("decimal(28,6)"))).cast("long").alias("minutes"))
     return day.select("user_id", "day", F.sum("minutes").over(Window.partitionBy("user_id").orderBy("day")).alias("total_minutes"))
 
 

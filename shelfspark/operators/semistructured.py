@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NUMBERS = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|INT|SMALLINT|TINYINT)$"
+NUMBERS = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL|INT|SMALLINT|TINYINT)$"
 
 
 def kind_of(value: Column) -> Column:
     """The type of a variant, arrays and objects without what they hold: ``STRING``, ``BOOLEAN``, ``VOID``, ``ARRAY``, ``OBJECT``, ``NUMBER``; null where there is none."""
     kind = F.regexp_extract(F.schema_of_variant(value), r"^[A-Z]+", 0)
-    return F.when(value.isNotNull(), F.when(F.schema_of_variant(value).rlike(NUMBERS), "NUMBER").otherwise(kind))
+    return F.when(value.isNotNull(), F.regexp_replace(kind, NUMBERS, "NUMBER"))
 
 
 def member(value: Column, key: str) -> Column:

@@ -1,6 +1,6 @@
 """Validation of JSON payloads against field rules: every violation of a row at once, typed values, accepted and refused rows.
 
-A schema is a list of :class:`Field` and of cross-field rules.  All of it becomes one projection: the payload is parsed once, and the table
+A schema is a list of :class:`Field` and of cross-field rules.  All of it becomes a few projections: payload and values are read once, and the table
 splits by whether a row has violations.
 """
 
@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .semistructured import items, kind_of, member
+from .semistructured import kind_of, member
 
 BLANKS = " \t\r\n\x0b\x0c"
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -42,26 +42,35 @@ class Field:
     item: str = "text"
     path: str | None = None  # where it is below the payload, with dots
 
-    def read(self, payload: Column) -> tuple[Column, list[tuple[str, Column]]]:
-        """The typed value, and the violations with the condition of each."""
-        raw = payload
+    def raw(self, payload: Column) -> Column:
+        """What the payload holds for the field."""
+        out = payload
         for part in (self.path or self.name).split("."):
-            raw = member(raw, part)
-        kind = kind_of(raw)
-        text = F.btrim(F.try_variant_get(raw, "$", "string"), F.lit(BLANKS))
-        missing, null = raw.isNull(), kind == "VOID"
-        if self.blank:
-            missing = missing | ((kind == "STRING") & (F.try_variant_get(raw, "$", "string") == ""))
-        wanted = {"text": ["STRING"], "number": ["NUMBER"], "flag": ["BOOLEAN"], "list": ["ARRAY"]}[self.kind]
+            out = member(out, part)
+        return out
+
+    def value(self, raw: Column, kind: Column, text: Column) -> Column:
+        """The typed value of a raw one of some :func:`kind_of` and trimmed ``text``; null where the kind does not fit."""
+        if self.kind == "number" and self.loose:
+            value = F.when((kind == "VOID") | ((kind == "STRING") & (text == "")), 0.0).when((kind == "NUMBER") | _numeric(kind, text), F.try_variant_get(raw, "$", "double"))
+            return F.when(kind == "BOOLEAN", F.try_variant_get(raw, "$", "boolean").cast("double")).otherwise(value)
+        cast = {"text": text, "number": F.try_variant_get(raw, "$", "double"), "flag": F.try_variant_get(raw, "$", "boolean"), "list": F.try_variant_get(raw, "$", "array<string>")}
+        return F.when(kind == KINDS[self.kind], cast[self.kind])
+
+    def missing(self, raw: Column, kind: Column) -> Column:
+        return raw.isNull() | ((kind == "STRING") & (F.try_variant_get(raw, "$", "string") == "")) if self.blank else raw.isNull()
+
+    def filled(self, value: Column, missing: Column) -> Column:
+        """The value or what stands for a missing one."""
+        return F.when(missing, F.lit(self.default)).otherwise(value) if self.default is not None else F.when(~missing, value)
+
+    def faults(self, raw: Column, kind: Column, text: Column, value: Column, missing: Column) -> list[tuple[str, Column]]:
+        """The violations with the condition of each."""
+        null = kind == "VOID"
         if self.kind == "number" and self.loose:
-            numeric = (kind == "STRING") & ((text == "") | text.rlike(NUMBER))
-            value = F.when(null | ((kind == "STRING") & (text == "")), 0.0).when((kind == "NUMBER") | numeric, F.try_variant_get(raw, "$", "double"))
-            value = F.when(kind == "BOOLEAN", F.try_variant_get(raw, "$", "boolean").cast("double")).otherwise(value)
-            wrong = ~(null | kind.isin("NUMBER", "BOOLEAN") | numeric)
+            wrong = ~(null | kind.isin("NUMBER", "BOOLEAN") | _numeric(kind, text))
         else:
-            cast = {"text": text, "number": F.try_variant_get(raw, "$", "double"), "flag": F.try_variant_get(raw, "$", "boolean"), "list": F.try_variant_get(raw, "$", "array<string>")}
-            value = F.when(kind.isin(*wanted), cast[self.kind])
-            wrong = ~kind.isin(*wanted) & ~(null & F.lit(self.nullable or self.blank))
+            wrong = ~(kind == KINDS[self.kind]) & ~(null & F.lit(self.nullable or self.blank))
         rules = [("required", missing & F.lit(self.default is None and not (self.optional or self.blank))), ("type", ~missing & wrong)]
         measure = {"text": F.length(value), "number": value, "list": F.size(value)}.get(self.kind)
         if self.low is not None:
@@ -76,10 +85,16 @@ class Field:
             rules.append(("pattern", ~value.rlike(self.pattern)))
         if self.kind == "list":
             good = (lambda x: kind_of(x) == "STRING") if self.item == "text" else (lambda x: (kind_of(x) == "NUMBER") & (F.try_variant_get(x, "$", "double") > 0) & (F.try_variant_get(x, "$", "double") % 1 == 0))
-            rules.append(("item", F.exists(items(raw), lambda x: ~F.coalesce(good(x), F.lit(False)))))
-        checked = [(code, condition if code in ("required", "type") else condition & ~missing) for code, condition in rules]
-        filled = F.when(missing, F.lit(self.default)).otherwise(value) if self.default is not None else F.when(~missing, value)
-        return filled, checked
+            held = F.when(kind == "ARRAY", F.try_variant_get(raw, "$", "array<variant>"))
+            rules.append(("item", F.exists(held, lambda x: ~F.coalesce(good(x), F.lit(False)))))
+        return [(code, condition if code in ("required", "type") else condition & ~missing) for code, condition in rules]
+
+
+KINDS = {"text": "STRING", "number": "NUMBER", "flag": "BOOLEAN", "list": "ARRAY"}
+
+
+def _numeric(kind: Column, text: Column) -> Column:
+    return (kind == "STRING") & ((text == "") | text.rlike(NUMBER))
 
 
 @dataclass
@@ -96,25 +111,30 @@ def checked(df: DataFrame, payload_col: str, schema: Schema) -> DataFrame:
 
     ``payload_col`` holds JSON texts; one that is no object has the single violation ``payload:object``.  Cross-field rules are judged where no field is at fault.
     """
-    parsed = df.withColumn("_payload", F.try_parse_json(payload_col))
-    payload = F.col("_payload")
-    values, faults = {}, []
-    for f in schema.fields:
-        values[f.name], own = f.read(payload)
-        faults += [F.when(condition, F.lit(f"{f.name}:{code}")) for code, condition in own]
+    fields = {f"_{i}": f for i, f in enumerate(schema.fields)}
+    of = lambda part: {c: F.col(c + part) for c in fields}
+    add = lambda rows, part, make: rows.withColumns({c + part: make(c, f) for c, f in fields.items()})
+    parsed = df.withColumn("_payload", F.try_parse_json(payload_col)).withColumn("_keys", F.map_keys(F.try_variant_get("_payload", "$", "map<string,variant>")))
+    # each step is a projection of its own, so that what later steps read often is computed once a row
+    steps = add(parsed, "raw", lambda c, f: f.raw(F.col("_payload")))
+    steps = steps.withColumns({f"{c}{part}": make(F.col(f"{c}raw")) for c in fields for part, make in (("kind", kind_of), ("text", lambda x: F.btrim(F.try_variant_get(x, "$", "string"), F.lit(BLANKS))))})
+    raw, kind, text, value, missing = map(of, ("raw", "kind", "text", "value", "missing"))
+    steps = add(add(steps, "missing", lambda c, f: f.missing(raw[c], kind[c])), "value", lambda c, f: f.value(raw[c], kind[c], text[c]))
+    steps = add(steps, "filled", lambda c, f: f.filled(value[c], missing[c]))
+    values = {f.name: F.col(f"{c}filled") for c, f in fields.items()}
+    faults = [F.when(condition, F.lit(f"{f.name}:{code}")) for c, f in fields.items() for code, condition in f.faults(raw[c], kind[c], text[c], value[c], missing[c])]
     if schema.strict:
-        keys = F.map_keys(F.try_variant_get(payload, "$", "map<string,variant>"))
-        unknown = F.array_sort(F.array_except(keys, F.array(*[F.lit(f.name) for f in schema.fields])))
+        unknown = F.array_sort(F.array_except("_keys", F.array(*[F.lit(f.name) for f in schema.fields])))
         more = F.transform(unknown, lambda k: F.concat(k, F.lit(":unknown_key")))
     else:
         more = F.array().cast("array<string>")
-    single = F.concat(F.array_compact(F.array(*faults)), more)
     crossed = F.array_compact(F.array(*[F.when(rule(values), F.lit(name)) for name, rule in schema.rules])) if schema.rules else F.array().cast("array<string>")
-    of_object = F.when(F.size(single) > 0, single).otherwise(crossed)
-    violations = F.when(F.coalesce(kind_of(payload) == "OBJECT", F.lit(False)), of_object).otherwise(F.array(F.lit("payload:object")))
-    out = parsed.withColumn("violations", violations).withColumn("accepted", F.size("violations") == 0)
-    typed = F.struct(*[value.alias(name) for name, value in values.items()])
-    return out.withColumn("row", F.when(F.col("accepted"), typed)).drop("_payload")
+    single = steps.withColumn("_single", F.concat(F.array_compact(F.array(*faults)), more))
+    of_object = F.when(F.size("_single") > 0, F.col("_single")).otherwise(crossed)
+    violations = F.when(F.col("_keys").isNotNull(), of_object).otherwise(F.array(F.lit("payload:object")))
+    out = single.withColumn("violations", violations).withColumn("accepted", F.size("violations") == 0)
+    typed = F.struct(*[v.alias(name) for name, v in values.items()])
+    return out.withColumn("row", F.when(F.col("accepted"), typed)).select(*df.columns, "violations", "accepted", "row")
 
 
 def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,7 @@ from ..operators import catalogue, draw, merges, semistructured, validation
 from ..session import shared_path, written
 from ..sources import adapters, landed, parsers
 from . import queries as base
-from .rule_queries import part, pick
+from .rule_queries import part, pick, spread
 from .store_queries import links, quarantined, shelves
 
 UUID = "0a1b2c3d-0000-4000-8000-"
@@ -50,7 +50,7 @@ def game_payloads(s: SparkSession, d: str) -> DataFrame:
         F.when(k % 29 == 0, made('"notes":"', F.repeat(F.lit("n"), 5001), '"')), F.when(k % 31 == 0, '"extra":1,"Another":{}'), pick(k, (None, '"priority":"Must Play"', '"priority":"must play"')),
     ]
     text = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
-    return part(s, d).select("k", F.when(k % 37 == 0, F.lit("[]")).when(k % 41 == 0, F.lit("{oops")).otherwise(text).alias("payload"))
+    return spread(s, d, "p_name").select("k", F.when(k % 37 == 0, F.lit("[]")).when(k % 41 == 0, F.lit("{oops")).otherwise(text).alias("payload"))
 
 
 def payloads_checked(s, d):
@@ -69,7 +69,7 @@ def draw_payloads(s: SparkSession, d: str) -> DataFrame:
         pick(k, ('"collection_id":null', '"collection_id":null', '"collection_id":"c"', '"collection_id":""')), pick(k, ('"selected_genres":[]', '"selected_genres":["a"]', '"selected_genres":[]', '"selected_genres":["a","b","c","d"]', '"selected_genres":[1]')),
         '"eligible_pool_count":4', pick(k, ('"reroll_index":0', '"reroll_index":0', '"reroll_index":1.5')), pick(k, (None, '"finalist_appids":[1,2]', '"finalist_appids":[0]', '"more":1')),
     ]
-    return part(s, d).select("k", F.concat(F.lit("{"), F.concat_ws(",", *[F.lit(f) if isinstance(f, str) else f for f in fields]), F.lit("}")).alias("payload"))
+    return spread(s, d).select("k", F.concat(F.lit("{"), F.concat_ws(",", *[F.lit(f) if isinstance(f, str) else f for f in fields]), F.lit("}")).alias("payload"))
 
 
 def draws_checked(s, d):

@@ -39,6 +39,11 @@ def part(s: SparkSession, d: str) -> DataFrame:
     return adapters.read(s, d, "part").withColumn("k", F.col("p_partkey"))
 
 
+def spread(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    """``part`` over all cores: the row groups of a small file would leave costly expressions to a task or two."""
+    return part(s, d).select("k", *columns).repartition("k")
+
+
 def top_level_genres(s, d):
     title = F.concat_ws(" ", "p_name", F.when(F.col("k") % 5 == 0, "Rally"))
     rows = part(s, d).select("k", title.alias("title"), split_genres(pick(F.col("k"), RAW_GENRES)).alias("labels"), pick(F.col("k"), RAW_GENRES).alias("raw"))

@@ -2,9 +2,12 @@
 
 import duckdb
 import pandas as pd
+import pytest
 
 import __spark_entry__ as entry
+from shelfspark.operators import validation
 from shelfspark.sources import adapters
+from tests.test_entry import SF
 
 
 def test_minutes_of_a_day_do_not_depend_on_the_order_of_its_events(spark, tmp_path):
@@ -16,3 +19,15 @@ def test_minutes_of_a_day_do_not_depend_on_the_order_of_its_events(spark, tmp_pa
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
     assert con.execute(entry.oracle_sql()["snapshots_newest"]).fetchdf()["high"].tolist() == [1, 1, 1]
+
+
+def optimised(spark, query, folder=SF):
+    return entry.queries()[query](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize(("query", "schema"), [("payloads_checked", validation.GAME), ("draws_checked", validation.DRAW)])
+def test_payloads_are_read_once_and_by_all_cores(spark, query, schema):
+    plan = optimised(spark, query)
+    assert "RepartitionByExpression" in plan  # a small file has one row group, and so one task
+    kinds = len(schema.fields) + sum(f.kind == "list" for f in schema.fields) * 2  # and those of the items of lists
+    assert 0 < plan.count("schema_of_variant") + plan.count("SchemaOfVariant") <= 3 * kinds

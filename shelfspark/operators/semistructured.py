@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 NUMBERS = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL|INT|SMALLINT|TINYINT)$"
 
 
@@ -21,9 +23,13 @@ def member(value: Column, key: str) -> Column:
     return F.try_variant_get(value, f"$['{key}']", "variant")
 
 
+def is_object(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+
+
 def items(value: Column) -> Column:
     """The items of an array; null for anything else."""
-    return F.when(kind_of(value) == "ARRAY", F.try_variant_get(value, "$", "array<variant>"))
+    return F.try_variant_get(value, "$", "array<variant>")
 
 
 def contains(value: Column, pattern) -> Column:
@@ -69,23 +75,25 @@ def children(value: Column) -> Column:
     fields = F.transform(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
     nothing = F.lit(None).cast("string")
     listed = F.transform(items(value), lambda x: F.struct(nothing.alias("key"), x.alias("value")))
-    return F.when(kind_of(value) == "OBJECT", fields).otherwise(listed)
+    return F.coalesce(fields, listed)
 
 
 def walk(df: DataFrame, id_cols: list[str], value_col: str, keep) -> DataFrame:
     """(ids, ``depth``, ``key``, ``value``) of nested values that ``keep(key, value)`` accepts, whatever the depth.
 
-    Level by level: each is exploded from the one before, so the work follows the values and no row is ever walked in Python.  The
-    number of levels is that of the deepest row.
+    Level by level: each is exploded from the one before and written with what was found in it, so no level is computed twice and no row is
+    ever walked in Python.  The number of levels is that of the deepest row.
     """
     level = df.select(*id_cols, F.lit(0).alias("depth"), F.lit(None).cast("string").alias("key"), F.col(value_col).alias("value"))
     found = level.filter(F.lit(False))
     while True:
-        level = level.select(*id_cols, (F.col("depth") + 1).alias("depth"), F.explode(children(F.col("value"))).alias("c")).select(*id_cols, "depth", "c.key", "c.value")
-        found = found.unionByName(level.filter(F.coalesce(keep(F.col("key"), F.col("value")), F.lit(False))))
-        level = level.filter(kind_of(F.col("value")).isin("OBJECT", "ARRAY"))
-        if level.isEmpty():
+        inside = level.select(*id_cols, (F.col("depth") + 1).alias("depth"), F.explode(children(F.col("value"))).alias("c")).select(*id_cols, "depth", "c.key", "c.value")
+        marked = inside.withColumn("_found", F.coalesce(keep(F.col("key"), F.col("value")), F.lit(False)))
+        rows = written(marked.filter(F.col("_found") | children(F.col("value")).isNotNull()), "walk")
+        if rows.isEmpty():
             return found
+        level = rows.drop("_found")
+        found = found.unionByName(rows.filter("_found").drop("_found"))
 
 
 PARTIAL_KEYS = ("failed", "failures", "retried", "deferred")
@@ -100,12 +108,12 @@ def is_partial(key: Column, value: Column) -> Column:
 
 def run_status(runs: DataFrame, id_col: str, summary_col: str) -> DataFrame:
     """``partial`` or ``succeeded`` for each run, by all of its summary (a variant); a summary that is no object has succeeded."""
-    objects = runs.filter(kind_of(F.col(summary_col)) == "OBJECT")
+    objects = runs.filter(is_object(F.col(summary_col)))
     left = walk(objects, [id_col], summary_col, is_partial).select(id_col).distinct().withColumn("_left", F.lit(True))
     return runs.join(left, id_col, "left").select(*runs.columns, F.when(F.col("_left"), "partial").otherwise("succeeded").alias("status"))
 
 
 def numeric_counts(runs: DataFrame, id_cols: list[str], summary_col: str) -> DataFrame:
     """(ids, ``key``, ``count``): the numbers at the top of each summary."""
-    rows = runs.filter(kind_of(F.col(summary_col)) == "OBJECT").select(*id_cols, F.explode(children(F.col(summary_col))).alias("c"))
+    rows = runs.filter(is_object(F.col(summary_col))).select(*id_cols, F.explode(children(F.col(summary_col))).alias("c"))
     return rows.filter(kind_of(F.col("c.value")) == "NUMBER").select(*id_cols, "c.key", F.try_variant_get(F.col("c.value"), "$", "double").alias("count"))

@@ -85,7 +85,8 @@ def worker_summaries(s: SparkSession, d: str) -> DataFrame:
         made('{"imported":', k % 50, ',"ratio":', k % 4, '.5,"note":"failed","retried":', F.when(k % 9 == 0, "2").otherwise("0"), ',"failures":[', F.when(k % 11 == 0, '{"id":1}').otherwise(""), '],"batches":[{"deep":[{"priceDeferred":',
              F.when(k % 13 == 0, "3").otherwise("0"), '}],"failed":', F.when(k % 7 == 0, '"1"').otherwise("0"), '},{"deferred":null}],"failuresSeen":4}')
     )
-    return adapters.read(s, d, "orders").select(k.alias("run_id"), (F.col("o_custkey")).alias("worker"), F.try_parse_json(text).alias("summary"))
+    rows = adapters.read(s, d, "orders").select("o_orderkey", "o_custkey").repartition("o_orderkey")  # a small file is one task
+    return rows.select(k.alias("run_id"), (F.col("o_custkey")).alias("worker"), F.try_parse_json(text).alias("summary"))
 
 
 def run_status(s, d):

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from shelfspark.operators import validation
+from shelfspark.operators import semistructured, validation
 from shelfspark.sources import adapters
 from tests.test_entry import SF
 
@@ -31,3 +31,10 @@ def test_payloads_are_read_once_and_by_all_cores(spark, query, schema):
     assert "RepartitionByExpression" in plan  # a small file has one row group, and so one task
     kinds = len(schema.fields) + sum(f.kind == "list" for f in schema.fields) * 2  # and those of the items of lists
     assert 0 < plan.count("schema_of_variant") + plan.count("SchemaOfVariant") <= 3 * kinds
+
+
+def test_levels_of_a_walk_are_computed_once(spark):
+    rows = spark.sql("""SELECT 1 AS id, parse_json('{"a":[{"failed":1}],"b":{"c":{"failed":2}}}') AS v""")
+    found = semistructured.walk(rows, ["id"], "v", lambda key, value: key == "failed")
+    assert {(r.depth, r.key) for r in found.select("depth", "key").collect()} == {(3, "failed")}
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()

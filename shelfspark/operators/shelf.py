@@ -31,9 +31,14 @@ def sort_keys(mode: str, reverse: bool = False) -> list[Column]:
 
 
 def positions(df: DataFrame, modes: list[str], reverse: bool = False) -> DataFrame:
-    """Position of every game in its user's library, one column per order; all share one shuffle by user."""
-    ranks = [F.row_number().over(Window.partitionBy("user_id").orderBy(*sort_keys(m, reverse))).cast("long").alias(f"by_{m}") for m in modes]
-    return df.select("user_id", "appid", *ranks)
+    """Position of every game in its user's library, one column per order.
+
+    Each order has a shuffle of its own by user and order: in one stage, a task would hold a library in as many sorts as there are orders.
+    """
+    own = lambda m: Window.partitionBy(F.struct("user_id", F.lit(m).alias("mode"))).orderBy(*sort_keys(m, reverse))
+    for m in modes:
+        df = df.withColumn(f"by_{m}", F.row_number().over(own(m)).cast("long"))
+    return df.select("user_id", "appid", *[f"by_{m}" for m in modes])
 
 
 def protected_ids(pins: DataFrame, snoozes: DataFrame, picks: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from shelfspark.operators import semistructured, validation
+from shelfspark.operators import semistructured, shelf, validation
 from shelfspark.sources import adapters
 from tests.test_entry import SF
 
@@ -38,3 +38,11 @@ def test_levels_of_a_walk_are_computed_once(spark):
     found = semistructured.walk(rows, ["id"], "v", lambda key, value: key == "failed")
     assert {(r.depth, r.key) for r in found.select("depth", "key").collect()} == {(3, "failed")}
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_each_library_order_has_a_stage(spark):
+    rows = spark.sql("SELECT id % 2 AS user_id, id AS appid, CAST(id % 3 AS STRING) AS title, id % 5 AS hours FROM range(40)")
+    placed = shelf.positions(rows, ["title", "hours"])
+    assert placed._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    got = {r.appid: (r.by_title, r.by_hours) for r in placed.filter("user_id = 0").collect()}
+    assert got[0] == (1, 17) and got[4] == (8, 2) and sorted(p for p, _ in got.values()) == list(range(1, 21))

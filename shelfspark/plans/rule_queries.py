@@ -46,7 +46,7 @@ def spread(s: SparkSession, d: str, *columns: str) -> DataFrame:
 
 def top_level_genres(s, d):
     title = F.concat_ws(" ", "p_name", F.when(F.col("k") % 5 == 0, "Rally"))
-    rows = part(s, d).select("k", title.alias("title"), split_genres(pick(F.col("k"), RAW_GENRES)).alias("labels"), pick(F.col("k"), RAW_GENRES).alias("raw"))
+    rows = spread(s, d, "p_name").select("k", title.alias("title"), split_genres(pick(F.col("k"), RAW_GENRES)).alias("labels"), pick(F.col("k"), RAW_GENRES).alias("raw"))
     of = F.col("labels"), F.col("title")
     return rows.select(
         F.col("k").alias("p_partkey"), F.array_join(genres.top_levels(*of), "|").alias("tops"), genres.normalised_labels(*of).alias("stored"), genres.display_label(*of).alias("shown"),

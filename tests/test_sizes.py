@@ -46,3 +46,7 @@ def test_each_library_order_has_a_stage(spark):
     assert placed._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
     got = {r.appid: (r.by_title, r.by_hours) for r in placed.filter("user_id = 0").collect()}
     assert got[0] == (1, 17) and got[4] == (8, 2) and sorted(p for p, _ in got.values()) == list(range(1, 21))
+
+
+def test_genre_rows_are_spread(spark):
+    assert "RepartitionByExpression" in optimised(spark, "top_level_genres")

@@ -9,6 +9,7 @@ from ..functions.numeric import logit, recency_weight, shrunk_rate, sigmoid
 from ..functions.rules import EVENT_SIGNALS, REVIEW_SIGNALS
 from ..functions.genres import display_key
 from ..functions.text import genre_key
+from ..session import written
 
 BASELINE = "__baseline__"
 LOOKBACK_DAYS = 180
@@ -108,23 +109,30 @@ def points_of(pairs: DataFrame, rows: DataFrame, population: DataFrame, mood: st
 
 def library_weights(games: DataFrame) -> DataFrame:
     """Rarity of genres within each user's own library: ln(1 + games / games of the genre) over its mean; ``games`` has ``genres``."""
-    n = games.groupBy("user_id").agg(F.count("*").alias("n"))
-    per = games.select("user_id", F.explode(F.array_distinct("genres")).alias("genre")).groupBy("user_id", "genre").count().join(n, "user_id")
+    sets = games.groupBy("user_id", F.array_distinct("genres").alias("genres")).agg(F.count("*").alias("games"))
+    n = sets.groupBy("user_id").agg(F.sum("games").alias("n"))
+    per = sets.select("user_id", F.explode("genres").alias("genre"), "games").groupBy("user_id", "genre").agg(F.sum("games").alias("count")).join(n, "user_id")
     weight = F.log(1 + F.col("n") / F.col("count"))
     return per.select("user_id", "genre", (weight / F.avg(weight).over(Window.partitionBy("user_id"))).alias("weight"))
 
 
-def adjustment(games: DataFrame, rows: DataFrame, population: DataFrame, mood: str, least: float = 2.5) -> DataFrame:
+def adjustment(games: DataFrame, rows: DataFrame, population: DataFrame, mood: str, least: float = 2.5, library: DataFrame | None = None) -> DataFrame:
     """Weighted mean of the points of a game's genres and the reason, per ``user_id`` and ``appid`` of ``games`` (``genres``: keys in order).
 
     The reason names the genre with the greatest points by absolute value, the first of equals; games without evidence get 0.
+    Genres are weighed by the user's ``library``, which is ``games`` unless given.  What is known of a user's genres is one row per user, so games are neither
+    exploded nor shuffled by their id.
     """
-    exploded = games.select("user_id", "appid", F.posexplode("genres").alias("pos", "genre"))
-    found = points_of(exploded.select("user_id", "genre").distinct(), rows, population, mood)
-    scored = exploded.join(found, ["user_id", "genre"]).join(library_weights(games), ["user_id", "genre"])
-    strongest = F.max(F.struct(F.round(F.abs("points"), 9).alias("size"), (-F.col("pos")).alias("first"), "genre", "moody"))
-    per = scored.groupBy("user_id", "appid").agg((F.sum(F.col("points") * F.col("weight")) / F.sum("weight")).alias("points"), strongest.alias("_top"))
+    weights = library_weights(games if library is None else library)
+    found = points_of(weights.select("user_id", "genre"), rows, population, mood).join(weights, ["user_id", "genre"])
+    known = F.map_from_entries(F.collect_list(F.struct("genre", F.struct("points", "weight", "moody"))))
+    per = written(found.groupBy("user_id").agg(known.alias("_known")), "known")
+    each = F.transform("genres", lambda g, i: F.struct(F.try_element_at("_known", g).alias("of"), (-i).alias("first"), g.alias("genre")))
+    joined = games.select("user_id", "appid", "genres").join(per, "user_id", "left").withColumn("_of", F.filter(each, lambda e: e["of"].isNotNull()))
+    total = lambda value: F.aggregate("_of", F.lit(0.0), lambda acc, e: acc + value(e["of"]))
+    mean = F.when(F.size("_of") > 0, total(lambda k: k["points"] * k["weight"]) / total(lambda k: k["weight"]))
+    sizes = F.transform("_of", lambda e: F.struct(F.round(F.abs(e["of"]["points"]), 9).alias("size"), e["first"], e["genre"], e["of"]["moody"].alias("moody")))
+    told = joined.select("user_id", "appid", mean.alias("points"), F.array_max(sizes).alias("_top"))
     context = F.when(F.col("_top.moody"), f" when {mood.title()}").otherwise("")
     reason = F.when(F.col("points") >= least, F.concat(display_key(F.col("_top.genre"), "rpg"), F.lit(" lands well for you"), context))
-    joined = games.select("user_id", "appid").join(per, ["user_id", "appid"], "left")
-    return joined.select("user_id", "appid", F.coalesce("points", F.lit(0.0)).alias("points"), reason.alias("reason"))
+    return told.select("user_id", "appid", F.coalesce("points", F.lit(0.0)).alias("points"), reason.alias("reason"))

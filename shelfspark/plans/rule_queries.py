@@ -11,6 +11,7 @@ from ..functions import genres, labels, numeric
 from ..functions.rules import MOODS
 from ..functions.text import clean_name, content_hash, owner_bounds, redact, split_genres
 from ..operators import classify, draw, preferences, scoring
+from ..session import written
 from ..sources import adapters
 from . import queries as base
 
@@ -100,19 +101,28 @@ def progress_guess(s, d):
     return rows.select("appid", "guess", "percent", status.alias("status"), classify.length_label(F.col("endless"), F.col("guess")).alias("length"))
 
 
-def taste(s: SparkSession, d: str) -> DataFrame:
-    games = base.lib(s, d).select("user_id", "appid", genres.preference_genres(F.col("labels"), F.col("title")).alias("genres"))
-    rows = base.tallies(s, d)
-    return preferences.adjustment(games, rows, preferences.globals_of(rows), "intense")
+def genre_keys(s: SparkSession, d: str) -> DataFrame:
+    """Genres in which preferences count, found once per game and by all cores."""
+    games = adapters.facts(s, d).select("appid", "labels", "title").repartition("appid")
+    return games.select("appid", genres.preference_genres(F.col("labels"), F.col("title")).alias("genres"))
+
+
+def taste(s: SparkSession, d: str, library: DataFrame, games: DataFrame) -> DataFrame:
+    rows = written(base.tallies(s, d), "tallies")
+    return preferences.adjustment(games, rows, preferences.globals_of(rows), "intense", library=library)
 
 
 def preference_adjustment(s, d):
-    return taste(s, d).select("user_id", "appid", F.round("points", 5).alias("points"), "reason")
+    games = written(adapters.user_games(s, d).select("user_id", "appid").join(genre_keys(s, d), "appid"), "games")
+    return taste(s, d, games, games).select("user_id", "appid", F.round("points", 5).alias("points"), "reason")
 
 
 def taste_pick(s, d):
     """The softmax pick where taste counts."""
-    rows = base.final(s, d).drop("probability").join(taste(s, d), ["user_id", "appid"])
+    owned = written(adapters.user_games(s, d).select("user_id", "appid", "status", "hours"), "owned")
+    final = written(base.final(s, d, base.lib(s, d, owned)).drop("probability"), "final")
+    games = final.select("user_id", "appid", genres.preference_genres(F.col("labels"), F.col("title")).alias("genres"))
+    rows = final.join(taste(s, d, owned.join(genre_keys(s, d), "appid"), games), ["user_id", "appid"])
     return draw.pick(draw.softmax(rows.withColumn("value", F.col("value") + F.col("points")), "value"), base.user_u()).select("user_id", "rank", "appid")
 
 

@@ -23,21 +23,27 @@ def ts(value: str):
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per game: labels, price in cents, duration estimates in minutes, review counts."""
+    games = facts(spark, sf_dir)
     sold = read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") != "R").alias("kept"))
+    reviews = lambda c: (F.coalesce(c, F.lit(0)) * F.col("_size") * F.col("_size")).cast("long")
+    joined = games.join(sold, games.appid == F.col("l_partkey") + 1, "left")
+    return joined.withColumns({"review_total": reviews("n"), "review_positive": reviews("kept")}).drop("l_partkey", "n", "kept", "_size")
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue without its reviews, from ``part`` alone; ``_size`` scales the reviews."""
     part = read(spark, sf_dir, "part")
     kind = F.split("p_type", " ")[0]
     genre = F.coalesce(F.create_map(*[F.lit(x) for pair in GENRES.items() for x in pair])[kind], F.lit("Simulation"))
     known, size = F.col("p_size") % 7 != 0, F.col("p_size")
     tag = F.element_at(F.array(*map(F.lit, TAGS)), (F.col("p_partkey") % len(TAGS) + 1).cast("int"))
-    return part.join(sold, part.p_partkey == sold.l_partkey, "left").select(
+    return part.select(
         (F.col("p_partkey") + 1).alias("appid"), F.col("p_name").alias("title"), genre.alias("genre"),
         F.array(genre, tag).alias("labels"), F.floor(F.col("p_retailprice") * 100 + 0.5).alias("price_cents"),
         F.when(known, size * 60).alias("main_story"), F.when(known, size * 90).alias("main_extras"),
         F.when(known, size * 150).alias("completionist"), (size % 11 == 0).alias("endless"),
-        (F.coalesce("n", F.lit(0)) * size * size).cast("long").alias("review_total"),
-        (F.coalesce("kept", F.lit(0)) * size * size).cast("long").alias("review_positive"),
         F.when(known, "ready").otherwise(F.element_at(F.array(*map(F.lit, ("pending", "processing", "failed"))), (F.col("p_partkey") % 3 + 1).cast("int"))).alias("duration_status"),
-        F.when(F.col("p_partkey") % 16 == 3, "pending").when(F.col("p_partkey") % 16 != 5, "ready").alias("tags_status"),
+        F.when(F.col("p_partkey") % 16 == 3, "pending").when(F.col("p_partkey") % 16 != 5, "ready").alias("tags_status"), size.alias("_size"),
     )
 
 

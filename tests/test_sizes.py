@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from shelfspark.operators import semistructured, shelf, validation
+from shelfspark.operators import preferences, semistructured, shelf, validation
 from shelfspark.sources import adapters
 from tests.test_entry import SF
 
@@ -50,3 +50,20 @@ def test_each_library_order_has_a_stage(spark):
 
 def test_genre_rows_are_spread(spark):
     assert "RepartitionByExpression" in optimised(spark, "top_level_genres")
+
+
+def test_genres_of_taste_are_found_once_and_games_not_exploded(spark):
+    plan = optimised(spark, "preference_adjustment")
+    assert "RLIKE" not in plan and "Generate" not in plan and "l_orderkey" not in plan
+
+
+def test_a_taste_pick_reads_the_library_once(spark):
+    assert "l_orderkey" not in optimised(spark, "taste_pick")
+
+
+def test_weights_of_taste_come_from_the_whole_library(spark):
+    library = spark.sql("SELECT 1 AS user_id, 1 AS appid, array('rpg', 'action') AS genres UNION ALL SELECT 1, 2, array('action') UNION ALL SELECT 1, 3, array('action') UNION ALL SELECT 2, 4, NULL")
+    rows = spark.sql("SELECT 1 AS user_id, 'any' AS context, g AS genre, p AS positive, 4.0D AS total FROM VALUES ('rpg', 4.0D), ('action', 0.0D), ('__baseline__', 2.0D) AS t(g, p)")
+    of = lambda games: {r.appid: r.points for r in preferences.adjustment(games, rows, preferences.globals_of(rows), "chill", library=library).collect()}
+    every, some = of(library), of(library.filter("appid in (1, 4)"))
+    assert set(every) == {1, 2, 3, 4} and some == {1: every[1], 4: 0.0} and every[2] == every[3] < every[1]

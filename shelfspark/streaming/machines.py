@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,9 +18,9 @@ MAX_PINS, DECK = 3, 64
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+def in_order(rows: Iterator[Row]) -> list[Row]:
     """The events of a user in a batch by time and number; the source's batches bound them."""
-    return pd.concat(list(rows)).sort_values(["ts", "event_id"], na_position="last", kind="stable")
+    return sorted(rows, key=lambda r: (r.ts is None, r.ts or 0, r.event_id is None, r.event_id or 0))
 
 
 class PinMachine(StatefulProcessor):
@@ -29,32 +28,39 @@ class PinMachine(StatefulProcessor):
 
     At most MAX_PINS games are pinned.  Pinning again changes nothing; a further game takes the place of ``replace`` if that is pinned.
     A snooze ends with ``unsnoozed`` or at ``until`` (milliseconds, null: never), when a timer fires; snoozing the current pick
-    clears it.
+    clears it.  A user has one timer, for the snooze that ends first; it ends all that the watermark has passed.
     """
 
     SCHEMA = "user_id long, step long, pins array<long>, snoozed array<long>, until array<long>, current long"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.vault = handle.getValueState("vault", "step long, pins array<long>, snoozed array<long>, until array<long>, current long")
+        self.vault = handle.getValueState("vault", "step long, pins array<long>, snoozed array<long>, until array<long>, current long, timer long")
 
-    def _read(self) -> tuple[int, list, dict, int | None]:
+    def _read(self) -> tuple[int, list, dict, int | None, int | None]:
         held = self.vault.get()
         if held is None:
-            return 0, [], {}, None
-        step, pins, snoozed, until, current = held
-        return step, list(pins), dict(zip(snoozed, until, strict=True)), current
-
-    def _write(self, key, step: int, pins: list, snoozes: dict, current) -> pd.DataFrame:
+            return 0, [], {}, None, None
+        step, pins, snoozed, until, current, timer = held
+        return step, list(pins), dict(zip(snoozed, until, strict=True)), current, timer
+
+    def _write(self, key, step: int, pins: list, snoozes: dict, current, timer: int | None, watermark: int) -> Row:
+        """``timer`` is the one that is set, if any."""
+        first = min((max(until, watermark + 1) for until in snoozes.values() if until is not None), default=None)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
         games = sorted(snoozes)
         state = (step + 1, pins, games, [snoozes[g] for g in games], current)
-        self.vault.update(state)
-        return pd.DataFrame([(key[0], *state)], columns=["user_id", "step", "pins", "snoozed", "until", "current"]).astype({"current": "Int64"})
+        self.vault.update((*state, first))
+        return Row("user_id", "step", "pins", "snoozed", "until", "current")(key[0], *state)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        step, pins, snoozes, current = self._read()
-        events = in_order(rows)
-        for event, game, other, until in zip(events["event"], events["appid"], events["replace"], events["until"], strict=True):
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        step, pins, snoozes, current, timer = self._read()
+        for row in in_order(rows):
+            event, game, other = row.event, row.appid, row.replace
             if event == "drawn":
                 current = game
             elif event == "pinned" and game not in pins:
@@ -65,20 +71,18 @@ class PinMachine(StatefulProcessor):
             elif event == "unpinned":
                 pins = [p for p in pins if p != game]
             elif event == "snoozed":
-                snoozes[game] = None if pd.isna(until) else int(until)
+                snoozes[game] = row.until
                 current = None if current == game else current
-                if snoozes[game] is not None:
-                    self.handle.registerTimer(max(snoozes[game], timerValues.getCurrentWatermarkInMs() + 1))
             elif event == "unsnoozed":
                 snoozes.pop(game, None)
-        yield self._write(key, step, pins, snoozes, current)
+        yield self._write(key, step, pins, snoozes, current, timer, timerValues.getCurrentWatermarkInMs())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        step, pins, snoozes, current = self._read()
-        now = expiredTimerInfo.getExpiryTimeInMs()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        step, pins, snoozes, current, timer = self._read()
+        watermark = timerValues.getCurrentWatermarkInMs()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), watermark)
         left = {game: until for game, until in snoozes.items() if until is None or until > now}
-        if left != snoozes:
-            yield self._write(key, step, pins, left, current)
+        yield self._write(key, step, pins, left, current, None if timer == expiredTimerInfo.getExpiryTimeInMs() else timer, watermark)
 
     def close(self) -> None:
         pass
@@ -99,26 +103,33 @@ class DrawCycle(StatefulProcessor):
         self.cycle = handle.getValueState("cycle", "setup long, bag array<long>, deferred array<long>, current long")
         self.pool = handle.getValueState("pool", "games array<long>, weights array<long>")
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        ranked = initialState.sort_values("rank")
-        self.pool.update((ranked["appid"].tolist(), ranked["weight"].tolist()))
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.pool.update((list(initialState.games), list(initialState.weights)))
+
+    @staticmethod
+    def gathered(pool: DataFrame) -> DataFrame:
+        """Games and weights of each user by ``rank``, as the state takes them."""
+        ranked = F.array_sort(F.collect_list(F.struct("rank", "appid", "weight")))
+        return pool.groupBy("user_id").agg(ranked.alias("_r")).select("user_id", F.col("_r.appid").alias("games"), F.col("_r.weight").alias("weights"))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         games, weights = self.pool.get() or ([], [])
         weight = dict(zip(games, weights, strict=True))
         held = self.cycle.get()
         setup, bag, deferred, current = held if held is not None else (None, [], [], None)
-        bag, deferred, done = list(bag), list(deferred), []
-        events = in_order(rows)
-        for event, wanted, roll, number in zip(events["event"], events["setup"], events["roll"], events["event_id"], strict=True):
+        bag, deferred, done = list(bag), list(deferred), Row("user_id", "event_id", "appid")
+        for row in in_order(rows):
+            event, wanted, roll = row.event, row.setup, row.roll
             if event == "setup":
                 if wanted != setup:
                     setup, bag, deferred = wanted, [], []
                 continue
             if event == "again" and current in weight:
                 deferred = [g for g in deferred if g != current] + [current]
-            deck = games if event == "quick" else ([g for g in games if g not in deferred] + [g for g in deferred if g in weight])[:DECK]
-            left = [g for g in deck if g not in bag]
+            later = set(deferred)
+            deck = games if event == "quick" else ([g for g in games if g not in later] + [g for g in deferred if g in weight])[:DECK]
+            seen = set(bag)
+            left = [g for g in deck if g not in seen]
             if not left:
                 bag, left = [], deck
             if len(left) > 1:
@@ -127,10 +138,8 @@ class DrawCycle(StatefulProcessor):
                 continue
             current = draw(left, [1] * len(left), roll) if event == "quick" else draw(final := left[: finalists(len(left))], [weight[g] for g in final], roll)
             bag.append(current)
-            done.append((key[0], number, current))
+            yield done(key[0], row.event_id, current)
         self.cycle.update((setup, bag, deferred, current))
-        if done:
-            yield pd.DataFrame(done, columns=["user_id", "event_id", "appid"])
 
     def close(self) -> None:
         pass
@@ -161,8 +170,8 @@ def run_machine(stream: DataFrame, machine: StatefulProcessor, path: str, checkp
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     keyed = stream.withWatermark("ts", late).groupBy("user_id")
-    start = {} if initial is None else {"initialState": initial.groupBy("user_id")}
-    out = keyed.transformWithStateInPandas(statefulProcessor=machine, outputStructType=machine.SCHEMA, outputMode="Update", timeMode="EventTime", **start)
+    start = {} if initial is None else {"initialState": machine.gathered(initial).groupBy("user_id")}
+    out = keyed.transformWithState(statefulProcessor=machine, outputStructType=machine.SCHEMA, outputMode="Update", timeMode="EventTime", **start)
     spark.createDataFrame([], machine.SCHEMA).write.mode("append").parquet(path)
 
     def write(batch: DataFrame, number: int) -> None:

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from shelfspark.plans import state_queries
@@ -119,3 +120,53 @@ def test_counters_take_late_requests_and_survive_a_restart(spark):
     assert run() == {0: (2, False), 10: (1, False)}
     at(3, 25).coalesce(1).write.mode("append").parquet(source)
     assert run() == {0: (3, True), 10: (1, False), 20: (1, False)}
+
+
+class Handle:
+    """A handle that keeps one value and notes timers."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class Clock:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_a_user_has_one_timer():
+    handle, machine = Handle(), machines.PinMachine()
+    machine.init(handle)
+    event = Row("ts", "event_id", "event", "appid", "replace", "until")
+    snoozes = [event(k, k, "snoozed", k % 4, None, 1000 + 100 * k) for k in range(8)]  # the last four count: 1400 to 1700
+    list(machine.handleInputRows((1,), iter(snoozes[::-1]), Clock(0)))
+    assert handle.timers == [1400]
+    handle.timers.clear()  # the timer fires late
+    assert [r.snoozed for r in machine.handleExpiredTimer((1,), Clock(1550), Clock(1400))] == [[2, 3]] and handle.timers == [1600]
+    list(machine.handleInputRows((1,), iter([event(9, 9, "unsnoozed", 2, None, None)]), Clock(1550)))
+    assert handle.timers == [1700]
+
+
+def test_a_pool_is_one_row_of_state(spark):
+    pool = spark.createDataFrame([(1, 5, 2, 9), (1, 6, 3, 4), (2, 5, 1, 1)], "user_id long, appid long, weight long, rank long")
+    assert sorted(map(tuple, machines.DrawCycle.gathered(pool).collect())) == [(1, [6, 5], [3, 2]), (2, [5], [1])]

@@ -9,6 +9,8 @@ from ..session import written
 
 NOW_ORDERS, NOW_EVENTS = "2001-12-01 00:00:00", "2024-01-31 00:00:00"
 USERS = 50
+#: Rows of a task that sorts or joins rows of ``lineitem``: the memory of a task stays the same whatever the table's size.
+TASK_ROWS = 250_000
 GENRES = {"ECONOMY": "Casual", "STANDARD": "Action", "MEDIUM": "Adventure", "LARGE": "Strategy", "PROMO": "RPG"}
 TAGS = ["Cozy", "Horror", "Puzzle", "Roguelike", "Story_Rich", "Exploration", "Competitive", "Arcade"]
 
@@ -47,17 +49,22 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread(rows: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """``rows`` by ``keys`` over so many tasks; a single one is left to Spark."""
+    return rows.repartition(tasks, *keys) if tasks > 1 else rows
+
+
 def user_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per user and owned game: status, hours, last played, added."""
-    orders, items = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
-    kept = F.col("l_returnflag") != "R"
-    per = (
-        items.join(orders, items.l_orderkey == orders.o_orderkey)
-        .groupBy((F.col("o_custkey") % USERS).alias("user_id"), (F.col("l_partkey") + 1).alias("appid"))
-        .agg(
-            F.sum(F.when(kept, F.col("l_quantity"))).alias("quantity"), F.max(F.when(kept, F.col("l_shipdate").cast("timestamp"))).alias("last_played_at"),
-            F.min(F.col("o_orderdate").cast("timestamp")).alias("added_at"), F.max_by(F.struct("o_orderstatus", "o_orderpriority"), F.struct("o_orderdate", "o_orderkey")).alias("newest"),
-        )
+    items, kept = read(spark, sf_dir, "lineitem"), F.col("l_returnflag") != "R"
+    tasks = -(-items.count() // TASK_ROWS)
+    sold = items.select("l_orderkey", (F.col("l_partkey") + 1).alias("appid"), F.when(kept, F.col("l_quantity")).alias("quantity"), F.when(kept, F.col("l_shipdate").cast("timestamp")).alias("shipped"))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % USERS).alias("user_id"), "o_orderdate", "o_orderstatus", "o_orderpriority")
+    joined = spread(sold, tasks, "l_orderkey").join(spread(orders, tasks, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    # pairs of users and games hardly repeat, so rows are shuffled before they are gathered; the catalogue is joined by the same key
+    per = spread(joined, tasks, "appid").groupBy("user_id", "appid").agg(
+        F.sum("quantity").alias("quantity"), F.max("shipped").alias("last_played_at"), F.min(F.col("o_orderdate").cast("timestamp")).alias("added_at"),
+        F.max_by(F.struct("o_orderstatus", "o_orderpriority"), F.struct("o_orderdate", "o_orderkey")).alias("newest"),
     )
     per = per.select("*", F.col("newest.o_orderstatus").alias("state"), F.when(F.col("newest.o_orderpriority") == "1-URGENT", "Must Play").otherwise("Medium").alias("priority"))
     status = (

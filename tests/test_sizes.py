@@ -67,3 +67,23 @@ def test_weights_of_taste_come_from_the_whole_library(spark):
     of = lambda games: {r.appid: r.points for r in preferences.adjustment(games, rows, preferences.globals_of(rows), "chill", library=library).collect()}
     every, some = of(library), of(library.filter("appid in (1, 4)"))
     assert set(every) == {1, 2, 3, 4} and some == {1: every[1], 4: 0.0} and every[2] == every[3] < every[1]
+
+
+def test_orders_are_not_asked_for_each_use_of_a_library(spark):
+    assert "o_orderkey" not in optimised(spark, "match_details")
+    settled = optimised(spark, "settled_games")
+    assert settled.count("Relation [o_orderkey") == 2  # fresh verdicts and standing ones
+    assert "Aggregate [l_orderkey" not in settled and "Aggregate [l_orderkey" not in optimised(spark, "purge_queue")
+
+
+def test_labels_of_a_game_are_made_before_its_owners_are_joined(spark):
+    assert "format_number" not in optimised(spark, "display_labels").split("Join")[0]
+
+
+def test_rows_of_a_task_do_not_grow_with_the_orders(spark, monkeypatch):
+    rows = lambda: sorted(map(str, adapters.user_games(spark, SF).collect()))
+    whole = rows()
+    monkeypatch.setattr(adapters, "TASK_ROWS", 1000)
+    assert rows() == whole
+    plan = adapters.user_games(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 3 and adapters.user_games(spark, SF).rdd.getNumPartitions() == 6

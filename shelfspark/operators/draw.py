@@ -21,7 +21,7 @@ def stages(df: DataFrame, goal: str, genres: list[str]) -> DataFrame:
     return df.withColumns(
         {
             "is_active": ~F.col("status").isin("Completed", "Slept"),
-            "genre_ok": F.arrays_overlap(keyed(F.col("labels")), chosen) if genres else F.lit(True),
+            "genre_ok": F.arrays_overlap(scoring.label_keys(df), chosen) if genres else F.lit(True),
             "goal_ok": scoring.goal_eligible(goal, F.col("status"), F.col("hours"), F.col("endless"), F.col("percent")),
         }
     )

@@ -107,10 +107,11 @@ def appeal(positive: Column, total: Column) -> Column:
 
 
 def described(catalog: DataFrame) -> DataFrame:
-    """The catalogue with what depends on its row alone: estimate in minutes, mood scores, rating out of 10."""
+    """The catalogue with what depends on its row alone: estimate in minutes, mood scores, rating out of 10, kind of appeal, keys of labels."""
     estimate = estimate_minutes(F.col("main_story"), F.col("main_extras"), F.col("completionist"))
     rating = F.when(F.col("review_total") > 0, half_up(F.col("review_positive") * 10 / F.col("review_total"))).otherwise(0)
-    return catalog.withColumns({"estimate": estimate, "moods": mood_scores(F.col("labels")), "rating": rating.cast("long")})
+    kind, keys = appeal(F.col("review_positive"), F.col("review_total"))["kind"], F.transform("labels", genre_key)
+    return catalog.withColumns({"estimate": estimate, "moods": mood_scores(F.col("labels")), "rating": rating.cast("long"), "appeal_kind": kind, "label_keys": keys})
 
 
 def library(owned: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -121,6 +122,11 @@ def library(owned: DataFrame, catalog: DataFrame) -> DataFrame:
     return joined.withColumn("fits", session_fits(F.col("endless"), F.col("remaining")))
 
 
+def label_keys(df: DataFrame) -> Column:
+    """Canonical keys of a row's labels; library rows have them."""
+    return F.col("label_keys") if "label_keys" in df.columns else F.transform("labels", genre_key)
+
+
 def fit_score(df: DataFrame, session: str | None = None, mood: str | None = None, goal: str | None = None, genres: list[str] | None = None) -> DataFrame:
     """Add ``score``: percent of the points that the supplied choices make available."""
     parts: list[tuple[Column, int]] = []
@@ -134,7 +140,7 @@ def fit_score(df: DataFrame, session: str | None = None, mood: str | None = None
         parts.append((finish_points(F.col("percent"), F.col("remaining")), 30))
     if genres:
         chosen = F.array(*[genre_key(F.lit(g)) for g in genres])
-        own = F.transform("labels", genre_key)
+        own = label_keys(df)
         parts.append((10.0 * F.size(F.filter(chosen, lambda g: F.array_contains(own, g))) / len(genres), 10))
     available = sum(p for _, p in parts)
     earned = sum((c for c, _ in parts), F.lit(0.0))

@@ -111,7 +111,9 @@ def purge_queue(df: DataFrame, protected: DataFrame, verdicts: DataFrame, now: C
     likely_done = ~F.col("endless") & (F.col("hours") * 60 / F.col("estimate") >= 0.9) & (F.col("estimate") >= 120)
     rows = base.filter(never | (days >= idle)).filter(~F.coalesce(likely_done, F.lit(False)))
     category = F.when(never, "untouched").when(F.col("percent") <= 50, "stalled").otherwise("dormant")
-    kind = appeal(F.col("review_positive"), F.col("review_total"))["kind"]
+    if "appeal_kind" not in rows.columns:
+        rows = rows.withColumn("appeal_kind", appeal(F.col("review_positive"), F.col("review_total"))["kind"])
+    kind = F.col("appeal_kind")
     signal = F.when(kind == "divisive", "cut").when(kind != "none", "keep")
     score = (
         F.when(never, 2.0).otherwise(0.0) + F.when(days >= 730, 1.5).when(days >= 365, 1.0).otherwise(0.0)

@@ -41,8 +41,9 @@ def protected_games(s, d):
 
 def settled_games(s, d):
     """Active games that the clean-up does not ask about and that no standing verdict concerns."""
-    standing = base.purge_standing(s, d).filter("not superseded")
-    return shelf.settled(base.lib(s, d), base.purge_queue(s, d), standing).select("user_id", "appid")
+    library = base.purge_library(s, d)
+    standing = base.purge_standing(s, d, library).filter("not superseded")
+    return shelf.settled(library, base.purge_queue(s, d, library), standing).select("user_id", "appid")
 
 
 def search_jobs(s, d):

@@ -160,13 +160,16 @@ def mood_labels(s, d):
 
 
 def display_labels(s, d):
-    rows = base.lib(s, d)
+    """Labels of owned games; those of a game alone are made once in the catalogue, by all cores."""
+    games = scoring.described(adapters.catalog(s, d).repartition("appid")).select(
+        "appid", labels.review_count(F.col("review_total")).alias("reviews"), labels.money(F.col("price_cents")).alias("price"), labels.duration_label(F.col("estimate")).alias("length"),
+        labels.ordinal(F.col("appid")).alias("nth"), classify.confidence(F.col("review_total") % 40).alias("trust"), classify.minutes_of(F.col("review_total") - 100).alias("minutes"),
+    )
+    rows = adapters.user_games(s, d).join(games, "appid")
     days = F.floor((F.unix_micros(base.now()) - F.unix_micros("last_played_at")) / labels.DAY)
     return rows.select(
-        "user_id", "appid", labels.dormancy_headline(F.col("last_played_at"), base.now()).alias("paused"), labels.age_label(days).alias("age"), labels.review_count(F.col("review_total")).alias("reviews"),
-        labels.money(F.col("price_cents")).alias("price"), labels.duration_label(F.col("estimate")).alias("length"), labels.hours_label(F.col("hours") * 37).alias("hours"),
-        labels.ordinal(F.col("appid")).alias("nth"), classify.confidence(F.col("review_total") % 40).alias("trust"), classify.minutes_of(F.col("review_total") - 100).alias("minutes"),
-        labels.day_key(F.col("added_at")).alias("day"), labels.days_between(F.col("added_at"), base.now()).alias("days"),
+        "user_id", "appid", labels.dormancy_headline(F.col("last_played_at"), base.now()).alias("paused"), labels.age_label(days).alias("age"), "reviews", "price", "length",
+        labels.hours_label(F.col("hours") * 37).alias("hours"), "nth", "trust", "minutes", labels.day_key(F.col("added_at")).alias("day"), labels.days_between(F.col("added_at"), base.now()).alias("days"),
     )
 
 

@@ -234,8 +234,12 @@ def match_details(s, d):
     taste = F.when(F.col("appid") % 5 == 0, F.concat("genre", F.lit(" lands well for you")))
     points = (F.col("appid") % 9).cast("double")
 
+    # both draws take from the active games, each for its ranks and for its size
+    owned = written(adapters.user_games(s, d).filter("status not in ('Completed', 'Slept')").select("user_id", "appid", "status", "hours", "last_played_at"), "owned")
+    games = base.lib(s, d, owned)
+
     def told(name, goal, why):
-        pool = base.pool(s, d, goal)
+        pool = base.pool(s, d, goal, games)
         sizes = pool.groupBy("user_id").agg(F.count("*").alias("pool_size"))
         rows = draw.deck(pool).join(sizes, "user_id").withColumn("i", F.explode(why))
         return rows.select(F.lit(name).alias("setup"), "user_id", "appid", "i.*")

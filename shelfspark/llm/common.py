@@ -126,9 +126,13 @@ def map_batches(df: DataFrame, function, added: list[T.StructField]) -> DataFram
 
 def as_bytes(batch, name: str) -> list[bytes | None]:
     """A string column of a record batch as UTF-8 bytes."""
+    return bytes_of(batch.column(batch.schema.get_field_index(name)))
+
+
+def bytes_of(column) -> list[bytes | None]:
+    """An Arrow array of strings as UTF-8 bytes."""
     import pyarrow as pa
 
-    column = batch.column(batch.schema.get_field_index(name))
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return column.cast(kind).to_pylist()
 

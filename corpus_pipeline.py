@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm import decontaminate, jaccard, language_id, mixing, sharding
-from shelfspark.llm.common import drop_table, semi, shared_dir, write_table
+from shelfspark.llm.common import bound_batches, drop_table, semi, shared_dir, write_table
 from shelfspark.llm.queries import SHARD_BYTES
 
 
@@ -31,6 +31,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Repeated rows go or stay together.  Where no row has a language to learn from, nothing is recognised and all go.
     """
+    bound_batches(spark)
     model = language_id.train_language_model(docs)
     packed, columns = apart(docs, "text")
     named = language_id.identify_language(packed, model)
@@ -43,6 +44,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     A row only goes if its own text's group keeps another row, also where ids repeat or are null.  Rows without
     words are in no group and stay.
     """
+    bound_batches(spark)
     found = write_table(jaccard.jaccard_components(docs.select("doc_id", "text"), with_sets=True), "groups")
     # the id of a single row tells whether that row goes; only the others' rows need their digests
     per = found.groupBy("doc_id").agg(F.count("*").alias("n"))

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 32 << 20
 #: Folds of the learned operators: a row is held out if crc32(doc_id) mod 5 is 0.
 FOLDS = 5
+#: Bytes of rows that one Arrow batch gathers; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -104,6 +106,17 @@ def tidy(function):
     return run
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Python workers of this session get Arrow batches of BATCH_BYTES, unless it asks for smaller ones.
+
+    A batch stands several times in the memory of an executor: as vectors and as a stream in the JVM, and as buffers and
+    texts in Python.  Spark's own bounds are 10,000 rows and 64 MiB.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def map_batches(df: DataFrame, function, added: list[T.StructField]) -> DataFrame:
     """Add columns computed from Arrow batches; the other columns pass through.
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, map_batches
+from .common import as_bytes, bound_batches, map_batches
 
 #: Bytes to lower-cased word bytes or blanks: words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z.
 WORD_BYTES = bytes(
@@ -319,6 +319,7 @@ def find_contamination(
     of text; each block's phrases are a mapped file of one pass, and later passes add to what earlier ones found.
     Added columns replace input columns of their names, others stay.
     """
+    bound_batches(df.sparkSession)
     named = benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).alias("text")
     ).filter("text is not null")
